@@ -67,27 +67,21 @@ def mattr(tokens: Column, window: int) -> Column:
 
     def of(toks: Column) -> Column:
         n = F.size(toks)
-        placed = F.array_sort(F.transform(toks, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+        placed = F.sort_array(F.transform(toks, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+        start = F.struct(F.lit("").alias("t"), F.lit(-1).alias("i"), F.lit(0).cast("long").alias("sum"))
 
-        def windows(i: Column, prev: Column) -> Column:
+        def step(seen: Column, this: Column) -> Column:
+            i = this["i"]
+            prev = F.when(seen["t"] == this["t"], seen["i"]).otherwise(F.lit(-1))
             first = F.greatest(F.lit(0), i - w + 1, prev + 1)
-            return F.greatest(F.lit(0), F.least(i, n - w) - first + 1).cast("long")
-
-        def total(p: Column) -> Column:
-            # Pairing the list with itself shifted by one leaves a NULL at the end.
-            pairs = F.zip_with(
-                F.concat(F.array(F.lit(None).cast("struct<t:string,i:int>")), p),
-                p,
-                lambda a, b: F.when(b.isNull(), F.lit(0).cast("long")).otherwise(
-                    windows(b["i"], F.when(a["t"] == b["t"], a["i"]).otherwise(F.lit(-1)))
-                ),
-            )
-            return F.aggregate(pairs, F.lit(0).cast("long"), lambda acc, x: acc + x)
+            held_by = F.greatest(F.lit(0), F.least(i, n - w) - first + 1)
+            return F.struct(this["t"].alias("t"), i.alias("i"), (seen["sum"] + held_by).alias("sum"))
 
+        total = F.aggregate(placed, start, step, lambda seen: seen["sum"])
         return (
             F.when(n == 0, F.lit(None).cast("double"))
             .when(n < w, F.size(F.array_distinct(toks)) / n)
-            .otherwise(let(placed, total) / w / (n - w + 1))
+            .otherwise(total / w / (n - w + 1))
         )
 
     return let(tokens, of)

@@ -21,16 +21,17 @@ def normalise_rows(queries: DataFrame) -> DataFrame:
 
 
 def is_valid() -> Column:
+    """Decided on the raw columns, so that a reader of ids alone never builds the trimmed texts."""
     n = F.size("choices")
     return F.coalesce(
-        (F.col("text") != "") & (n >= 2) & (F.col("answer_index") >= 0) & (F.col("answer_index") < n),
+        (strip(F.col("text")) != "") & (n >= 2) & (F.col("answer_index") >= 0) & (F.col("answer_index") < n),
         F.lit(False),
     )
 
 
 def clean(queries: DataFrame) -> DataFrame:
     """Normalised rows with a text, at least two choices and an answer among them."""
-    return normalise_rows(queries).filter(is_valid())
+    return normalise_rows(queries.filter(is_valid()))
 
 
 def stratum(metadata_key: str | None) -> Column:
@@ -73,7 +74,7 @@ def stratified_ids(queries: DataFrame, target: int, metadata_key: str | None, se
 def prepare(queries: DataFrame, *, subsample_when_above: int | None = None, target_size: int | None = None,
             stratify_by: str | None = None, seed: int = SEED) -> tuple[DataFrame, dict[str, int]]:
     """Clean rows, subsampled only when there are more than ``subsample_when_above``, and the row counters."""
-    counted = normalise_rows(queries).agg(
+    counted = queries.agg(
         F.count("*").alias("n_loaded"), F.count_if(is_valid()).alias("n_after_clean")
     ).first()
     cleaned = clean(queries)
@@ -96,7 +97,7 @@ def counters(queries: DataFrame) -> DataFrame:
 
     One aggregate per id first, so a repeated id cannot pile up in one task.
     """
-    per_id = normalise_rows(queries).groupBy("query_id").agg(
+    per_id = queries.groupBy("query_id").agg(
         F.count("*").alias("_n"), F.count_if(is_valid()).alias("_ok")
     )
     return per_id.agg(

@@ -23,50 +23,53 @@ def structural(queries: DataFrame, *, window: int = MATTR_WINDOW, level: int = Z
     tokenizer can be plugged in as a pandas UDF.
     """
     subject = F.try_element_at("metadata", F.lit("subject"))
-    question = question_text(F.col("text"), subject)
-    made = queries.withColumn("_question", question).withColumn(
-        "_prompt", user_message(F.col("_question"), choice_lines(F.col("choices")))
-    )
-    count = counter or word_count
-    # A Python counter cannot run inside a lambda; it sees the options one per line instead.
-    option_counts = F.transform("choices", word_count) if counter is None else F.array(F.lit(0))
+    made = queries
     if counter is not None:
+        # A Python counter cannot run inside a lambda; options are counted as rows of their own.
         made = _count_options(made, counter)
-        option_counts = F.col("_option_counts")
-    lexical = let(
-        words(F.col("_prompt")),
-        lambda t: F.struct(F.size(t).alias("n"), mattr(t, window).alias("mattr")),
+    question = question_text(F.col("text"), subject)
+    made = made.withColumn("_t", F.struct(question.alias("question"), choice_lines(F.col("choices")).alias("lines")))
+    made = made.withColumn("_question", F.col("_t.question")).withColumn(
+        "_prompt", user_message(F.col("_t.question"), F.col("_t.lines"))
     )
-    made = made.withColumn("_lex", lexical)
-    prompt_n = F.col("_lex.n") if counter is None else count(F.col("_prompt"))
-    made = made.withColumn("_q_n", count(F.col("_question"))).withColumn("_p_n", prompt_n)
-    lengths = let(
-        option_counts,
-        lambda c: let(
-            array_sum(F.transform(c, lambda x: x.cast("double"))),
-            lambda total: F.struct(
-                F.coalesce(F.try_divide(total, F.size(c)), F.lit(0.0)).alias("mean"),
-                F.when(
-                    F.size(c) > 1,
-                    F.sqrt(array_mean(F.transform(c, lambda x: F.pow(x - total / F.size(c), 2)))),
-                ).otherwise(0.0).alias("std"),
-                (F.col("_q_n") / F.when(total == 0, 1.0).otherwise(total)).alias("ratio"),
-            ),
-        ),
+
+    def lexical(tokens: Column) -> Column:
+        return F.struct(F.size(tokens).alias("n"), mattr(tokens, window).alias("mattr"))
+
+    def spread_of(counts: Column) -> Column:
+        n = F.size(counts)
+
+        def of(total: Column) -> Column:
+            deviation = F.sqrt(array_mean(F.transform(counts, lambda x: F.pow(x - total / n, 2))))
+            return F.struct(
+                F.coalesce(F.try_divide(total, n), F.lit(0.0)).alias("mean"),
+                F.when(n > 1, deviation).otherwise(0.0).alias("std"),
+                F.when(total == 0, 1.0).otherwise(total).alias("total"),
+            )
+
+        return let(array_sum(F.transform(counts, lambda x: x.cast("double"))), of)
+
+    option_counts = F.transform("choices", word_count) if counter is None else F.col("_option_counts")
+    made = made.withColumns(
+        {
+            "_lex": let(words(F.col("_prompt")), lexical),
+            "_q_n": (counter or word_count)(F.col("_question")).cast("double"),
+            "_opt": let(option_counts, spread_of),
+        }
     )
-    made = made.withColumn("_len", lengths)
+    prompt_n = F.col("_lex.n") if counter is None else counter(F.col("_prompt"))
     values = {
-        "prompt_token_len": F.col("_p_n").cast("double"),
-        "question_token_len": F.col("_q_n").cast("double"),
-        "mean_option_token_len": F.col("_len.mean"),
-        "std_option_token_len": F.col("_len.std"),
-        "question_option_ratio": F.col("_len.ratio"),
+        "prompt_token_len": prompt_n.cast("double"),
+        "question_token_len": F.col("_q_n"),
+        "mean_option_token_len": F.col("_opt.mean"),
+        "std_option_token_len": F.col("_opt.std"),
+        "question_option_ratio": F.col("_q_n") / F.col("_opt.total"),
         "mattr": F.col("_lex.mattr"),
     }
     if with_compression:
         values["compression_ratio"] = compression_ratio(F.col("_prompt"), level)
     out = made.withColumns({f"phi__structural__{k}": values[k] for k in STRUCTURAL if k in values})
-    return out.drop("_question", "_prompt", "_lex", "_q_n", "_p_n", "_len", "_option_counts")
+    return out.drop("_t", "_question", "_prompt", "_lex", "_q_n", "_opt", "_option_counts")
 
 
 def _count_options(queries: DataFrame, counter: Callable[[Column], Column]) -> DataFrame:
