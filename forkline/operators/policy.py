@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -21,6 +22,7 @@ from forkline.schemas import (
 POLICY_VERSION = "v1"
 PROBABILITY, LOGIT = "logistic_probability", "logit"
 THRESHOLD_STEPS = 100
+ROWS_PER_TASK = 50_000
 
 
 @dataclass(frozen=True)
@@ -99,6 +101,8 @@ def fit_logistic(rows: DataFrame, columns: Sequence[str], label: str = "r") -> L
     mean = tuple(stats[f"m_{c}"] for c in columns)
     scale = tuple(stats[f"s_{c}"] or 1.0 for c in columns)
     scaled = [(F.col(c) - F.lit(m)) / F.lit(s) for c, m, s in zip(columns, mean, scale)]
+    # A pass costs one task per partition; small data needs few of them.
+    rows = rows.coalesce(max(1, math.ceil(n / ROWS_PER_TASK)))
     weight = F.when(F.col(label) == 1, F.lit(n / (2.0 * p))).otherwise(F.lit(n / (2.0 * (n - p))))
     train = rows.select(
         F.col(label).cast("double").alias("label"),

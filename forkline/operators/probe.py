@@ -17,36 +17,19 @@ from forkline.schemas import CV_FOLDS, FAMILY_BLOCKS, SEED
 from forkline.session import stage
 
 
-def fold_predictions(rows: DataFrame, columns: tuple[str, ...], k: int, seed: int = SEED, parallel: int = 4) -> DataFrame | None:
-    """Out-of-fold probabilities ``(fold, y, prob)``; a fold whose training rows hold one class is left out.
-
-    Folds are fitted side by side, as the library's own cross-validator does.
-    """
-    placed = stage(folds(rows.select("query_id", "r", *columns), k, seed), "folds").persist()
-
-    def one(fold: int) -> DataFrame | None:
-        train = placed.filter(F.col("fold") != fold)
-        try:
-            fit = fit_logistic(train, columns)
-        except ValueError:
-            return None
-        z = logit([F.col(c) for c in columns], fit.mean, fit.scale, fit.weights, fit.intercept)
-        test = placed.filter(F.col("fold") == fold)
-        return test.select("fold", F.col("r").alias("y"), sigmoid(z).alias("prob"))
-
-    with ThreadPoolExecutor(parallel) as pool:
-        made = [d for d in pool.map(inheritable_thread_target(one), range(k)) if d is not None]
-    if not made:
-        placed.unpersist()
+def _fit_fold(placed: DataFrame, columns: tuple[str, ...], fold: int) -> DataFrame | None:
+    """Out-of-fold probabilities ``(fold, y, prob)``; None when the training rows hold one class only."""
+    try:
+        fit = fit_logistic(placed.filter(F.col("fold") != fold), columns)
+    except ValueError:
         return None
-    out = made[0]
-    for d in made[1:]:
-        out = out.unionByName(d)
-    return out
+    z = logit([F.col(c) for c in columns], fit.mean, fit.scale, fit.weights, fit.intercept)
+    test = placed.filter(F.col("fold") == fold)
+    return test.select("fold", F.col("r").alias("y"), sigmoid(z).alias("prob"))
 
 
 def linear_probes(table: DataFrame, blocks=FAMILY_BLOCKS, k: int = CV_FOLDS, seed: int = SEED,
-                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                  rows_per_bucket: int = ROWS_PER_BUCKET, parallel: int = 8) -> DataFrame:
     """Mean and deviation over folds of AUROC and average precision, per block.
 
     Works on the rows where the whole block is present. A block with fewer than
@@ -59,24 +42,34 @@ def linear_probes(table: DataFrame, blocks=FAMILY_BLOCKS, k: int = CV_FOLDS, see
     )
     classes = table.agg(F.count_if(F.col("r") == 1).alias("p"), F.count_if(F.col("r") == 0).alias("n")).first()
     k = min(k, classes["p"], classes["n"])
-    parts = []
-    for family, block, columns in blocks if k >= 2 else ():
-        rows = complete_cases(table, columns)
+    def prepare(block) -> tuple[tuple, DataFrame] | None:
+        rows = complete_cases(table, block[2])
         if rows.count() < 2 * k:
-            continue
-        found = fold_predictions(rows, columns, k, seed)
-        if found is not None:
-            parts.append(
-                found.select(
-                    F.concat_ws("|", F.lit(family), F.lit(block), F.lit(len(columns)), "fold").alias("key"), "y", "prob"
-                )
-            )
+            return None
+        return block, stage(folds(rows.select("query_id", "r", *block[2]), k, seed), "folds").persist()
+
+    def run(job) -> DataFrame | None:
+        family, block, columns, placed, fold = job
+        made = _fit_fold(placed, columns, fold)
+        name = F.concat_ws("|", F.lit(family), F.lit(block), F.lit(len(columns)), "fold")
+        return None if made is None else made.select(name.alias("key"), "y", "prob")
+
+    # Blocks and fits are independent and short of work each; run them side by
+    # side, as the library's own cross-validator does.
+    def side_by_side(fn, items) -> list:
+        return [x for x in pool.map(inheritable_thread_target(spark)(fn), items) if x is not None]
+
+    with ThreadPoolExecutor(parallel) as pool:
+        ready = side_by_side(prepare, blocks if k >= 2 else ())
+        parts = side_by_side(run, [(*block, placed, fold) for block, placed in ready for fold in range(k)])
     if not parts:
         return spark.createDataFrame([], schema)
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
     every = stage(every, "probe-scores")
+    for _, placed in ready:
+        placed.unpersist()
     buckets = long_form(every.select("prob", "y", "key"), ["prob"], ("y",), rows_per_bucket, keep=("key",))
     scores = metrics_by_key(buckets, ("y",), key="key", min_n=1).filter(F.col("auroc").isNotNull())
     part = F.split("key", r"\|")

@@ -191,31 +191,42 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(query_id(F.col("vec_id")).alias("query_id"), "embedding")
 
 
-def phi_text(spark: SparkSession, sf: str) -> DataFrame:
-    ids = splits(spark, sf).filter(F.col("split").isin(CALIB, TEST)).select("query_id")
-    return text_features.text_features(queries(spark, sf).join(ids, "query_id", "left_semi"))
+def stored_corpus(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Clean queries and their parts as stored tables, as the corpus jobs leave them for the others."""
+    q = stage(queries(spark, sf), "queries")
+    return q, stage(split.assign(q, RULE), "splits")
 
 
-def phi_raw(spark: SparkSession, sf: str) -> DataFrame:
-    geo = geometry.geometry(vectors(spark, sf), splits(spark, sf))
-    return phi_text(spark, sf).join(geo, "query_id", "left")
+def phi_text(q: DataFrame, s: DataFrame, **options) -> DataFrame:
+    ids = s.filter(F.col("split").isin(CALIB, TEST)).select("query_id")
+    return text_features.text_features(q.join(ids, "query_id", "left_semi"), **options)
 
 
-def phi_scaled(spark: SparkSession, sf: str) -> DataFrame:
+def phi_raw(spark: SparkSession, sf: str, q: DataFrame, s: DataFrame) -> DataFrame:
+    return phi_text(q, s).join(geometry.geometry(vectors(spark, sf), s), "query_id", "left")
+
+
+def phi_scaled(spark: SparkSession, sf: str, q: DataFrame, s: DataFrame) -> DataFrame:
     """Stored before the fit: the signals are read once to fit and once to scale."""
-    raw = stage(phi_raw(spark, sf), "phi-raw")
-    return scale.fit_zscore(raw, splits(spark, sf)).transform(raw)
+    raw = stage(phi_raw(spark, sf, q, s), "phi-raw")
+    return scale.fit_zscore(raw, s).transform(raw)
 
 
 def analysis(spark: SparkSession, sf: str) -> DataFrame:
     """The wide table, stored: validation, probes and the policy fit all read it."""
+    q, s = stored_corpus(spark, sf)
+    p = stage(grade.pair(grade.grade(outputs(spark, sf), q)), "pairs")
     wide = stage(psi_wide(spark, sf), "psi-wide")
-    made = analysis_table(
-        splits(spark, sf), pairs(spark, sf), phi_scaled(spark, sf), wide, compare.chi(wide, pairs(spark, sf))
-    )
+    made = analysis_table(s, p, phi_scaled(spark, sf, q, s), wide, compare.chi(wide, p))
     return stage(made, "analysis")
 
 
+def evaluation_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts, paired grades and the cheap model's signals: all that evaluation needs."""
+    q = queries(spark, sf)
+    return split.assign(q, RULE), grade.pair(grade.grade(outputs(spark, sf), q)), psi_wide(spark, sf)
+
+
 def lineitem_table(spark: SparkSession, sf: str) -> DataFrame:
     """A large table with a binary target, for the ranking metrics."""
     return table(spark, sf, "lineitem").select(
