@@ -82,7 +82,7 @@ class LinearFit:
     n_pos: int
 
 
-def fit_logistic(rows: DataFrame, columns: Sequence[str], label: str = "r") -> LinearFit:
+def fit_logistic(rows: DataFrame, columns: Sequence[str], label: str = "r", tol: float = 1e-8) -> LinearFit:
     """Standardise with the population deviation, then class-balanced L2 logistic regression (C = 1).
 
     The library minimises the weighted mean loss, so the penalty of C = 1 is 1/n.
@@ -111,7 +111,7 @@ def fit_logistic(rows: DataFrame, columns: Sequence[str], label: str = "r") -> L
     )
     model = LogisticRegression(
         weightCol="weight", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, fitIntercept=True,
-        maxIter=2000, tol=1e-9,
+        maxIter=2000, tol=tol,
     ).fit(train)
     return LinearFit(mean, scale, tuple(float(w) for w in model.coefficients), float(model.intercept), n, p)
 

@@ -20,7 +20,7 @@ from forkline.session import stage
 def _fit_fold(placed: DataFrame, columns: tuple[str, ...], fold: int) -> DataFrame | None:
     """Out-of-fold probabilities ``(fold, y, prob)``; None when the training rows hold one class only."""
     try:
-        fit = fit_logistic(placed.filter(F.col("fold") != fold), columns)
+        fit = fit_logistic(placed.filter(F.col("fold") != fold), columns, tol=1e-6)
     except ValueError:
         return None
     z = logit([F.col(c) for c in columns], fit.mean, fit.scale, fit.weights, fit.intercept)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from forkline.functions.exprs import three_places
 from forkline.functions.grading import bucket
 from forkline.schemas import BUCKETS, GATES, TIE_BREAK
 
@@ -49,31 +52,39 @@ def gate_messages(cards: DataFrame, gates: dict[str, float] = GATES, grading: st
     gate_a_pass = "gate_a: objective_mcq grading"
     gate_a_fail = "gate_a: grading is not mcq"
     gate_b_pass = "gate_b: frozen protocol layers (Phase A defaults)"
-    gap_line = "gate_c: acc_gap=%.3f {op} %.3f (acc_lo=%.3f, acc_hi=%.3f)"
-    both_line = "gate_d: opportunity_rate=%.3f >= {opportunity_min}, too_hard_rate=%.3f < {too_hard_max}"
-    few_line = "gate_d: opportunity_rate=%.3f < {opportunity_min}"
-    hard_line = "gate_d: too_hard_rate=%.3f >= {too_hard_max}"
+    gap_line = "gate_c: acc_gap={gap} {op} {min_gap} (acc_lo={lo}, acc_hi={hi})"
+    both_line = "gate_d: opportunity_rate={opp} >= {opportunity_min}, too_hard_rate={hard} < {too_hard_max}"
+    few_line = "gate_d: opportunity_rate={opp} < {opportunity_min}"
+    hard_line = "gate_d: too_hard_rate={hard} >= {too_hard_max}"
 
     opp, hard = F.col("opportunity_rate"), F.col("too_hard_rate")
     c, d = F.col("gate_c_pass"), F.col("gate_d_pass")
-
-    def gap(op: str) -> Column:
-        return F.format_string(
-            gap_line.format(op=op), "acc_gap", F.lit(float(gates["min_accuracy_gap"])), "acc_lo", "acc_hi"
-        )
+    slots = {
+        "gap": F.col("acc_gap"), "lo": F.col("acc_lo"), "hi": F.col("acc_hi"), "opp": opp, "hard": hard,
+        "min_gap": F.lit(float(gates["min_accuracy_gap"])),
+    }
+
+    def line(template: str, **texts) -> Column:
+        """Fill number slots with three places and text slots as they are."""
+        pieces = [
+            (F.lit(head), three_places(slots[name]) if name in slots else F.lit(str({**gates, **texts}[name])))
+            if name else (F.lit(head),)
+            for head, name, _, _ in Formatter().parse(template)
+        ]
+        return F.concat(*[x for piece in pieces for x in piece])
 
     mcq = grading == "mcq"
     passed = [
         F.lit(gate_a_pass if mcq else None),
         F.lit(gate_b_pass),
-        F.when(c, gap(">=")),
-        F.when(d, F.format_string(both_line.format(**gates), opp, hard)),
+        F.when(c, line(gap_line, op=">=")),
+        F.when(d, line(both_line)),
     ]
     failed = [
         F.lit(None if mcq else gate_a_fail),
-        F.when(~c, gap("<")),
-        F.when(~d & (opp < gates["opportunity_min"]), F.format_string(few_line.format(**gates), opp)),
-        F.when(~d & (hard >= gates["too_hard_max"]), F.format_string(hard_line.format(**gates), hard)),
+        F.when(~c, line(gap_line, op="<")),
+        F.when(~d & (opp < gates["opportunity_min"]), line(few_line)),
+        F.when(~d & (hard >= gates["too_hard_max"]), line(hard_line)),
     ]
 
     def lines(items: list[Column]) -> Column:

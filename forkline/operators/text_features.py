@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forkline.functions.exprs import array_mean, array_sum, let
+from forkline.functions.exprs import array_mean, let
 from forkline.functions.text import (
     choice_lines, compression_ratio, mattr, pair_means, question_text, set_jaccard, strip, user_message,
     word_count, word_set, words,
@@ -37,17 +37,24 @@ def structural(queries: DataFrame, *, window: int = MATTR_WINDOW, level: int = Z
         return F.struct(F.size(tokens).alias("n"), mattr(tokens, window).alias("mattr"))
 
     def spread_of(counts: Column) -> Column:
-        n = F.size(counts)
+        """Mean, population deviation and total of a few counts, from exact integer sums."""
+        sums = F.aggregate(
+            counts,
+            F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("q")),
+            lambda a, x: F.struct(
+                (a["s"] + x).alias("s"), (a["q"] + x.cast("long") * x.cast("long")).alias("q")
+            ),
+        )
 
-        def of(total: Column) -> Column:
-            deviation = F.sqrt(array_mean(F.transform(counts, lambda x: F.pow(x - total / n, 2))))
+        def of(t: Column) -> Column:
+            n = F.size(counts)
             return F.struct(
-                F.coalesce(F.try_divide(total, n), F.lit(0.0)).alias("mean"),
-                F.when(n > 1, deviation).otherwise(0.0).alias("std"),
-                F.when(total == 0, 1.0).otherwise(total).alias("total"),
+                F.coalesce(F.try_divide(t["s"], n), F.lit(0.0)).alias("mean"),
+                F.when(n > 1, F.sqrt((n * t["q"] - t["s"] * t["s"]).cast("double")) / n).otherwise(0.0).alias("std"),
+                F.when(t["s"] == 0, 1.0).otherwise(t["s"].cast("double")).alias("total"),
             )
 
-        return let(array_sum(F.transform(counts, lambda x: x.cast("double"))), of)
+        return let(sums, of)
 
     option_counts = F.transform("choices", word_count) if counter is None else F.col("_option_counts")
     made = made.withColumns(

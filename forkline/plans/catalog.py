@@ -348,19 +348,19 @@ def ranked_candidates(spark, sf):
 @query
 def phi_structural(spark, sf):
     made = text_features.structural(W.queries(spark, sf), with_compression=False)
-    return rounded(made.select("query_id", *[c for c in made.columns if c.startswith("phi__")]))
+    return rounded(made.select("query_id", *[c for c in made.columns if c.startswith("phi__")]), 9)
 
 
 @query
 def phi_ambiguity(spark, sf):
     made = text_features.ambiguity(W.queries(spark, sf))
-    return rounded(made.select("query_id", *[c for c in made.columns if c.startswith("phi__")]))
+    return rounded(made.select("query_id", *[c for c in made.columns if c.startswith("phi__")]), 9)
 
 
 @query
 def mattr_documents(spark, sf):
     docs = W.spread(W.table(spark, sf, "documents"))
-    return rounded(docs.select("doc_id", X.mattr(X.words(F.col("text")), 50).alias("mattr")))
+    return rounded(docs.select("doc_id", X.mattr(X.words(F.col("text")), 50).alias("mattr")), 9)
 
 
 @query
