@@ -18,6 +18,7 @@ def local_session(app: str = "forkline", cores: int | str = "*", shuffle_partiti
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
