@@ -53,8 +53,8 @@ def _with_buckets(wide: DataFrame, bounds: dict[str, list[float]]) -> tuple[Data
 def long_form(table: DataFrame, features: list[str], targets: tuple[str, ...] = TARGETS,
               rows_per_bucket: int = ROWS_PER_BUCKET, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(feature, bucket, value, targets…)``, one row per usable feature value."""
-    wide = table.select(
-        *[number(f, table).alias(f) for f in features], *[F.col(t).cast("int").alias(t) for t in targets], *keep
+    wide = table.select(  # + 0.0: the two zeros are one value, also to the bucket search
+        *[(number(f, table) + F.lit(0.0)).alias(f) for f in features], *[F.col(t).cast("int").alias(t) for t in targets], *keep
     )
     wide, bucket = _with_buckets(wide, _bounds(wide, features, rows_per_bucket))
     items = F.array(
@@ -75,7 +75,6 @@ def metrics_by_key(long: DataFrame, targets: tuple[str, ...], key: str = "featur
     """
     sums = [F.count(t).alias(f"n_{t}") for t in targets] + [F.sum(t).cast("long").alias(f"p_{t}") for t in targets]
     cols = [f"n_{t}" for t in targets] + [f"p_{t}" for t in targets]
-    long = long.withColumn("value", F.col("value") + F.lit(0.0))  # -0.0 and 0.0 are one value
     values = long.groupBy(key, "bucket", "value").agg(*sums).fillna(0, subset=cols)
 
     # Totals per bucket, at most keys × MAX_BUCKETS rows.
