@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forkline.schemas import HI, LO, PSI
@@ -11,16 +11,15 @@ from forkline.schemas import HI, LO, PSI
 def by_role(signals: DataFrame) -> DataFrame:
     """One row per query: ``psi__*`` of the cheap and ``psi_hi__*`` of the strong model, one shuffle for both."""
 
-    def of(role: str):
-        return F.max(F.when(F.col("role") == role, F.struct(*PSI)))
+    def of(role: str, value) -> Column:
+        return F.max(F.when(F.col("role") == role, value))
 
-    wide = signals.groupBy("query_id").agg(of(LO).alias("_lo"), of(HI).alias("_hi"))
-    return wide.select(
-        "query_id",
-        F.col("_lo").isNotNull().alias("has_lo"),
-        F.col("_hi").isNotNull().alias("has_hi"),
-        *[F.col(f"_lo.{m}").alias(f"psi__{m}") for m in PSI],
-        *[F.col(f"_hi.{m}").alias(f"psi_hi__{m}") for m in PSI],
+    # Plain numbers as aggregates keep this a hash aggregation.
+    return signals.groupBy("query_id").agg(
+        F.coalesce(of(LO, F.lit(True)), F.lit(False)).alias("has_lo"),
+        F.coalesce(of(HI, F.lit(True)), F.lit(False)).alias("has_hi"),
+        *[of(LO, F.col(m)).alias(f"psi__{m}") for m in PSI],
+        *[of(HI, F.col(m)).alias(f"psi_hi__{m}") for m in PSI],
     )
 
 

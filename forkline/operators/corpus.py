@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from forkline.functions.text import strip
 from forkline.operators.hash_order import first_per_group
 from forkline.schemas import SEED
+from forkline.session import stage
 
 
 def normalise_rows(queries: DataFrame) -> DataFrame:
@@ -86,7 +87,8 @@ def prepare(queries: DataFrame, *, subsample_when_above: int | None = None, targ
         "subsampled": 0,
     }
     if subsample_when_above is not None and target_size is not None and meta["n_after_clean"] > subsample_when_above:
-        ids = stratified_ids(cleaned, target_size, stratify_by, seed).select("query_id")
+        # Stored, so that its known size lets the texts stay where they are.
+        ids = stage(stratified_ids(cleaned, target_size, stratify_by, seed).select("query_id"), "subsample")
         cleaned = cleaned.join(ids, "query_id", "left_semi")
         meta.update(n_final=min(target_size, meta["n_after_clean"]), subsampled=1)
     return cleaned, meta

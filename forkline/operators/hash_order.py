@@ -14,6 +14,8 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from forkline.session import stage
+
 SLICE_DIGITS = 3  # 4,096 slices: the bound on everything collected or broadcast here, per group
 
 
@@ -100,6 +102,8 @@ def group_rank(df: DataFrame, group: str, seed: int, id_col: str = "query_id", o
         (F.sum("_n").over(Window.partitionBy(group).orderBy("_slice")) - F.col("_n")).alias("_before"),
     )
     local = F.row_number().over(Window.partitionBy(group, "_slice").orderBy("_h", id_col))
+    # Stored, its size is known, and Spark broadcasts it only if it is small.
+    offsets = stage(offsets, "slice-offsets")
     return (
         ordered.withColumn("_local", local)
         .join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_slice") == F.col("_s")))
@@ -127,7 +131,9 @@ def first_per_group(df: DataFrame, group: str, quotas: DataFrame, seed: int, id_
         .agg(F.max(F.struct("_slice", "_start", "quota")).alias("_cut"))
         .select(group, F.col("_cut._slice").alias("_cs"), (F.col("_cut.quota") - F.col("_cut._start")).alias("_left"))
     )
-    near = ordered.join(cuts, group).filter(F.col("_slice") <= F.col("_cs"))
+    # One row per group. Stored, its size is known: when it is small the corpus
+    # side is not shuffled, so a group with a third of the rows is no hot key.
+    near = ordered.join(stage(cuts, "group-cuts"), group).filter(F.col("_slice") <= F.col("_cs"))
     whole = near.filter(F.col("_slice") < F.col("_cs")).select(id_col, group)
     edge = (
         near.filter(F.col("_slice") == F.col("_cs"))

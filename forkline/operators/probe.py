@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from forkline.operators.rank_metrics import ROWS_PER_BUCKET, long_form, metrics_
 from forkline.operators.split import folds
 from forkline.operators.table import complete_cases
 from forkline.schemas import CV_FOLDS, FAMILY_BLOCKS, SEED
-from forkline.session import stage
+from forkline.session import side_by_side, stage
 
 
 def _fit_fold(placed: DataFrame, columns: tuple[str, ...], fold: int) -> DataFrame | None:
@@ -43,10 +42,12 @@ def linear_probes(table: DataFrame, blocks=FAMILY_BLOCKS, k: int = CV_FOLDS, see
     classes = table.agg(F.count_if(F.col("r") == 1).alias("p"), F.count_if(F.col("r") == 0).alias("n")).first()
     k = min(k, classes["p"], classes["n"])
     def prepare(block) -> tuple[tuple, DataFrame] | None:
-        rows = complete_cases(table, block[2])
+        # Stored before the folds are dealt: the optimiser is slow to derive
+        # constraints through many non-null columns, a window and a join.
+        rows = stage(complete_cases(table, block[2]).select("query_id", "r", *block[2]), "block-rows")
         if rows.count() < 2 * k:
             return None
-        return block, stage(folds(rows.select("query_id", "r", *block[2]), k, seed), "folds").persist()
+        return block, stage(folds(rows, k, seed), "folds").persist()
 
     def run(job) -> DataFrame | None:
         family, block, columns, placed, fold = job
@@ -56,12 +57,12 @@ def linear_probes(table: DataFrame, blocks=FAMILY_BLOCKS, k: int = CV_FOLDS, see
 
     # Blocks and fits are independent and short of work each; run them side by
     # side, as the library's own cross-validator does.
-    def side_by_side(fn, items) -> list:
-        return [x for x in pool.map(inheritable_thread_target(spark)(fn), items) if x is not None]
+    def every_one(fn, items) -> list:
+        made = side_by_side(spark, [partial(fn, i) for i in items], parallel)
+        return [x for x in made if x is not None]
 
-    with ThreadPoolExecutor(parallel) as pool:
-        ready = side_by_side(prepare, blocks if k >= 2 else ())
-        parts = side_by_side(run, [(*block, placed, fold) for block, placed in ready for fold in range(k)])
+    ready = every_one(prepare, blocks if k >= 2 else ())
+    parts = every_one(run, [(*block, placed, fold) for block, placed in ready for fold in range(k)])
     if not parts:
         return spark.createDataFrame([], schema)
     every = parts[0]

@@ -138,6 +138,15 @@ def eval_ids(splits: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     return open_ids.join(wanted.select("query_id"), "query_id", "left_semi")
 
 
+def eval_rows(rows: DataFrame, splits: DataFrame) -> DataFrame:
+    """Rows of a sound partition outside the holdout.
+
+    The holdout has a fixed small size, so leaving it out is a broadcast; joining
+    the two large parts instead would shuffle the texts.
+    """
+    return rows.join(splits.filter(F.col("split") == HOLDOUT).select("query_id"), "query_id", "left_anti")
+
+
 def leaks(splits: DataFrame, wanted: DataFrame) -> DataFrame:
     """Wanted ids that must not be used for fitting or evaluation, with the reason."""
     return (

@@ -9,8 +9,9 @@ from forkline.functions.exprs import let, letter
 from forkline.operators import compare, corpus, geometry, grade, response, scale, split, text_features
 from forkline.operators.policy import RoutingPolicy
 from forkline.operators.table import analysis_table
-from forkline.schemas import CALIB, HI, LO, TEST, dotted
-from forkline.session import spread, stage
+from forkline.schemas import HI, LO
+from forkline.session import scratch_path, side_by_side, spread, stage
+from forkline.sources.tables import read_splits, write_splits
 
 # Sizes small enough for the smallest data set; the fractions are the usual ones.
 RULE = split.SplitRule(holdout_n=40, test_fraction=0.20, test_min=20, test_max=1000)
@@ -194,31 +195,36 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 def stored_corpus(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Clean queries and their parts as stored tables, as the corpus jobs leave them for the others."""
     q = stage(queries(spark, sf), "queries")
-    return q, stage(split.assign(q, RULE), "splits")
+    path = scratch_path(spark, "splits")
+    write_splits(split.assign(q, RULE), path)
+    return q, read_splits(spark, path)
 
 
 def phi_text(q: DataFrame, s: DataFrame, **options) -> DataFrame:
-    ids = s.filter(F.col("split").isin(CALIB, TEST)).select("query_id")
-    return text_features.text_features(q.join(ids, "query_id", "left_semi"), **options)
-
-
-def phi_raw(spark: SparkSession, sf: str, q: DataFrame, s: DataFrame) -> DataFrame:
-    return phi_text(q, s).join(geometry.geometry(vectors(spark, sf), s), "query_id", "left")
+    return text_features.text_features(split.eval_rows(q, s), **options)
 
 
 def phi_scaled(spark: SparkSession, sf: str, q: DataFrame, s: DataFrame) -> DataFrame:
     """Stored before the fit: the signals are read once to fit and once to scale."""
-    raw = stage(phi_raw(spark, sf, q, s), "phi-raw")
+    text, geo = side_by_side(
+        spark, [lambda: stage(phi_text(q, s), "phi-text"), lambda: geometry.geometry(vectors(spark, sf), s)]
+    )
+    raw = stage(text.join(geo, "query_id", "left"), "phi-raw")
     return scale.fit_zscore(raw, s).transform(raw)
 
 
 def analysis(spark: SparkSession, sf: str) -> DataFrame:
     """The wide table, stored: validation, probes and the policy fit all read it."""
     q, s = stored_corpus(spark, sf)
-    p = stage(grade.pair(grade.grade(outputs(spark, sf), q)), "pairs")
-    wide = stage(psi_wide(spark, sf), "psi-wide")
-    made = analysis_table(s, p, phi_scaled(spark, sf, q, s), wide, compare.chi(wide, p))
-    return stage(made, "analysis")
+    p, wide, phi = side_by_side(
+        spark,
+        [
+            lambda: stage(grade.pair(grade.grade(outputs(spark, sf), q)), "pairs"),
+            lambda: stage(psi_wide(spark, sf), "psi-wide"),
+            lambda: phi_scaled(spark, sf, q, s),
+        ],
+    )
+    return stage(analysis_table(s, p, phi, wide, compare.chi(wide, p)), "analysis")
 
 
 def evaluation_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -244,7 +250,3 @@ def arrivals(spark: SparkSession, sf: str, stream: bool) -> DataFrame:
     else:
         rows = table(spark, sf, "events")
     return rows.select("event_id", F.col("ts").cast("timestamp").alias("ts"), query_id(F.col("user_id")).alias("query_id"))
-
-
-def exported_features(columns) -> list[str]:
-    return [dotted(c) for c in columns]

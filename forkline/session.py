@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -63,3 +66,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def side_by_side(spark: SparkSession, jobs: list[Callable], parallel: int = 8) -> list:
+    """Results of independent driver-side calls, each of which may start Spark jobs.
+
+    The scheduler interleaves the jobs, so short ones do not wait for each other.
+    """
+    with ThreadPoolExecutor(parallel) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(j)) for j in jobs]]
