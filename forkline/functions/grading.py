@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from forkline.functions.exprs import let
 from forkline.functions.text import strip
 
 # Line ends, and the first ASCII letter that stands alone.
@@ -24,9 +25,12 @@ def first_line(text: Column) -> Column:
 
 def parsed_answer(text: Column, n_choices: Column) -> Column:
     """Option index named by the first stand-alone letter; NULL if none or out of range."""
-    found = F.regexp_extract(first_line(text), LONE_LETTER, 1)
-    index = F.ascii(F.upper(found)) - 65
-    return F.when((found != "") & (index < n_choices), index)
+
+    def of(found: Column) -> Column:
+        index = F.ascii(F.upper(found)) - 65
+        return F.when((found != "") & (index < n_choices), index)
+
+    return let(F.regexp_extract(first_line(text), LONE_LETTER, 1), of)
 
 
 def is_correct(parsed: Column, answer_index: Column) -> Column:

@@ -229,8 +229,8 @@ def analysis(spark: SparkSession, sf: str) -> DataFrame:
 
 def evaluation_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Parts, paired grades and the cheap model's signals: all that evaluation needs."""
-    q = queries(spark, sf)
-    return split.assign(q, RULE), grade.pair(grade.grade(outputs(spark, sf), q)), psi_wide(spark, sf)
+    q, s = stored_corpus(spark, sf)
+    return s, grade.pair(grade.grade(outputs(spark, sf), q)), psi_wide(spark, sf)
 
 
 def lineitem_table(spark: SparkSession, sf: str) -> DataFrame:
