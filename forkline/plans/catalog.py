@@ -667,7 +667,7 @@ def hi_rate_windows(spark, sf):
     out = routing.hi_rate_windows(stream, kappa=W.KAPPA)
     made = routing.run_to_table(out, scratch_path(spark, "windows"), scratch_path(spark, "windows-state"))
     return rounded(made.select(
-        F.unix_timestamp("window_start").alias("window_start"), F.unix_timestamp("window_end").alias("window_end"),
+        *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("window_start", "window_end")],
         "n", "n_hi", "hi_rate", "cost",
     ))
 
