@@ -18,7 +18,7 @@ from forkline.operators import (
 from forkline.operators.table import table_meta
 from forkline.plans import workload as W
 from forkline.schemas import (
-    CALIB, CHI_COLS, FEATURE_COLS, HI, HOLDOUT, LABEL_COLS, LO, PHI_GEOMETRY_COLS, PSI, PSI_COLS, SEED, TEST,
+    CALIB, CHI_COLS, FEATURE_COLS, HI, HOLDOUT, LABEL_COLS, LO, PHI_GEOMETRY_COLS, PSI, PSI_COLS, TEST,
 )
 from forkline.session import scratch_path, stage
 from forkline.sources import registry, tables

@@ -2,7 +2,6 @@ import hashlib
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from forkline.operators import corpus, hash_order, split
 from forkline.operators.split import SplitRule

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from forkline.operators import grade, scorecard
-from forkline.schemas import HI, LO, QUERY_DDL, RESULT_DDL, TRACE_DDL
+from forkline.schemas import HI, LO, QUERY_DDL, RESULT_DDL
 
 
 def pairs(spark, rows):
