@@ -103,9 +103,10 @@ def _classes(survey: DataFrame) -> np.ndarray:
     return classes.reshape(-1)
 
 
-def _prefixes(classes, blocks: int):
-    """Prefix shingles of each different set of the partition, dealt to blocks by hash."""
-    hot = np.uint8(min(255, round(8 * np.log2(HOT))))
+def _prefixes(classes, blocks: int, hot: int):
+    """Prefix shingles of each different set of the partition, dealt to blocks by hash; a shingle of class ``hot``
+    or above goes to several blocks."""
+    share = float(np.exp2(hot / 8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
@@ -134,7 +135,7 @@ def _prefixes(classes, blocks: int):
             often = (order >> U(56)).astype(np.uint8) >= hot
             if often.any():
                 estimate = np.exp2((order[often] >> U(56)).astype(np.float64) / 8)
-                spread[often] = mix(key[often].astype(U)) % np.ceil(estimate / HOT).astype(U)
+                spread[often] = mix(key[often].astype(U)) % np.ceil(estimate / share).astype(U)
             block = ((mix(order + spread * U(0x9E3779B97F4A7C15)) >> U(33)) % U(blocks)).astype(np.int32)
             by = np.argsort(block, kind="stable")
             cuts = np.flatnonzero(np.diff(block[by])) + 1
@@ -147,8 +148,8 @@ def _prefixes(classes, blocks: int):
     return run
 
 
-def _candidates(cells: list[memoryview]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs of anchor and member, and the groups of three or more, of one block."""
+def _candidates(cells: list[memoryview], hot: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of anchor and member, and the groups of three or more, of one block; all of a shingle of class ``hot``."""
     got = [unpacked(c, U, np.int64, np.int64, np.int32, np.int32) for c in cells]
     order, key, first, size, place = (np.concatenate(x) for x in zip(*got, strict=True))
     by = np.lexsort((first, key, order))
@@ -157,11 +158,15 @@ def _candidates(cells: list[memoryview]) -> Iterator[tuple[np.ndarray, ...]]:
     new[:1] = True
     new[1:] = (order[1:] != order[:-1]) | (key[1:] != key[:-1]) | (size[1:] != size[:-1])
     order, first, size, place = order[new], first[new], size[new], place[new]  # the smallest id of each set
+    often = (order >> U(56)).astype(np.uint8) >= hot
+    if often.any():  # its members are in several blocks: the shingle names the group
+        yield first[often], first[often], order[often].astype(np.int64), size[often]
     starts = np.flatnonzero(np.r_[True, order[1:] != order[:-1]])
     counts = np.diff(np.append(starts, len(order)))
     keep = np.repeat(counts > 1, counts)
     if not keep.any():
         return
+    often = often[starts][counts > 1]
     first, size, place = first[keep], size[keep], place[keep]
     counts = counts[counts > 1]
     starts = np.cumsum(counts) - counts
@@ -178,20 +183,20 @@ def _candidates(cells: list[memoryview]) -> Iterator[tuple[np.ndarray, ...]]:
     with np.errstate(over="ignore"):
         name = np.add.reduceat(mix(first.astype(U)), starts) ^ counts.astype(U)
     _, once = np.unique(name, return_index=True)
-    once = once[counts[once] > 2]
+    once = once[(counts[once] > 2) & ~often[once]]
     for g in once.tolist():
         members = slice(starts[g], starts[g] + counts[g])
         yield (np.full(counts[g], first[starts[g]]), first[members],
                np.full(counts[g], name[g].astype(np.int64)), size[members])
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(hot: int):
     """Candidates of the blocks, which come one after the other."""
     names = ["a", "b", "grp", "n"]
 
     def out(cells):
         a, b, grp, n = [], [], [], []
-        for x in _candidates(cells):
+        for x in _candidates(cells, hot):
             for held, got in zip((a, b, grp, n), x, strict=True):
                 held.append(got)
             if sum(map(len, a)) > 100_000:
@@ -200,16 +205,19 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, grp, n)], names=names)
 
-    now, cells = None, []
-    for batch in batches:
-        for block, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if block != now and cells:
-                yield from out(cells)
-                cells = []
-            now = block
-            cells.append(cell.as_buffer())
-    if cells:
-        yield from out(cells)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cells = None, []
+        for batch in batches:
+            for block, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if block != now and cells:
+                    yield from out(cells)
+                    cells = []
+                now = block
+                cells.append(cell.as_buffer())
+        if cells:
+            yield from out(cells)
+
+    return run
 
 
 def _apart(x: np.ndarray, y: np.ndarray, most: int, depth: int = 2) -> bool:
@@ -284,13 +292,14 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
         docs.mapInArrow(_survey, "doc_id bigint, n bigint, k1 bigint, k2 bigint, chunk int, counts binary"), "survey")
     sets = survey.where("chunk is null").select("doc_id", "n", "k1", "k2")
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = min(255, round(8 * float(np.log2(HOT))))
     blocks = max(MIN_BLOCKS, -(-total // (4 * BLOCK_ENTRIES)))
     classes = spark.sparkContext.broadcast(_classes(survey))
     met = stage(
-        docs.mapInArrow(_prefixes(classes, blocks), "block int, cell binary")
+        docs.mapInArrow(_prefixes(classes, blocks, hot), "block int, cell binary")
         .repartition(blocks, "block")
         .sortWithinPartitions("block")
-        .mapInArrow(_meet, "a bigint, b bigint, grp bigint, n int"), "met")
+        .mapInArrow(_meet(hot), "a bigint, b bigint, grp bigint, n int"), "met")
 
     stars = met.where("grp = 0").select("a", "b").distinct()
     done = stage(_compared(stars, docs), "compared")
