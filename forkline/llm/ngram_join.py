@@ -34,6 +34,7 @@ CHUNK_BITS = 11  # counters are added up in 2^11 chunks
 HOT = 200_000  # sketched count from which a shingle's members are dealt to several blocks
 BLOCK_ENTRIES = 1_000_000  # prefix shingles of a block, on average
 MIN_BLOCKS = 32
+FILTER_BITS = 21  # of the bitmap of ids whose texts are compared: at most 2^18 broadcast rows
 ANCHOR_SHARE = 1_000  # members compared with one copy of an anchor's text
 
 U = np.uint64
@@ -160,7 +161,7 @@ def _candidates(cells: list[memoryview], hot: int) -> Iterator[tuple[np.ndarray,
     order, first, size, place = order[new], first[new], size[new], place[new]  # the smallest id of each set
     often = (order >> U(56)).astype(np.uint8) >= hot
     if often.any():  # its members are in several blocks: the shingle names the group
-        yield first[often], first[often], order[often].astype(np.int64), size[often]
+        yield first[often], first[often], order[often].astype(np.int64), size[often], place[often]
     starts = np.flatnonzero(np.r_[True, order[1:] != order[:-1]])
     counts = np.diff(np.append(starts, len(order)))
     keep = np.repeat(counts > 1, counts)
@@ -179,31 +180,35 @@ def _candidates(cells: list[memoryview], hot: int) -> Iterator[tuple[np.ndarray,
     rest = 1 + np.minimum(size[a] - place[a] - 1, size - place - 1)
     ok = (4 * small.astype(np.int64) >= 3 * large) & (rest >= need) & (first[a] != first)
     pairs = np.unique(np.stack([first[a][ok], first[ok]], axis=1), axis=0)
-    yield pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int32)
+    none = np.zeros(len(pairs), np.int32)
+    yield pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64), none, none
+    # Shingles with the same members are one group, with each member's smallest place.
     with np.errstate(over="ignore"):
         name = np.add.reduceat(mix(first.astype(U)), starts) ^ counts.astype(U)
-    _, once = np.unique(name, return_index=True)
-    once = once[(counts[once] > 2) & ~often[once]]
-    for g in once.tolist():
-        members = slice(starts[g], starts[g] + counts[g])
-        yield (np.full(counts[g], first[starts[g]]), first[members],
-               np.full(counts[g], name[g].astype(np.int64)), size[members])
+    _, once, same = np.unique(name, return_index=True, return_inverse=True)
+    least = place.copy()
+    np.minimum.at(least, np.repeat(starts[once[same]], counts) + np.arange(len(place)) - np.repeat(starts, counts), place)
+    wanted = np.zeros(len(counts), bool)
+    wanted[once] = True
+    wanted = np.repeat(wanted & (counts > 2) & ~often, counts)
+    if wanted.any():
+        yield first[a][wanted], first[wanted], np.repeat(name.astype(np.int64), counts)[wanted], size[wanted], least[wanted]
 
 
 def _meet(hot: int):
     """Candidates of the blocks, which come one after the other."""
-    names = ["a", "b", "grp", "n"]
+    names = ["a", "b", "grp", "n", "place"]
 
     def out(cells):
-        a, b, grp, n = [], [], [], []
-        for x in _candidates(cells, hot):
-            for held, got in zip((a, b, grp, n), x, strict=True):
-                held.append(got)
-            if sum(map(len, a)) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, grp, n)], names=names)
-                a, b, grp, n = [], [], [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, grp, n)], names=names)
+        held = [[] for _ in names]
+        for got in _candidates(cells, hot):
+            for column, x in zip(held, got, strict=True):
+                column.append(x)
+            if sum(map(len, held[0])) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in held], names=names)
+                held = [[] for _ in names]
+        if held[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in held], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, cells = None, []
@@ -262,6 +267,18 @@ def _verify(suffix_filter: bool):
     return run
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose id is not among ``ids``, so that their texts are not shuffled.
+
+    A bitmap of hashed ids is broadcast as a table of octets: at most 2^(FILTER_BITS - 3) rows, whatever the input.
+    Once very many ids fill it, it lets most rows pass.
+    """
+    at, bit = f"shiftright(pmod(xxhash64(doc_id), {1 << FILTER_BITS}), 3)", "cast(pmod(xxhash64(doc_id), 8) as int)"
+    octets = ids.groupBy(F.expr(at).alias("__at")).agg(F.expr(f"bit_or(shiftleft(1, {bit}))").alias("__bits"))
+    marked = docs.withColumn("__at", F.expr(at)).join(F.broadcast(octets), "__at")
+    return marked.where(f"(shiftright(__bits, {bit}) & 1) = 1").select(*docs.columns)
+
+
 def _compared(pairs: DataFrame, docs: DataFrame, suffix_filter: bool = True) -> DataFrame:
     """``a, b, both, either`` for each different pair; 0 in ``both`` where the suffix filter rules the pair out."""
     degree = pairs.groupBy("a").agg(F.count("*").alias("degree"))
@@ -269,7 +286,8 @@ def _compared(pairs: DataFrame, docs: DataFrame, suffix_filter: bool = True) ->
         "a", "b", F.expr(f"pmod(xxhash64(b), cast(ceil(degree / {ANCHOR_SHARE}) as bigint))").alias("share"))
     members = dealt.select("a", "share", F.lit(1).alias("role"), F.col("b").alias("doc_id"))
     anchors = dealt.select("a", "share", F.lit(0).alias("role"), F.col("a").alias("doc_id")).distinct()
-    texts = members.union(anchors).join(docs, "doc_id").select("a", "share", "role", "doc_id", "text")
+    wanted = members.union(anchors)
+    texts = wanted.join(_only(docs, wanted.select("doc_id")), "doc_id").select("a", "share", "role", "doc_id", "text")
     dealt = texts.repartition("a", "share").sortWithinPartitions("a", "share", "role")
     return dealt.mapInArrow(_verify(suffix_filter), "a bigint, b bigint, both bigint, either bigint")
 
@@ -299,46 +317,56 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
         docs.mapInArrow(_prefixes(classes, blocks, hot), "block int, cell binary")
         .repartition(blocks, "block")
         .sortWithinPartitions("block")
-        .mapInArrow(_meet(hot), "a bigint, b bigint, grp bigint, n int"), "met")
+        .mapInArrow(_meet(hot), "a bigint, b bigint, grp bigint, n int, place int"), "met")
 
-    stars = met.where("grp = 0").select("a", "b").distinct()
+    stars = stage(met.where("grp = 0").select("a", "b").distinct(), "stars")
     done = stage(_compared(stars, docs), "compared")
-    edges = done.where(LINKED).select("a", "b")
-    labels = stage(components(edges), "labels")
+    labels = stage(components(done.where(LINKED)), "labels")
+
+    # How far each member is from the smallest id of its component.
+    far = (1 - F.col("both") / F.col("either")).alias("far")
+    known = done.where("both > 0").select(F.col("a").alias("label"), F.col("b").alias("node"), far)
+    apart = stage(labels.where("label <> node").join(known, ["label", "node"], "left_anti"), "apart")
+    apart = _compared(apart.select(F.col("label").alias("a"), F.col("node").alias("b")), docs, suffix_filter=False)
+    known = stage(known.union(apart.select(F.col("a").alias("label"), F.col("b").alias("node"), far)), "known")
 
     # Groups whose members are still in different components.
-    members = met.where("grp <> 0").select("grp", F.col("b").alias("node"), "n").distinct()
+    members = met.where("grp <> 0").groupBy("grp", F.col("b").alias("node")).agg(F.min("n").alias("n"), F.min("place").alias("place"))
     members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    direct = done.where(LINKED).select(
-        F.col("a").alias("label"), F.col("b").alias("node"), (1 - F.col("both") / F.col("either")).alias("far"))
-    members = members.join(direct, ["label", "node"], "left").withColumn(
+    members = members.join(known, ["label", "node"], "left").withColumn(
         "far", F.when(F.expr("label = node"), 0.0).otherwise(F.coalesce("far", F.lit(1.0))))
     open_groups = members.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    members = stage(members.join(open_groups, "grp").select("grp", "node", "n", "label", "far"), "open")
-    x, y = members.alias("x"), members.alias("y")
-    tops = members.select("grp", "label").distinct()
-    tops = (
-        tops.alias("x").join(tops.alias("y"), F.expr("x.grp = y.grp and x.label < y.label"))
-        .select(F.expr("x.label as a"), F.expr("y.label as b")).distinct()
-    )
+    members = stage(members.join(open_groups, "grp").select("grp", "node", "n", "place", "label", "far"), "open")
+
+    # First the tops of two components, if any of their members in a group could pass the filters.
+    parts = members.groupBy("grp", "label").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.expr("n - place")).alias("reach"))
+    could = ("x.grp = y.grp and x.label < y.label and 4 * x.most >= 3 * y.least and 4 * y.most >= 3 * x.least "
+             "and least(x.reach, y.reach) >= ceil(3 * (x.least + y.least) / 7)")
+    tops = stage(
+        parts.alias("x").join(parts.alias("y"), F.expr(could)).select(F.expr("x.label as a"), F.expr("y.label as b")).distinct(),
+        "tops")
     tops = stage(_compared(tops, docs, suffix_filter=False), "compared_tops")
-    between = tops.where(f"not ({LINKED}) and both > 0").select(
-        F.col("a").alias("la"), F.col("b").alias("lb"), (1 - F.col("both") / F.col("either")).alias("d"))
-    joined = tops.where(LINKED).select(F.col("a").alias("la"), F.col("b").alias("lb"), F.lit(True).alias("one"))
+
+    # Then their members, unless the components are too far apart by the triangle inequality.
+    radius = members.groupBy("label").agg(F.max("far").alias("radius"), F.count_distinct("node").alias("size"))
+    near = (
+        tops.where(f"not ({LINKED})").select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
+        .join(radius.select(F.col("label").alias("a"), F.col("radius").alias("ra"), F.col("size").alias("sa")), "a")
+        .join(radius.select(F.col("label").alias("b"), F.col("radius").alias("rb"), F.col("size").alias("sb")), "b")
+        .where("(sa > 1 or sb > 1) and d - ra - rb <= 0.25 + 1e-9").select("a", "b", "d")
+    )
+    near = stage(near, "near")
+    passes = ("x.grp = y.grp and b = y.label and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n) "
+              "and least(x.n - x.place, y.n - y.place) >= ceil(3 * (x.n + y.n) / 7) "
+              "and d - x.far - y.far <= 0.25 + 1e-9 and not (x.node = x.label and y.node = y.label)")
     rest = (
-        x.join(y, F.expr("x.grp = y.grp and x.label < y.label and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n) "
-                         "and not (x.label = x.node and y.label = y.node)"))
-        .select(F.expr("x.node as a"), F.expr("y.node as b"), F.expr("x.label as la"), F.expr("y.label as lb"),
-                F.expr("x.far + y.far as far")).distinct()
-        .join(joined, ["la", "lb"], "left_anti")
-        .join(between, ["la", "lb"], "left")
-        .where("coalesce(d, 0.25) - far <= 0.25 + 1e-9")
-        .select("a", "b").distinct()
+        near.join(members.alias("x"), F.expr("a = x.label")).join(members.alias("y"), F.expr(passes))
+        .select(F.expr("x.node as a"), F.expr("y.node as b")).distinct()
     )
-    rest = stage(_compared(rest, docs), "compared_rest")
+    rest = stage(_compared(stage(rest, "rest"), docs), "compared_rest")
     more = tops.union(rest).where(LINKED).select("a", "b")
-    links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)
-    final = components(links)
+    final = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
 
     # Copies share the label of the smallest id that has their set.
     with_words = sets.where("n > 0 and doc_id is not null")
