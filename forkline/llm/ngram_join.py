@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forkline.llm.arrow import packed, unpacked
+from forkline.llm.arrow import packed, parts, unpacked
 from forkline.llm.components import components
 from forkline.llm.shingles import mix, shingle_sets
 from forkline.session import stage
@@ -32,8 +32,8 @@ from forkline.session import stage
 SKETCH_BITS = 21  # counters of the sketch: 2 MB as broadcast, whatever the input
 CHUNK_BITS = 11  # counters are added up in 2^11 chunks
 HOT = 200_000  # sketched count from which a shingle's members are dealt to several blocks
-BLOCK_ENTRIES = 1_000_000  # prefix shingles of a block, on average
-MIN_BLOCKS = 32
+BLOCK_ENTRIES = 500_000  # prefix shingles of a block, on average
+MIN_BLOCKS = 64
 FILTER_BITS = 21  # of the bitmap of ids whose texts are compared: at most 2^18 broadcast rows
 ANCHOR_SHARE = 1_000  # members compared with one copy of an anchor's text
 
@@ -111,7 +111,7 @@ def _prefixes(classes, blocks: int, hot: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 1)):
             order, key, first, size, place, seen = [], [], [], [], [], {}
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
                 if not len(s) or doc is None:
@@ -339,12 +339,12 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     members = stage(members.join(open_groups, "grp").select("grp", "node", "n", "place", "label", "far"), "open")
 
     # First the tops of two components, if any of their members in a group could pass the filters.
-    parts = members.groupBy("grp", "label").agg(
+    sides = members.groupBy("grp", "label").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.expr("n - place")).alias("reach"))
     could = ("x.grp = y.grp and x.label < y.label and 4 * x.most >= 3 * y.least and 4 * y.most >= 3 * x.least "
              "and least(x.reach, y.reach) >= ceil(3 * (x.least + y.least) / 7)")
     tops = stage(
-        parts.alias("x").join(parts.alias("y"), F.expr(could)).select(F.expr("x.label as a"), F.expr("y.label as b")).distinct(),
+        sides.alias("x").join(sides.alias("y"), F.expr(could)).select(F.expr("x.label as a"), F.expr("y.label as b")).distinct(),
         "tops")
     tops = stage(_compared(tops, docs, suffix_filter=False), "compared_tops")
 
@@ -354,16 +354,19 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
         tops.where(f"not ({LINKED})").select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
         .join(radius.select(F.col("label").alias("a"), F.col("radius").alias("ra"), F.col("size").alias("sa")), "a")
         .join(radius.select(F.col("label").alias("b"), F.col("radius").alias("rb"), F.col("size").alias("sb")), "b")
-        .where("(sa > 1 or sb > 1) and d - ra - rb <= 0.25 + 1e-9").select("a", "b", "d")
+        .where("(sa > 1 or sb > 1) and d - ra - rb <= 0.25 + 1e-9")
+        # From the smaller component to the larger, whose radius is at hand.
+        .selectExpr("if(sa <= sb, a, b) as label", "if(sa <= sb, b, a) as other", "if(sa <= sb, rb, ra) as radius", "d")
     )
     near = stage(near, "near")
-    passes = ("x.grp = y.grp and b = y.label and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n) "
+    here = (
+        near.join(members, "label").where("d - far - radius <= 0.25 + 1e-9")
+        .select("grp", "other", "label", "d", "node", "n", "place", "far")
+    )
+    passes = ("x.grp = y.grp and x.other = y.label and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n) "
               "and least(x.n - x.place, y.n - y.place) >= ceil(3 * (x.n + y.n) / 7) "
               "and d - x.far - y.far <= 0.25 + 1e-9 and not (x.node = x.label and y.node = y.label)")
-    rest = (
-        near.join(members.alias("x"), F.expr("a = x.label")).join(members.alias("y"), F.expr(passes))
-        .select(F.expr("x.node as a"), F.expr("y.node as b")).distinct()
-    )
+    rest = here.alias("x").join(members.alias("y"), F.expr(passes)).select(F.expr("x.node as a"), F.expr("y.node as b")).distinct()
     rest = stage(_compared(stage(rest, "rest"), docs), "compared_rest")
     more = tops.union(rest).where(LINKED).select("a", "b")
     final = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))

@@ -1,11 +1,15 @@
-"""The operators over the given tables: one query each, and SQL counterparts where SQL can say the same."""
+"""The operators over the given tables: one query each."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from forkline.llm import decontaminate, ngram_join, pii, quality_rules, sentencepiece_wfst, token_counts
+from forkline.llm import (
+    decontaminate, ngram_join, pii, quality_rules, quotes, secret_scan, sentencepiece_wfst, token_counts, url_filter, warc,
+)
+from forkline.session import scratch_path, stage
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 PII_KEY = b"surrogates of the documents table"
@@ -15,6 +19,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of all documents. The labelled findings are those of documents in ``labels``, taken for reviewed;
+    a reviewer's verdict is stood in for by the quoted assignment to a credential's name."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    path = F.concat(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")), F.lit(".txt"))
+    found = stage(secret_scan.findings(docs, path=path).drop("source", "lang"), "findings")
+    featured = secret_scan.with_features(found, secret_scan.dictionary(read(spark, sf_dir, "benchmark")))
+    reviewed = featured.join(read(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    verdict = (F.col("assigned") + F.col("quoted") + F.col("credential_near") == 3).cast("int")
+    model = secret_scan.fit(reviewed.withColumn("verdict", verdict), "verdict")
+    return secret_scan.scored(featured, model).select(
+        "doc_id", "number", F.sha2("candidate", 256).alias("candidate_sha256"), *secret_scan.FEATURES, "score", "is_secret")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepiece_wfst.encoded(docs, MODEL).select("doc_id", "n_tokens", "round_trip", "token_ids")
@@ -30,6 +48,51 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs, rules).select("doc_id", *quality_rules.STATISTICS, "base_failed", "kept", "rule")
 
 
+def url_captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Captures of the pages with a day each, and dated changes of a list over the pages' domains."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_on", F.expr("date_add(date '2024-01-01', cast(pmod(page_id * 37, 366) as int))"))
+    domains = pages.select(F.regexp_replace(url_filter.host(F.col("url")), r"^(www|m|blog)\.", "").alias("domain")).distinct()
+    domains = domains.dropna().withColumn("k", F.expr("cast(conv(substring(md5(domain), 1, 7), 16, 10) as bigint)"))
+    day = "date_add(date '2024-01-01', cast({} as int))".format
+    changes = domains.where("k % 2 = 0 or domain rlike 'casino|bets|pills'").select("domain", F.expr(
+        f"inline(array(named_struct('path', '/', 'action', 'block', 'changed_on', {day('k % 300')}, 'change', 'add'),"
+        f"if(k % 3 <> 0, named_struct('path', '/', 'action', 'block', 'changed_on', {day('k % 300 + 20 + k % 97')}, 'change', 'remove'), null),"
+        f"if(k % 5 = 0, named_struct('path', '/', 'action', 'block', 'changed_on', {day('k % 300 + 150')}, 'change', 'add'), null),"
+        f"if(k % 4 = 0, named_struct('path', '/en/', 'action', 'allow', 'changed_on', {day('k % 200')}, 'change', 'add'), null)))"))
+    return captures, changes.dropna()
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures, changes = url_captures(spark, sf_dir)
+    return url_filter.evaluated(captures, url_filter.intervals(changes))
+
+
+def op6_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(read(spark, sf_dir, "pages"), path)
+    made = warc.captures(warc.read_archives(spark, path))
+    return made.select(
+        warc.page_field(F.col("metadata.fields")).alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("response.type").alias("record_type"),
+        F.when(F.col("response.type") == "revisit", warc.page_field(F.col("first_fields"))).alias("refers_to"))
+
+
+def quoting_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as mail: each turn quotes the turn before it in full, and the first line of the one before that."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = turns.groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
+    one = said.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("said").alias("one"))
+    two = said.select("conv_id", (F.col("turn") + 2).alias("turn"), F.regexp_extract("said", "^[^\n]*", 0).alias("two"))
+    quoted = turns.join(one, ["conv_id", "turn"], "left").join(two, ["conv_id", "turn"], "left")
+    return quoted.select("conv_id", "turn", "role", F.concat_ws(
+        "\n", F.concat(F.lit("> > "), "two"), F.concat(F.lit("> "), F.regexp_replace("one", "\n", "\n> ")), "text").alias("text"))
+
+
+def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(quoting_messages(spark, sf_dir))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
@@ -49,9 +112,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_sentencepiece, op3_ngram_jaccard_join, op4_quality_rules, op8_benchmark_decontamination, op9_pii_surrogates,
-        op10_token_counts,
+        op1_secret_scan, op2_sentencepiece, op3_ngram_jaccard_join, op4_quality_rules, op5_url_filter, op6_warc_transactions,
+        op7_quotation_linking, op8_benchmark_decontamination, op9_pii_surrogates, op10_token_counts,
     )
 }
-
-ORACLE: dict[str, str] = {}
