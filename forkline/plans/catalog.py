@@ -338,7 +338,7 @@ def winner(spark, sf):
 
 @query
 def ranked_candidates(spark, sf):
-    ranked = scorecard.ranked_candidates(_candidates(spark, sf).filter("n >= 5"), ("de", "en"))
+    ranked = scorecard.ranked_candidates(_candidates(spark, sf), ("de", "en"))
     return ranked.select("dataset", "run_id", "preference", "acc_gap", "opportunity_rate")
 
 

@@ -506,7 +506,7 @@ SELECT dataset, run_id, ({PREF})::INTEGER AS preference FROM latest WHERE gate_c
 ORDER BY acc_gap DESC, opportunity_rate DESC, 3, dataset LIMIT 1"""),
     "ranked_candidates": with_("candidates", f"""
 SELECT dataset, run_id, ({PREF})::INTEGER AS preference, acc_gap, opportunity_rate FROM candidates
-WHERE gate_c_pass AND gate_d_pass AND n >= 5"""),
+WHERE gate_c_pass AND gate_d_pass"""),
     "phi_structural": with_("structural", f"SELECT query_id, {', '.join(r(c, 9, c) for c in TEXT_COLS[:6])} FROM structural"),
     "phi_ambiguity": with_("ambiguity", f"SELECT query_id, {', '.join(r(c, 9, c) for c in TEXT_COLS[6:])} FROM ambiguity"),
     "mattr_documents": with_("doc_mattr", f"""
