@@ -109,17 +109,19 @@ def linked_passages(parts: DataFrame) -> DataFrame:
 
 def rooted(replies: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``conv_id, turn, root_turn, depth`` from ``conv_id, turn, parent_turn`` (null at a root; parents are earlier)."""
-    now = replies.select("conv_id", "turn", F.coalesce("parent_turn", "turn").alias("root_turn"),
-                         F.expr("if(parent_turn is null, 0L, 1L)").alias("depth"))
-    now = stage(now, "reply")
+    now = stage(replies.select(
+        "conv_id", "turn", F.coalesce("parent_turn", "turn").alias("root_turn"),
+        F.expr("if(parent_turn is null, 0L, 1L)").alias("depth"), F.col("parent_turn").isNull().alias("settled")), "reply")
     for _ in range(most_rounds):
-        up = now.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("__root"), F.col("depth").alias("__depth"))
-        after = stage(now.join(up, ["conv_id", "root_turn"]).select(
+        if not now.where("not settled").limit(1).count():
+            return now.drop("settled")
+        # Only messages that do not point to their root yet go on.
+        up = now.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("__root"),
+                        F.col("depth").alias("__depth"), F.col("settled").alias("__settled"))
+        moved = now.where("not settled").join(up, ["conv_id", "root_turn"]).select(
             "conv_id", "turn", F.col("__root").alias("root_turn"), (F.col("depth") + F.col("__depth")).alias("depth"),
-            (F.col("__root") < F.col("root_turn")).alias("moved")), "reply")
-        now = after.drop("moved")
-        if not after.where("moved").limit(1).count():
-            return now
+            F.col("__settled").alias("settled"))
+        now = stage(now.where("settled").unionByName(moved), "reply")
     raise RuntimeError("replies did not settle")
 
 
