@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forkline.operators.policy import RoutingPolicy, route
+from forkline.operators.policy import RoutingPolicy, decide
 from forkline.schemas import TEST
 
 
@@ -19,7 +19,7 @@ def decisions(splits: DataFrame, pairs: DataFrame, features: DataFrame, policy:
         .join(features.select("query_id", *policy.columns()), "query_id", "left")
     )
     graded = F.col("y_lo").isNotNull() & F.col("y_hi").isNotNull()
-    routed = route(rows, policy)
+    routed = decide(rows, policy)
     return routed.withColumn("skip_reason", F.when(~graded, "no result").otherwise(F.col("skip_reason")))
 
 

@@ -22,6 +22,7 @@ from forkline.schemas import (
 POLICY_VERSION = "v1"
 PROBABILITY, LOGIT = "logistic_probability", "logit"
 THRESHOLD_STEPS = 100
+LAYER_OF_KIND = {"phi": LAYER_QUERY, "psi": LAYER_RESPONSE}
 ROWS_PER_TASK = 50_000
 
 
@@ -54,20 +55,21 @@ def normalise_layers(layers: Sequence[str]) -> tuple[str, ...]:
     return tuple(LAYER_ALIASES.get(x, x) for x in layers)
 
 
+def kind(column: str) -> str:
+    """The family of a signal column: what stands before the two underscores."""
+    return column.partition("__")[0]
+
+
 def runtime_columns(explicit: Sequence[str] | None = None, spec: dict | None = None,
                     include_query: bool = False) -> tuple[str, ...]:
     """Columns of a deployable policy: given ones, else those of a feature spec, else the cheap model's signals.
 
     Signals that need the strong model cannot be used before routing.
     """
-    if explicit is not None:
-        chosen = tuple(explicit)
-    elif spec and spec.get("runtime_columns"):
-        chosen = tuple(spec["runtime_columns"])
-    else:
-        chosen = (PHI_COLS if include_query else ()) + PSI_COLS
-    chosen = tuple(undotted(c) for c in chosen)
-    if any(c in CHI_COLS or c.startswith("chi__") for c in chosen):
+    own = [*(PHI_COLS if include_query else ()), *PSI_COLS]
+    sources = (explicit, (spec or {}).get("runtime_columns") or None, own)
+    chosen = tuple(map(undotted, next(s for s in sources if s is not None)))
+    if any(kind(c) == "chi" or c in CHI_COLS for c in chosen):
         raise ValueError("a runtime policy cannot use signals that compare both models")
     return chosen
 
@@ -172,11 +174,11 @@ def fit_policy(table: DataFrame, columns: Sequence[str] | None = None, *, includ
         best = best_threshold(threshold_sweep(rows.select(draft.score().alias("score"), "r"))).first()
     finally:
         rows.unpersist()
-    layers = [LAYER_QUERY] * any(c.startswith("phi__") for c in chosen)
-    layers += [LAYER_RESPONSE] * any(c.startswith("psi__") for c in chosen)
+    kinds = {kind(c) for c in chosen}
+    layers = tuple(layer for family, layer in LAYER_OF_KIND.items() if family in kinds)
     return RoutingPolicy(
         draft.feature_columns, fit.mean, fit.scale, fit.weights, fit.intercept, best["tau"],
-        tuple(layers) or (LAYER_RESPONSE,), PROBABILITY, pool[0], pool[1],
+        layers or (LAYER_RESPONSE,), PROBABILITY, pool[0], pool[1],
         training={
             "split": CALIB, "method": "logistic_regression", "seed": str(seed), "n_calib": str(fit.n),
             "positive_rate": repr(fit.n_pos / fit.n), "calib_accuracy_at_tau": repr(best["accuracy"]),
@@ -185,7 +187,7 @@ def fit_policy(table: DataFrame, columns: Sequence[str] | None = None, *, includ
     )
 
 
-def route(features: DataFrame, policy: RoutingPolicy) -> DataFrame:
+def decide(features: DataFrame, policy: RoutingPolicy) -> DataFrame:
     """Adds ``score, route_hi, model, skip_reason``. Works on tables and streams alike.
 
     A row that lacks a feature gets no decision but the name of the first
@@ -205,7 +207,7 @@ def route(features: DataFrame, policy: RoutingPolicy) -> DataFrame:
 
 def agreement(table: DataFrame, policy: RoutingPolicy) -> DataFrame:
     """How often the decision equals the routing need, over rows that can be scored."""
-    decided = route(table, policy).filter(F.col("score").isNotNull())
+    decided = decide(table, policy).filter(F.col("score").isNotNull())
     return decided.agg(
         F.count("*").alias("n"),
         F.avg((F.col("route_hi").cast("int") == F.col("r")).cast("double")).alias("accuracy"),

@@ -582,15 +582,15 @@ def linear_probes(spark, sf):
 
 def _routed(spark, sf) -> DataFrame:
     wide = W.psi_wide(spark, sf)
-    return policy.route(wide, W.FIXED_POLICY)
+    return policy.decide(wide, W.FIXED_POLICY)
 
 
 @query
-def route(spark, sf):
+def decisions(spark, sf):
     """Every document routed with the fixed policy; those without scores are skipped with the reason."""
     docs = W.table(spark, sf, "documents").select(W.query_id(F.col("doc_id")).alias("query_id"))
     rows = docs.join(W.psi_wide(spark, sf), "query_id", "left")
-    routed = policy.route(rows, W.FIXED_POLICY)
+    routed = policy.decide(rows, W.FIXED_POLICY)
     return rounded(routed.select("query_id", "score", "route_hi", "model", "skip_reason"))
 
 
@@ -736,5 +736,5 @@ def policy_round_trip(spark, sf):
     path = scratch_path(spark, "policy") + "/routing/policy.json"
     tables.save_policy(spark, W.FIXED_POLICY, path)
     loaded = tables.load_policy(spark, tables.find_policy(spark, path.rsplit("/routing", 1)[0]))
-    routed = policy.route(W.psi_wide(spark, sf), loaded)
+    routed = policy.decide(W.psi_wide(spark, sf), loaded)
     return routed.groupBy("model").agg(F.count("*").alias("n"))

@@ -607,7 +607,7 @@ ORACLE["psi_variance"] = with_("light", " UNION ALL ".join(
     f"{r(f'min({c})', 6, 'min')}, {r(f'max({c})', 6, 'max')}, 'psi' AS family FROM light WHERE split = 'calib'"
     for c in PSI_
 ))
-ORACLE["route"] = with_("routed", f"""
+ORACLE["decisions"] = with_("routed", f"""
 SELECT 'documents:' || d.doc_id AS query_id, {r('score', 6, 'score')}, route_hi, model,
   CASE WHEN score IS NULL THEN {MISSING} END AS skip_reason
 FROM documents d LEFT JOIN routed r ON r.query_id = 'documents:' || d.doc_id""")

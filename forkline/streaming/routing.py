@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forkline.operators.grade import newest
-from forkline.operators.policy import RoutingPolicy, route
+from forkline.operators.policy import RoutingPolicy, decide
 
 
 def route_stream(arrivals: DataFrame, features: DataFrame, policy: RoutingPolicy) -> DataFrame:
@@ -16,7 +16,7 @@ def route_stream(arrivals: DataFrame, features: DataFrame, policy: RoutingPolicy
     broadcasts it when it is small and shuffles both sides when it is not.
     """
     joined = arrivals.join(features.select("query_id", *policy.columns()), "query_id", "left")
-    return route(joined, policy)
+    return decide(joined, policy)
 
 
 def hi_rate_windows(routed: DataFrame, time: str = "ts", size: str = "1 hour", late: str = "10 minutes",

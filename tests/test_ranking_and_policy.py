@@ -152,18 +152,18 @@ ONE = RoutingPolicy(("psi.msp",), (0.0,), (0.0,), (0.0,), 0.0, 0.5)
 
 def test_a_tie_goes_to_the_cheap_model(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", None), ("c", float("inf"))], "query_id string, psi__msp double")
-    got = {r["query_id"]: r for r in policy.route(df, ONE).collect()}
+    got = {r["query_id"]: r for r in policy.decide(df, ONE).collect()}
     assert got["a"]["score"] == 0.5 and got["a"]["route_hi"] is False and got["a"]["model"] == "M_lo"
     for x in "bc":
         assert got[x]["skip_reason"] == "missing psi.msp" and got[x]["model"] is None
     with pytest.raises(KeyError):
-        policy.route(df.drop("psi__msp"), ONE)
+        policy.decide(df.drop("psi__msp"), ONE)
 
 
 def test_raw_score_method(spark):
     p = RoutingPolicy(("psi.msp",), (1.0,), (2.0,), (3.0,), 0.5, 0.0, scoring_method="logit")
     df = spark.createDataFrame([("a", 2.0)], "query_id string, psi__msp double")
-    assert policy.route(df, p).first()["score"] == 0.5 + 3.0 * 0.5
+    assert policy.decide(df, p).first()["score"] == 0.5 + 3.0 * 0.5
 
 
 def test_runtime_columns():

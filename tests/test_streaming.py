@@ -16,7 +16,7 @@ def test_stream_equals_batch(spark, tmp_path):
     live = routing.route_stream(stream, feats, W.FIXED_POLICY).select("event_id", "score", "model", "skip_reason")
     got = routing.run_to_table(live, f"{tmp_path}/out", f"{tmp_path}/state").collect()
     batch = spark.read.parquet(f"{tmp_path}/in").join(feats, "query_id", "left")
-    want = policy.route(batch, W.FIXED_POLICY).select("event_id", "score", "model", "skip_reason").collect()
+    want = policy.decide(batch, W.FIXED_POLICY).select("event_id", "score", "model", "skip_reason").collect()
     assert sorted(got) == sorted(want) and len(got) == 60
     again = routing.run_to_table(live, f"{tmp_path}/out", f"{tmp_path}/state")
     assert again.count() == 60
