@@ -167,3 +167,12 @@ def test_row_numbers_are_contiguous(spark):
 def test_duplicate_ids(spark):
     with pytest.raises(ValueError):
         registry.require_unique(spark.createDataFrame([("a",), ("a",)], "query_id string"))
+
+
+def test_malformed_json_line_is_an_error(spark, tmp_path):
+    path = tmp_path / "lines.jsonl"
+    path.write_text('{"a": 1, "b": {"c": 2}}\n\n')
+    assert [r["row"] for r in tables.json_lines(spark, str(path)).collect()] == [{"a": "1", "b": '{"c":2}'}]
+    path.write_text('{"a": 1}\n{"a": \n')
+    with pytest.raises(Exception, match="MALFORMED"):
+        tables.json_lines(spark, str(path)).collect()
