@@ -74,6 +74,10 @@ def runtime_columns(explicit: Sequence[str] | None = None, spec: dict | None = N
     return chosen
 
 
+class OneClassError(ValueError):
+    """The rows of a fit hold one class only."""
+
+
 @dataclass(frozen=True)
 class LinearFit:
     mean: tuple[float, ...]
@@ -99,7 +103,7 @@ def fit_logistic(rows: DataFrame, columns: Sequence[str], label: str = "r", tol:
     ).first()
     n, p = stats["n"], stats["p"] or 0
     if p == 0 or p == n:
-        raise ValueError("two classes are needed")
+        raise OneClassError("two classes are needed")
     mean = tuple(stats[f"m_{c}"] for c in columns)
     scale = tuple(stats[f"s_{c}"] or 1.0 for c in columns)
     scaled = [(F.col(c) - F.lit(m)) / F.lit(s) for c, m, s in zip(columns, mean, scale)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forkline.functions.linear import logit, sigmoid
-from forkline.operators.policy import fit_logistic
+from forkline.operators.policy import OneClassError, fit_logistic
 from forkline.operators.rank_metrics import ROWS_PER_BUCKET, long_form, metrics_by_key
 from forkline.operators.split import folds
 from forkline.operators.table import complete_cases
@@ -20,7 +20,7 @@ def _fit_fold(placed: DataFrame, columns: tuple[str, ...], fold: int) -> DataFra
     """Out-of-fold probabilities ``(fold, y, prob)``; None when the training rows hold one class only."""
     try:
         fit = fit_logistic(placed.filter(F.col("fold") != fold), columns, tol=1e-6)
-    except ValueError:
+    except OneClassError:
         return None
     z = logit([F.col(c) for c in columns], fit.mean, fit.scale, fit.weights, fit.intercept)
     test = placed.filter(F.col("fold") == fold)
