@@ -27,9 +27,11 @@ def prompts(queries: DataFrame) -> DataFrame:
 def grade(outputs: DataFrame, queries: DataFrame) -> DataFrame:
     """Parse the answer out of ``raw_output`` and compare it with the key.
 
-    Outputs without a query are dropped; all columns of ``outputs`` are kept.
+    Of ``queries`` the answer key and ``n_choices`` are needed, or the choices themselves. Outputs without a query are
+    dropped; all columns of ``outputs`` are kept.
     """
-    keys = queries.select("query_id", F.size("choices").alias("_n"), F.col("answer_index").alias("_key"))
+    n_choices = F.col("n_choices") if "n_choices" in queries.columns else F.size("choices")
+    keys = queries.select("query_id", n_choices.alias("_n"), F.col("answer_index").alias("_key"))
     parsed = parsed_answer(F.col("raw_output"), F.col("_n"))
     return (
         outputs.join(keys, "query_id")
@@ -56,9 +58,15 @@ def upsert(cached: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("query_id
 
 
 def newest(rows: DataFrame, keys: tuple[str, ...], version: str) -> DataFrame:
-    """Per key the row with the highest version; partial aggregation keeps hot keys small."""
+    """Per key the row with the highest version; partial aggregation keeps hot keys small.
+
+    Of rows with the same version the one with the greatest other values is taken, column by column; maps have no
+    order and do not count.
+    """
     rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(version)).alias("_row")).select(*keys, "_row.*")
+    ordered = [c for c, kind in rows.dtypes if c in rest and c != version and "map<" not in kind and kind != "variant"]
+    best = F.max_by(F.struct(*rest), F.struct(version, *ordered))
+    return rows.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*")
 
 
 def in_requested_order(results: DataFrame, requested: DataFrame, position: str = "position") -> DataFrame:

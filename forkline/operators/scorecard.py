@@ -16,14 +16,15 @@ def bucket_counts(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return pairs.groupBy(*by, bucket(F.col("y_lo"), F.col("y_hi")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def raw_scorecard(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Unrounded rates and gates per group; both accuracies over the same rows."""
+def raw_scorecard(pairs: DataFrame, by: tuple[str, ...] = (), more: tuple[Column, ...] = ()) -> DataFrame:
+    """Unrounded rates and gates per group; both accuracies over the same rows. ``more`` are further aggregates."""
     b = bucket(F.col("y_lo"), F.col("y_hi"))
     rates = pairs.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.avg("y_lo").alias("acc_lo"),
         F.avg("y_hi").alias("acc_hi"),
         *[F.count_if(b == name).alias(f"n_{name}") for name in BUCKETS],
+        *more,
     )
     return (
         rates.withColumn("acc_gap", F.col("acc_hi") - F.col("acc_lo"))
@@ -32,9 +33,10 @@ def raw_scorecard(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def scorecard(pairs: DataFrame, by: tuple[str, ...] = (), gates: dict[str, float] = GATES) -> DataFrame:
+def scorecard(pairs: DataFrame, by: tuple[str, ...] = (), gates: dict[str, float] = GATES,
+              more: tuple[Column, ...] = ()) -> DataFrame:
     """Rates to four places; gates are decided on the unrounded values."""
-    raw = raw_scorecard(pairs, by)
+    raw = raw_scorecard(pairs, by, more)
     rate_cols = ("acc_lo", "acc_hi", "acc_gap", "opportunity_rate", "too_hard_rate")
     gated = raw.withColumns(
         {

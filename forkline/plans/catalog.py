@@ -310,9 +310,9 @@ def _candidates(spark, sf) -> DataFrame:
     """A scorecard per language and source: sources are the runs of a corpus, languages the corpora."""
     docs = W.table(spark, sf, "documents").select(W.query_id(F.col("doc_id")).alias("query_id"), "lang", "source", "doc_id")
     rows = W.pairs(spark, sf).join(docs, "query_id")
-    cards = scorecard.scorecard(rows, ("lang", "source"))
-    newest = rows.groupBy("lang", "source").agg(F.lpad(F.max("doc_id").cast("string"), 12, "0").alias("timestamp"))
-    return cards.join(newest, ["lang", "source"]).withColumnsRenamed({"lang": "dataset", "source": "run_id"})
+    newest = F.lpad(F.max("doc_id").cast("string"), 12, "0").alias("timestamp")
+    cards = scorecard.scorecard(rows, ("lang", "source"), more=(newest,))
+    return cards.withColumnsRenamed({"lang": "dataset", "source": "run_id"})
 
 
 @query
@@ -454,8 +454,8 @@ def generation_steps(spark, sf):
 
 
 def _text_phi(spark, sf) -> tuple[DataFrame, DataFrame]:
-    q, s = W.stored_corpus(spark, sf)
-    return stage(W.phi_text(q, s, with_compression=False), "phi-text"), s
+    s = W.stored_corpus(spark, sf)[1]
+    return stage(W.phi_text(W.queries(spark, sf), s, with_compression=False), "phi-text"), s
 
 
 @query
@@ -665,7 +665,7 @@ def hi_rate_windows(spark, sf):
     features = stage(W.psi_wide(spark, sf), "stream-features")
     stream = routing.route_stream(W.arrivals(spark, sf, True), features, W.FIXED_POLICY)
     out = routing.hi_rate_windows(stream, kappa=W.KAPPA)
-    made = routing.run_to_table(out, scratch_path(spark, "windows"), scratch_path(spark, "windows-state"))
+    made = routing.run_windows(out, scratch_path(spark, "windows"), scratch_path(spark, "windows-state"))
     return rounded(made.select(
         *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("window_start", "window_end")],
         "n", "n_hi", "hi_rate", "cost",

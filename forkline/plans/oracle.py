@@ -632,8 +632,7 @@ ORACLE["hi_rate_windows"] = with_("arrived", f"""
 SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(h + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end,
   n, n_hi, {r('n_hi::DOUBLE / n', 6, 'hi_rate')}, {r(f'n_hi * {W.KAPPA}::DOUBLE', 6, 'cost')}
 FROM (SELECT date_trunc('hour', ts) AS h, count(*) AS n, count(*) FILTER (route_hi) AS n_hi
-      FROM arrived WHERE skip_reason IS NULL GROUP BY 1)
-WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM arrived WHERE skip_reason IS NULL) - INTERVAL 10 MINUTE""")
+      FROM arrived WHERE skip_reason IS NULL GROUP BY 1)""")
 ORACLE["stream_latest"] = """
 SELECT 'documents:' || user_id AS query_id, event_type AS role, event_id AS version, value
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1"""

@@ -193,8 +193,9 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stored_corpus(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Clean queries and their parts as stored tables, as the corpus jobs leave them for the others."""
-    q = stage(queries(spark, sf), "queries")
+    """Answer keys of the clean queries, and their parts, as stored tables; texts stay where they are."""
+    keys = queries(spark, sf).select("query_id", F.size("choices").alias("n_choices"), "answer_index")
+    q = stage(keys, "keys")
     path = scratch_path(spark, "splits")
     write_splits(split.assign(q, RULE), path)
     return q, read_splits(spark, path)
@@ -221,7 +222,7 @@ def analysis(spark: SparkSession, sf: str) -> DataFrame:
         [
             lambda: stage(grade.pair(grade.grade(outputs(spark, sf), q)), "pairs"),
             lambda: stage(psi_wide(spark, sf), "psi-wide"),
-            lambda: phi_scaled(spark, sf, q, s),
+            lambda: phi_scaled(spark, sf, queries(spark, sf), s),
         ],
     )
     return stage(analysis_table(s, p, phi, wide, compare.chi(wide, p)), "analysis")

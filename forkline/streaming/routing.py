@@ -21,7 +21,11 @@ def route_stream(arrivals: DataFrame, features: DataFrame, policy: RoutingPolicy
 
 def hi_rate_windows(routed: DataFrame, time: str = "ts", size: str = "1 hour", late: str = "10 minutes",
                     kappa: float = 1.0) -> DataFrame:
-    """Share and cost of strong-model calls per time window; rows later than the watermark are dropped."""
+    """Share and cost of strong-model calls per time window.
+
+    A row that comes when its window is already behind the watermark is dropped by the stream. As an endless stream
+    use append mode, which emits closed windows; for a finite input see ``run_windows``.
+    """
     cost = F.when(F.col("route_hi"), F.lit(kappa)).otherwise(0.0)
     ok = routed.filter(F.col("skip_reason").isNull()).withColumn(time, F.col(time).cast("timestamp"))
     return (
@@ -45,6 +49,27 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def run_windows(windows: DataFrame, path: str, checkpoint: str, key: str = "window_start") -> DataFrame:
+    """Process everything that has arrived and return every window, those still open included.
+
+    Each micro-batch stores the windows that it changed in its own folder; a repeated batch overwrites it. The latest
+    state of a window is the valid one.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    windows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    log = windows.sparkSession.read.schema(f"{ddl(windows)}, batch long").parquet(path)
+    return newest(log, (key,), "batch").select(*windows.columns)
+
+
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
+
+
 KEYS = ("query_id", "role")
 
 

@@ -33,6 +33,21 @@ def test_windows_close_at_the_watermark(spark, tmp_path):
     assert [(r["n"], r["n_hi"], r["hi_rate"], r["cost"]) for r in got] == [(2, 1, 0.5, 3.0)]
 
 
+def test_all_windows_of_a_finite_run(spark, tmp_path):
+    """Several micro-batches give what one batch job gives; rows come in order of time."""
+    hours = [f"2024-01-01 {i // 4:02d}:{15 * (i % 4):02d}:00" for i in range(40)]
+    rows = [(ts, i % 3 == 0, None) for i, ts in enumerate(hours)]
+    ddl = "ts string, route_hi boolean, skip_reason string"
+    for i in range(0, 40, 10):
+        spark.createDataFrame(rows[i : i + 10], ddl).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    files = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = routing.hi_rate_windows(files.withColumn("ts", F.to_timestamp("ts")), kappa=3.0)
+    got = routing.run_windows(out, f"{tmp_path}/out", f"{tmp_path}/state")
+    once = spark.createDataFrame(rows, ddl).withColumn("ts", F.to_timestamp("ts"))
+    assert sorted(got.collect()) == sorted(routing.hi_rate_windows(once, kappa=3.0).collect())
+    assert got.count() == 10 and spark.read.parquet(f"{tmp_path}/out").select("batch").distinct().count() > 1
+
+
 def test_result_log_keeps_the_newest(spark, tmp_path):
     ddl = "query_id string, role string, version int, v int"
     src, log, state = (f"{tmp_path}/{x}" for x in ("in", "log", "state"))
