@@ -23,15 +23,12 @@ from forkline.schemas import FAMILY_BLOCKS, dotted
 
 TARGETS = ("r", "y_lo", "y_hi")
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 512
+MIN_BUCKETS = 8
 
 
 def _bounds(wide: DataFrame, features: list[str], rows_per_bucket: int) -> dict[str, list[float]]:
-    """Bucket bounds per feature: at most ``features × MAX_BUCKETS`` numbers on the driver."""
-    n = wide.count()
-    buckets = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
-    if buckets <= 1:
-        return {f: [] for f in features}
+    """Bucket bounds per feature: a number on the driver for each ``rows_per_bucket`` rows, eight at least."""
+    buckets = max(MIN_BUCKETS, math.ceil(wide.count() / rows_per_bucket))
     steps = [i / buckets for i in range(1, buckets)]
     row = wide.agg(*[F.percentile_approx(f, steps, 10 * buckets).alias(f) for f in features]).first()
     return {f: sorted(set(row[f] or [])) for f in features}
@@ -77,8 +74,8 @@ def metrics_by_key(long: DataFrame, targets: tuple[str, ...], key: str = "featur
     cols = [f"n_{t}" for t in targets] + [f"p_{t}" for t in targets]
     values = long.groupBy(key, "bucket", "value").agg(*sums).fillna(0, subset=cols)
 
-    # Totals per bucket, at most keys × MAX_BUCKETS rows.
-    totals = long.groupBy(key, "bucket").agg(*sums).fillna(0, subset=cols)
+    # Totals per bucket, from the distinct values, whose shuffle is reused.
+    totals = values.groupBy(key, "bucket").agg(*[F.sum(c).alias(c) for c in cols])
     up_to = Window.partitionBy(key).orderBy("bucket")
     whole = Window.partitionBy(key)
     offsets = totals.select(
@@ -90,7 +87,7 @@ def metrics_by_key(long: DataFrame, targets: tuple[str, ...], key: str = "featur
     inside = Window.partitionBy(key, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         values.withColumns({f"cum_{c}": F.sum(c).over(inside) for c in cols})
-        .join(F.broadcast(offsets), (F.col(key) == F.col("_k")) & (F.col("bucket") == F.col("_b")))
+        .join(offsets, (F.col(key) == F.col("_k")) & (F.col("bucket") == F.col("_b")))
     )
 
     aggs = [F.min("value").alias("lowest"), F.max("value").alias("highest")]
