@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -43,8 +44,30 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_made: list[str] = []  # paths given out in this process and not removed yet
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/forkline/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/forkline/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the intermediate tables that were stored inside.
+
+    Results that read them must be written or collected before; scopes may be nested, one at a time in a process.
+    """
+    before = len(_made)
+    try:
+        yield
+    finally:
+        # Spark has no call of its own that removes a folder; only paths made above are touched.
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in map(hadoop.Path, _made[before:]):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        del _made[before:]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
