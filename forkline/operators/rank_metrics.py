@@ -5,7 +5,7 @@ many rows and how many positives each target has. Equal values are merged before
 anything is ordered, so a value that holds a third of the rows is one row here.
 
 A feature's values are ordered in two levels. Quantile bounds cut the feature
-into buckets of about ``ROWS_PER_BUCKET`` rows; running sums are taken inside a
+into buckets of about ``ROWS_PER_BUCKET`` rows, eight at least; running sums are taken inside a
 bucket and shifted by the totals of the buckets before it. Any bounds give the
 exact result; they only decide how evenly the work is spread.
 """

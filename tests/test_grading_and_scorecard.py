@@ -77,6 +77,21 @@ def test_grade_and_pair(spark):
     }
 
 
+def test_answer_keys_do_for_grading(spark):
+    keys = spark.createDataFrame([("a", 4, 1)], "query_id string, n_choices int, answer_index int")
+    graded = grade.grade(outputs(spark, [("a", LO, "m", "B"), ("a", HI, "m", "none")]), keys)
+    assert {(r["role"], r["parsed_answer"], r["correct"]) for r in graded.collect()} == {(LO, 1, 1), (HI, None, 0)}
+
+
+def test_newest_of_equal_versions(spark):
+    ddl = "query_id string, version int, v int, extra map<string,string>"
+    rows = [("a", 2, 5, {"x": "1"}), ("a", 2, 7, {"x": "2"}), ("a", 1, 9, None), ("b", None, 1, None)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, ddl).repartition(3)
+        got = {r["query_id"]: (r["version"], r["v"]) for r in grade.newest(df, ("query_id",), "version").collect()}
+        assert got == {"a": (2, 7), "b": (None, 1)}
+
+
 def results(spark, rows):
     """rows: (query_id, role, protocol, candidate scores or None)"""
     made = [
