@@ -354,7 +354,8 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
         tops.where(f"not ({LINKED})").select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
         .join(radius.select(F.col("label").alias("a"), F.col("radius").alias("ra"), F.col("size").alias("sa")), "a")
         .join(radius.select(F.col("label").alias("b"), F.col("radius").alias("rb"), F.col("size").alias("sb")), "b")
-        .where("(sa > 1 or sb > 1) and d - ra - rb <= 0.25 + 1e-9")
+        # Only two sole members that are the tops themselves are settled; a sole member need not be the top.
+        .where("(sa > 1 or sb > 1 or ra > 0 or rb > 0) and d - ra - rb <= 0.25 + 1e-9")
         # From the smaller component to the larger, whose radius is at hand.
         .selectExpr("if(sa <= sb, a, b) as label", "if(sa <= sb, b, a) as other", "if(sa <= sb, rb, ra) as radius", "d")
     )

@@ -74,6 +74,21 @@ def test_variants_of_one_text_in_small_blocks(spark, monkeypatch):
     assert got[100][1] == 60
 
 
+def test_sole_open_members_that_are_not_the_tops(spark):
+    """Two families of copies that only meet in one member each, neither the smallest id of its family."""
+    c, p, q = ([f"{x}{i}" for i in range(n)] for x, n in (("c", 79), ("p", 13), ("q", 52)))
+    rows = []
+    for at, x in ((10, "t"), (40, "u")):
+        tail = [f"{x}{i}" for i in range(27)]
+        rows += [(at + k, " ".join([f"{x}own{k}", *c, *tail])) for k in range(8)]
+        rows.append((at + 20, " ".join([*p, *c, *tail[:14]])))
+    # The passage's smallest id links with neither; copies of its rest are frequent, so the passage is in its prefix.
+    rows += [(0, " ".join([*p, *c[:4], *q]))] + [(70 + k, " ".join(q)) for k in range(20)]
+    want = brute(rows)
+    assert want[10][1] == want[40][1] == 10 and want[0][1] == 0
+    assert run(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == want
+
+
 def test_edges_of_the_contract(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One  two"), (5, "one TWO"), (6, "one two three four"), (7, "É a b c d"),
             (8, "é a b c d"), (9, "a b c d e"), (10, "a b c d e a b c d e"), (11, "x" * 300_000)]
