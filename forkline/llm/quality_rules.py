@@ -2,8 +2,8 @@
 
 The list is learned by sequential covering. A rule is grown on two thirds of the labelled rows, one threshold at a
 time, by the information it gains on bad rows; it is pruned on the other third; the rows it covers are taken out and
-the next rule is grown. Rules are kept only while they are precise on held-out rows, so clean texts stay. The list
-becomes ``CASE WHEN rule 1 THEN .. WHEN rule 2 ..`` over the statistics.
+the next rule is grown. Rules are kept only while they cover enough held-out rows and are precise on these, and on all
+rows, so clean texts stay. The list becomes ``CASE WHEN rule 1 THEN .. WHEN rule 2 ..`` over the statistics.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ def base_failed() -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """A conjunction of ``feature >= cut`` (above) or ``feature < cut`` tests, with its precision on labelled rows."""
+    """A conjunction of ``feature >= cut`` (above) or ``feature < cut`` tests, with its precision and rows among those held out."""
 
     tests: tuple[tuple[str, bool, float], ...]
     precision: float
@@ -152,7 +152,10 @@ def learn(
     x: np.ndarray, bad: np.ndarray, names: list[str], *, min_precision: float = 0.95, min_covered: int = 3,
     most_rules: int = 12, most_tests: int = 3,
 ) -> DecisionList:
-    """Decision list from a matrix of features and a flag per row; rows are held out by position (every third)."""
+    """Decision list from a matrix of features and a flag per row; rows are held out by position (every third).
+
+    A rule needs ``min_covered`` held-out rows, ``min_precision`` of them bad; the rows it was grown on do not vouch for it.
+    """
     rules: list[Rule] = []
     left = np.ones(len(x), bool)
     held = np.arange(len(x)) % 3 == 2
@@ -163,8 +166,8 @@ def learn(
         ways = [tests[:k] for k in range(1, len(tests) + 1)]
         tests = max(ways, key=lambda w: (_worth(x[left & held], bad[left & held], w), -len(w)))
         got = left & _holds(x, tests)
-        covered, right = int(got.sum()), int((bad & got).sum())
-        if covered < min_covered or right < min_precision * covered:
+        covered, right = int((got & held).sum()), int((bad & got & held).sum())
+        if covered < min_covered or right < min_precision * covered or (bad & got).sum() < min_precision * got.sum():
             break
         rules.append(Rule(tuple((names[f], above, cut) for f, above, cut in tests), right / covered, covered))
         left &= ~got

@@ -58,6 +58,23 @@ def test_learned_list_generalises():
     assert quality_rules.learn(x[:0], y[:0], names).rules == ()
 
 
+def test_rules_need_held_out_rows():
+    """Every third row is held out: rules that only the other rows bear out are not kept."""
+    names, n = list(quality_rules.FEATURES), 300
+    held = np.arange(n) % 3 == 2
+    x, bad = np.zeros((n, len(names))), np.zeros(n, bool)
+    grown = np.flatnonzero(~held)
+    x[grown[:3], 2], bad[grown[:3]] = 1.0, True
+    assert quality_rules.learn(x, bad, names).rules == ()
+    x[grown[:90], 2], bad[grown[:90]] = 1.0, True
+    some = np.flatnonzero(held)[:3]
+    x[some, 2], bad[some[:2]] = 1.0, True
+    assert quality_rules.learn(x, bad, names).rules == ()
+    bad[some] = True
+    (rule,) = quality_rules.learn(x, bad, names).rules
+    assert rule.covered == 3 and rule.precision == 1.0
+
+
 def test_quality_on_given_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rules = quality_rules.fit(docs, labels)
