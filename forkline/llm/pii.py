@@ -222,23 +222,29 @@ def redrawn(known: DataFrame, key: bytes, most_rounds: int = 30) -> DataFrame:
     """``kind, form, attempt`` of the entities whose first surrogate is taken, with the draw that is free.
 
     Each round draws again for the entities whose surrogate is an entity of the corpus or another's surrogate; of
-    those that share one, the smallest form keeps it. Listed given names are left out: their pool is closed.
+    those that share one, the smallest form keeps it. Listed given names are not drawn again, as their pool is closed;
+    all of them count as taken. A given name is one entity here for all genders, so its draws stay the same.
     """
 
     @F.pandas_udf("string")
     def drawn(kind, form, attempt):
         return pa.array([surrogate(k, f, a, key) for k, f, a in zip(kind, form, attempt, strict=True)]).to_pandas()
 
-    closed = F.expr("kind = 'person' and form like 'g:%'")
-    known = stage(known.where(~closed), "entities")
-    now = stage(known.withColumn("attempt", F.lit(0)).withColumn("new", drawn("kind", "form", "attempt")), "draws")
+    given = F.expr("kind = 'person' and form like 'g:%'")
+    name = F.when(given, F.regexp_replace("form", "^g:[^:]*:", "g::")).otherwise(F.col("form"))
+    forms = stage(known.select("kind", "form", name.alias("name")), "entities")
+    listed = known.sparkSession.createDataFrame([("person", f"g::{n}") for n in GIVEN], "kind string, form string")
+    known = forms.select("kind", F.col("name").alias("form")).union(listed).distinct()
+    closed = (F.col("kind") == "person") & F.col("form").isin([f"g::{n}" for n in GIVEN])
+    now = stage(known.where(~closed).withColumn("attempt", F.lit(0)).withColumn("new", drawn("kind", "form", "attempt")), "draws")
     for _ in range(most_rounds):
         taken = known.select("kind", F.col("form").alias("new"), F.lit(True).alias("real"))
         keeper = now.groupBy("kind", "new").agg(F.min(F.struct("attempt", "form")).alias("keeper"))
         bad = now.join(taken, ["kind", "new"], "left").join(keeper, ["kind", "new"]).select(
             "kind", "form", "attempt", "new", F.expr("real is not null or keeper.form <> form").alias("bad"))
         if not bad.where("bad").limit(1).count():
-            return now.where("attempt > 0").select("kind", "form", "attempt")
+            again = now.where("attempt > 0").select("kind", F.col("form").alias("name"), "attempt")
+            return forms.join(again, ["kind", "name"]).select("kind", "form", "attempt")
         moved = bad.withColumn("attempt", F.expr("attempt + if(bad, 1, 0)"))
         again = moved.where("bad").withColumn("new", drawn("kind", "form", "attempt")).drop("bad")
         now = stage(moved.where("not bad").drop("bad").unionByName(again), "draws")

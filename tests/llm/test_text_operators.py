@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import public_tokenizers
@@ -204,3 +205,17 @@ def test_draws_until_distinct(spark):
     again = {(r["kind"], r["form"]): r["attempt"] for r in pii.redrawn(known, b"key").collect()}
     drawn = Counter((k, pii.surrogate(k, f, again.get((k, f), 0), b"key")) for k, f in [tuple(r) for r in known.collect()])
     assert max(drawn.values()) == 1 and not set(drawn) & {tuple(r) for r in known.collect()}
+
+
+def test_unlisted_given_names_are_drawn_until_distinct(spark):
+    key, name = b"k", lambda form: form.split(":", 2)[2]
+    met = name(pii.surrogate("person", "g:m:Bok", 0, key))
+    onto_listed = next(n for n in ("".join(x) for x in product("BCDFGHJKLMNPQRSTVWXZ", "aeiouy", "aeiouy", "bcdfghjklmnpqrstvwxz"))
+                       if name(pii.surrogate("person", f"g:m:{n}", 0, key)) == "Paul")
+    forms = ["g:m:Bok", "g::Bok", f"g:f:{met}", f"g:m:{onto_listed}", "g:m:Hans", "g:f:Maria", "n::Bok"]
+    known = spark.createDataFrame([("person", f) for f in forms], "kind string, form string")
+    again = {r["form"]: r["attempt"] for r in pii.redrawn(known, key).collect()}
+    assert again["g:m:Bok"] == again["g::Bok"] > 0 and again[f"g:m:{onto_listed}"] > 0 and "g:m:Hans" not in again
+    open_names = {f: name(pii.surrogate("person", f, again.get(f, 0), key)) for f in forms if f[0] == "g" and name(f) not in pii.GIVEN}
+    assert not set(open_names.values()) & ({name(f) for f in forms if f[0] == "g"} | set(pii.GIVEN))
+    assert len(set(open_names.values())) == 3
