@@ -3,8 +3,8 @@
 Lines are parsed into quote levels (leading ``>`` signs, with or without spaces). Lines of one level in a row are a
 passage; its letters are lower-cased and its white space collapsed before it is hashed, so re-wrapped quotes agree.
 Every message offers the hashes of its own text: whole, by paragraph and by line. A passage links to the earliest
-message of its conversation that offers its hash, else to the earliest of any conversation; so each hash has one
-target, and a line that very many messages share makes no pairs. A passage that no message offers as a whole links
+message of its conversation that offers its hash, else to the earliest of any other conversation. So each hash keeps
+the earliest message and the earliest of a second conversation, for quotes in the first one's own; a line that very many messages share makes no pairs. A passage that no message offers as a whole links
 where most of its lines come from.
 
 A message replies to the message of its conversation that its first outermost linked quote comes from. Roots and
@@ -19,7 +19,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from forkline.session import stage
@@ -86,8 +86,8 @@ def _targets(wanted: DataFrame, in_conversation: DataFrame, anywhere: DataFrame)
     far = near.join(anywhere, "hash", "left")
     inside = "near_turn < turn"
     outside = "far.conv_id <> conv_id"
-    return far.withColumn("to_conv", F.expr(f"case when {inside} then conv_id when {outside} then far.conv_id end")).withColumn(
-        "to_turn", F.expr(f"case when {inside} then near_turn when {outside} then far.turn end")).drop("near_turn", "far")
+    return far.withColumn("to_conv", F.expr(f"case when {inside} then conv_id when {outside} then far.conv_id else next.conv_id end")).withColumn(
+        "to_turn", F.expr(f"case when {inside} then near_turn when {outside} then far.turn else next.turn end")).drop("near_turn", "far", "next")
 
 
 def linked_passages(parts: DataFrame) -> DataFrame:
@@ -95,7 +95,11 @@ def linked_passages(parts: DataFrame) -> DataFrame:
     known = parts.dropna(subset=["conv_id", "turn"])
     index = known.select("conv_id", "turn", F.explode("offers").alias("hash"))
     near = index.groupBy("conv_id", "hash").agg(F.min("turn").alias("near_turn"))
-    far = index.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("far"))
+    # The first two conversations of a hash; the limit is applied before the shuffle too, so no hash gathers many rows.
+    first = near.withColumn("__no", F.row_number().over(Window.partitionBy("hash").orderBy("conv_id"))).where("__no <= 2")
+    one = F.struct("conv_id", F.col("near_turn").alias("turn"))
+    far = first.groupBy("hash").agg(F.min(one).alias("far"), F.min(F.when(F.col("__no") == 2, one)).alias("next"))
+    far = stage(far, "earliest")
     quoted = known.select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.*").distinct()
     whole = stage(_targets(quoted, near, far), "passages")
     found = whole.where("to_turn is not null").select("conv_id", "turn", "no", "level", "to_conv", "to_turn")

@@ -63,6 +63,15 @@ def test_quotes_are_linked(spark):
     assert quotes.conversations(df.where("false")).count() == 0
 
 
+def test_quote_of_what_the_message_itself_repeats(spark):
+    """The earliest message of the hash is the quoting one, or a later one of its conversation."""
+    rows = [(1, 0, "> how are you?\nhow are you?"), (1, 1, "> Fine.\nok"), (1, 2, "Fine."), (2, 3, "how are you?\nFine."), (2, 4, "how are you?"),
+            (3, 0, "how are you?"), (4, 0, "> how are you?\nhi"), (5, 0, "> only here\nonly here")]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    links = {(r["conv_id"], r["turn"]): (r["to_conv"], r["to_turn"]) for r in quotes.linked_passages(quotes.with_parts(df)).collect()}
+    assert links == {(1, 0): (2, 3), (1, 1): (2, 3), (4, 0): (1, 0), (5, 0): (None, None)}
+
+
 def test_secret_scan_on_held_out_findings(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     found = secret_scan.findings(docs.limit(4000)).cache()
