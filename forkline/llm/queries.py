@@ -25,7 +25,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     path = F.concat(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")), F.lit(".txt"))
     found = stage(secret_scan.findings(docs, path=path).drop("source", "lang"), "findings")
-    featured = secret_scan.with_features(found, secret_scan.dictionary(read(spark, sf_dir, "benchmark")))
+    featured = secret_scan.with_features(found, secret_scan.dictionary(docs))
     reviewed = featured.join(read(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
     verdict = (F.col("assigned") + F.col("quoted") + F.col("credential_near") == 3).cast("int")
     model = secret_scan.fit(reviewed.withColumn("verdict", verdict), "verdict")

@@ -1,8 +1,8 @@
 """Secret scans: candidates from texts, and a random forest that removes false positives. DataFrame functions only.
 
-A candidate is a run of 16 or more characters of keys and tokens. Its features are its length, the share of
-transitions between classes of characters, the share of its letter triples that dictionary words have, its path, and
-words before it. The forest is trained with spark.ml on labelled findings.
+A candidate is a run of 16 or more characters of keys and tokens; shorter passwords, and those with other signs, are
+not candidates. Its features are its length, the share of transitions between classes of characters, the share of its
+letter triples that dictionary words have, its path, and words before and after it. The forest is trained with spark.ml on labelled findings.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from forkline.session import stage
 
 CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}+"
-BEFORE = 60  # characters before a candidate that are looked at
+NEAR = 60  # characters before and after a candidate that are looked at
 CREDENTIAL = r"(?i)\b(token|secret|passw(or)?d|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)\b"
 HARMLESS = r"(?i)\b(sha1|sha256|md5|commit|uuid|checksum|etag|integrity|digest|example)\b"
 TRY_PATH = r"(?i)(^|[/_.\-])(test|tests|example|examples|doc|docs|sample|fixture|fixtures|mock)s?([/_.\-]|$)"
@@ -24,32 +24,36 @@ TRY_PATH = r"(?i)(^|[/_.\-])(test|tests|example|examples|doc|docs|sample|fixture
 FEATURES = [
     "length", "digit_share", "upper_share", "transitions", "distinct_share", "coverage", "path_depth", "path_trial",
     "assigned", "quoted", "credential_near", "harmless_near", "words_before",
+    "credential_after", "harmless_after", "words_after",
 ]
 
 
-def dictionary(texts: DataFrame, text_column: str = "text", most_triples: int = 2_000) -> list[str]:
-    """Letter triples of the words of a reference text, the ``most_triples`` most frequent."""
-    words = texts.select(F.explode(F.regexp_extract_all(F.lower(text_column), F.lit("[a-z]{3,}"), F.lit(0))).alias("w"))
+def dictionary(texts: DataFrame, text_column: str = "text") -> list[str]:
+    """Letter triples of all words of the texts, candidates left out: 26^3 at most, as a candidate has no other letters."""
+    prose = F.lower(F.regexp_replace(text_column, CANDIDATE, " "))
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(prose, F.lit("[a-z]{3,}"), F.lit(0)))).alias("w")).distinct()
     triples = words.select(F.explode(F.expr("transform(sequence(1, length(w) - 2), i -> substring(w, i, 3))")).alias("t"))
-    rows = triples.groupBy("t").count().orderBy(F.desc("count"), "t").limit(most_triples).collect()
-    return sorted(r["t"] for r in rows)
+    return sorted(r["t"] for r in triples.distinct().collect())
 
 
 def findings(docs: DataFrame, *, text_column: str = "text", path: Column | None = None) -> DataFrame:
-    """One row per candidate: all columns of ``docs`` but the text, ``number``, ``path``, ``candidate`` and ``before``
-    (what precedes it); columns of these names are replaced.
+    """One row per candidate: all columns of ``docs`` but the text, ``number``, ``path``, ``candidate``, ``before``
+    and ``after`` (what precedes and follows it); columns of these names are replaced.
 
     Null and empty texts have none. Every candidate of the whole text is found, also repeated ones.
     """
-    made = ("number", "path", "candidate", "before")
+    made = ("number", "path", "candidate", "before", "after")
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in made and c != text_column]
     text = F.col(f"`{text_column}`")
     some = docs.where(text.rlike(CANDIDATE)).select(
         *keep, (path if path is not None else F.lit(None).cast("string")).alias("path"),
         F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("__found"), F.split(text, CANDIDATE).alias("__between"))
-    some = some.withColumn("__between", F.transform("__between", lambda x: F.right(x, F.lit(BEFORE))))
-    each = some.select("*", F.posexplode(F.arrays_zip("__found", F.slice("__between", F.lit(1), F.size("__found")).alias("__lead"))))
-    return each.select(*keep, F.col("pos").alias("number"), "path", F.col("col.__found").alias("candidate"), F.col("col.__lead").alias("before"))
+    lead, trail = F.slice("__between", F.lit(1), F.size("__found")), F.slice("__between", F.lit(2), F.size("__found"))
+    some = some.withColumn("__lead", F.transform(lead, lambda x: F.right(x, F.lit(NEAR))))
+    some = some.withColumn("__trail", F.transform(trail, lambda x: F.left(x, F.lit(NEAR))))
+    each = some.select("*", F.posexplode(F.arrays_zip("__found", "__lead", "__trail")))
+    return each.select(*keep, F.col("pos").alias("number"), "path", F.col("col.__found").alias("candidate"),
+                       F.col("col.__lead").alias("before"), F.col("col.__trail").alias("after"))
 
 
 def with_features(found: DataFrame, triples: list[str]) -> DataFrame:
@@ -58,7 +62,7 @@ def with_features(found: DataFrame, triples: list[str]) -> DataFrame:
     n = F.length(c).cast("double")
     changes = F.expr("size(filter(sequence(1, size(__kinds) - 1), i -> __kinds[i] <> __kinds[i - 1]))")
     own = F.expr("array_distinct(transform(sequence(1, length(__low) - 2), i -> substring(__low, i, 3)))")
-    known = F.array(*[F.lit(t) for t in triples]) if triples else F.expr("cast(array() as array<string>)")
+    known = F.expr(f"filter(__own, t -> t in ({', '.join(map(repr, triples))}))" if triples else "filter(__own, t -> false)")
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     return (
         found.withColumn("__kinds", F.filter(chars, lambda x: x != "")).withColumn("__low", low).withColumn("__own", own)
@@ -67,7 +71,7 @@ def with_features(found: DataFrame, triples: list[str]) -> DataFrame:
         .withColumn("upper_share", F.length(F.regexp_replace(c, "[^A-Z]", "")) / n)
         .withColumn("transitions", changes / n)
         .withColumn("distinct_share", F.size(F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))) / n)
-        .withColumn("coverage", F.size(F.array_intersect("__own", known)) / F.size("__own"))
+        .withColumn("coverage", F.size(known) / F.size("__own"))
         .withColumn("path_depth", F.coalesce(F.size(F.split("path", "/")), F.lit(0)).cast("double"))
         .withColumn("path_trial", flag(F.col("path").rlike(TRY_PATH)))
         .withColumn("assigned", flag(F.col("before").rlike("[=:][ \t]*[\"'`]?$")))
@@ -75,6 +79,9 @@ def with_features(found: DataFrame, triples: list[str]) -> DataFrame:
         .withColumn("credential_near", flag(F.col("before").rlike(CREDENTIAL)))
         .withColumn("harmless_near", flag(F.col("before").rlike(HARMLESS)))
         .withColumn("words_before", F.size(F.filter(F.split("before", r"\s+"), lambda x: F.length(x) > 1)).cast("double"))
+        .withColumn("credential_after", flag(F.col("after").rlike(CREDENTIAL)))
+        .withColumn("harmless_after", flag(F.col("after").rlike(HARMLESS)))
+        .withColumn("words_after", F.size(F.filter(F.split("after", r"\s+"), lambda x: F.length(x) > 1)).cast("double"))
         .drop("__kinds", "__low", "__own")
     )
 

@@ -72,6 +72,18 @@ def test_quote_of_what_the_message_itself_repeats(spark):
     assert links == {(1, 0): (2, 3), (1, 1): (2, 3), (4, 0): (1, 0), (5, 0): (None, None)}
 
 
+def test_dictionary_and_words_after(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c for a in letters for b in letters for c in letters[:5]]
+    rows = [(1, " ".join(words)), (2, "Rare zzzy word; token qqqqqqqqqqqqqqqqqqqq here"), (3, None), (4, "x 'zyxwvutsrqponmlkjihg' # sha1 of the commit")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    triples = secret_scan.dictionary(docs)
+    assert set(words) | {"rar", "are", "zzz", "zzy"} <= set(triples) and "qqq" not in triples
+    got = {r["doc_id"]: r for r in secret_scan.with_features(secret_scan.findings(docs), triples).collect()}
+    assert (got[4]["harmless_near"], got[4]["harmless_after"], got[4]["words_after"], got[4]["coverage"]) == (0.0, 1.0, 4.0, 0.0)
+    assert (got[2]["harmless_after"], got[2]["words_after"], got[2]["before"], got[2]["after"]) == (0.0, 1.0, "Rare zzzy word; token ", " here")
+
+
 def test_secret_scan_on_held_out_findings(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     found = secret_scan.findings(docs.limit(4000)).cache()
