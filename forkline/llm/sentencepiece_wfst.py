@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The transducer is compiled from a model: the normaliser writes a space sign for each space and one before the text;
+The transducer is compiled from a model: the normaliser writes a space sign for each space and one before the text and
+is otherwise the identity (models with a table of characters, such as NFKC or case folding, are refused);
 every piece is a chain of arcs that ends in its id; a character that no piece has passes through byte arcs. A text is
 composed with it as a lattice: an arc for each piece that matches at a position. The path of least weight in the
 tropical semiring (weights add along a path, the least of several paths counts) is the encoding.
@@ -219,6 +220,18 @@ class Segments(dict):
         return known
 
 
+def check_normaliser(model: bytes) -> None:
+    """Refuse a model that does more to a text than to write space signs, or that changes decoded texts."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto.FromString(model)
+    spec = proto.normalizer_spec
+    if spec.precompiled_charsmap or proto.denormalizer_spec.precompiled_charsmap:
+        raise ValueError(f"the model's normaliser {spec.name or '(unnamed)'} changes characters")
+    if not (spec.add_dummy_prefix and spec.escape_whitespaces) or spec.remove_extra_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
+        raise ValueError("the model's normaliser changes spaces")
+
+
 class Codec:
     def __init__(self, sp, cache_rows: int):
         check_model(sp)
@@ -254,9 +267,12 @@ def encoded(docs: DataFrame, model_path: str, *, text_column: str = "text", cach
 
     A null or empty text has no ids; decoding gives the empty text, so a null text has no round trip (false). The
     space sign of the vocabulary decodes to a space, so a text that holds that sign itself has none either.
+    A model whose normaliser changes characters is refused with a ValueError.
     """
     with open(model_path, "rb") as f:
-        model = docs.sparkSession.sparkContext.broadcast(f.read())
+        proto = f.read()
+    check_normaliser(proto)
+    model = docs.sparkSession.sparkContext.broadcast(proto)
 
     def compute(texts: pa.Array) -> list[pa.Array]:
         codec = _codec(model, cache_rows)

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from sentencepiece import sentencepiece_model_pb2
 
 from forkline.llm import decontaminate, pii, quality_rules, sentencepiece_wfst, token_counts
 
@@ -219,3 +220,20 @@ def test_unlisted_given_names_are_drawn_until_distinct(spark):
     open_names = {f: name(pii.surrogate("person", f, again.get(f, 0), key)) for f in forms if f[0] == "g" and name(f) not in pii.GIVEN}
     assert not set(open_names.values()) & ({name(f) for f in forms if f[0] == "g"} | set(pii.GIVEN))
     assert len(set(open_names.values())) == 3
+
+
+def test_models_that_change_characters_are_refused(odd, tmp_path):
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(MODEL, "rb") as f:
+        proto.ParseFromString(f.read())
+    sentencepiece_wfst.check_normaliser(proto.SerializeToString())
+    words = tmp_path / "words.txt"
+    words.write_text("one two three four five six seven eight nine ten\n" * 20)
+    sentencepiece.SentencePieceTrainer.train(
+        input=str(words), model_prefix=str(tmp_path / "folded"), vocab_size=30, hard_vocab_limit=False, model_type="bpe",
+        normalization_rule_name="nfkc_cf", remove_extra_whitespaces=False, minloglevel=2)
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "folded.model"))
+    token_counts.check_model(sp)
+    assert sp.encode("ONE") == sp.encode("one")
+    with pytest.raises(ValueError, match="changes characters"):
+        sentencepiece_wfst.encoded(odd, str(tmp_path / "folded.model"))
