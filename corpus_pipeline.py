@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from forkline.llm import decontaminate, ngram_join, pii, quality_rules, sentencepiece_wfst
 from forkline.llm.queries import MODEL, PII_KEY, read
 from forkline.session import stage
+from forkline.sources.registry import row_numbers
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +22,39 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    groups = ngram_join.jaccard_components(docs)
+    """Of each group of near-duplicates the document with the smallest id stays.
+
+    Rows of one id and text are one document. Documents without an id, and further texts of an id, take part like all
+    others; they come after all ids, by their text.
+    """
+    named = with_document_ids(docs)
+    groups = ngram_join.jaccard_components(named, id_column="__id")
     others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__other"))
-    return docs.join(others, F.col("doc_id") == F.col("__other"), "left_anti").select(*docs.columns)
+    return named.join(others, F.col("__id") == F.col("__other"), "left_anti").select(*docs.columns)
+
+
+def with_document_ids(docs: DataFrame) -> DataFrame:
+    """One row of each document with its own ``__id``: its ``doc_id``, else a number above all ids.
+
+    Only rows whose id is null or repeated are compared; where there are none, nothing is shuffled but ids.
+    """
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("__id"))
+    several = stage(ids.groupBy("__id").count().where("__id is null or count > 1").select("__id"), "repeated-ids")
+    docs = docs.withColumn("__id", F.col("doc_id").cast("bigint"))
+    if several.isEmpty():
+        return docs
+    same = docs["__id"].eqNullSafe(several["__id"])
+    once, rest = docs.join(several, same, "left_anti"), [c for c in docs.columns if c not in ("__id", "text")]
+    each = docs.join(several, same, "left_semi").groupBy("__id", "text").agg(F.min(F.struct(*rest)).alias("__rest"))
+    # The first text keeps the id, a null text being the last.
+    first = each.where("__id is not null").groupBy("__id").agg(F.min(F.struct(F.col("text").isNull(), "text")).alias("__first"))
+    each = each.join(first, "__id", "left").withColumn(
+        "__named", F.expr("__id is not null and __first.text <=> text")).drop("__first")
+    each = stage(each.withColumn("__order", F.struct("text", "__id")), "repeated-documents")
+    top = ids.agg(F.coalesce(F.max("__id"), F.lit(0))).first()[0]
+    others = row_numbers(each.where("not __named"), "__order", "__no").withColumn("__id", F.lit(top) + 1 + F.col("__no"))
+    each = each.where("__named").unionByName(others.drop("__no")).select("__id", "text", "__rest.*")
+    return stage(once.unionByName(each), "documents")
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,6 +99,18 @@ def test_secret_scan_on_held_out_findings(spark):
     assert secret_scan.fit(featured.where("false").selectExpr("*", "1 as truth"), "truth") is None
 
 
+def test_one_document_of_each_group(spark):
+    """Repeated ids, null ids and texts that share an id."""
+    word = lambda k, n=40: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, word("a")), (1, word("a")), (2, word("a").upper()), (None, word("a")), (None, word("a") + " end"), (3, word("b")), (3, word("c")),
+            (None, word("d")), (None, word("d")), (None, word("d") + " end"), (4, word("e")), (5, word("e") + " end"), (6, None), (6, None), (7, word("c"))]
+    docs = spark.createDataFrame([(d, t, "k", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, n_chars int").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.schema == docs.schema
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert kept == sorted([(1, word("a")), (3, word("b")), (None, word("d")), (4, word("e")), (6, None), (7, word("c"))], key=str)
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
