@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forkline.llm import (
-    decontaminate, ngram_join, pii, quality_rules, quotes, secret_scan, sentencepiece_wfst, token_counts, url_filter, warc,
+    decontaminate, ngram_join, pii, quality_rules, quotes, secret_scan, sentencepiece_wfst, simhash, token_counts, url_filter,
+    warc,
 )
 from forkline.session import scratch_path, stage
 
@@ -109,10 +110,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, MODEL).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_sentencepiece, op3_ngram_jaccard_join, op4_quality_rules, op5_url_filter, op6_warc_transactions,
-        op7_quotation_linking, op8_benchmark_decontamination, op9_pii_surrogates, op10_token_counts,
+        op7_quotation_linking, op8_benchmark_decontamination, op9_pii_surrogates, op10_token_counts, op11_simhash,
     )
 }
