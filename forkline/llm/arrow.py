@@ -37,8 +37,10 @@ def add_columns(
     """
     names = {f.name for f in fields}
     keep = [c for c in df.columns if c not in names]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = T.StructType([*source.schema.fields[:-1], *fields])
+    # Private names on the way, so that a column may have any name, one with a dot included.
+    source = df.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("__text"))
+    made_fields = [T.StructField(f"__made{i}", f.dataType, f.nullable) for i, f in enumerate(fields)]
+    schema = T.StructType([*source.schema.fields[:-1], *made_fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,7 +48,7 @@ def add_columns(
                 made = compute(part.column(part.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*keep, *(f.name for f in fields))
 
 
 def packed(*columns: np.ndarray) -> bytes:

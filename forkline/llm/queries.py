@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forkline.llm import (
-    decontaminate, ngram_join, pii, quality_rules, quotes, secret_scan, sentencepiece_wfst, simhash, token_counts, url_filter,
+    decontaminate, ngram_join, pii, quality_rules, quotes, runs, secret_scan, sentencepiece_wfst, simhash, token_counts, url_filter,
     warc,
 )
 from forkline.session import scratch_path, stage
@@ -114,10 +118,40 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """A tenth of the texts, by their ids, repeat some of their words up to the end; without an id none does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for k, doc_id in enumerate(batch.column(0).to_pylist()):
+                h = -1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+                words = texts[k].encode().split() if texts[k] and h % 10 == 0 else []
+                if words:
+                    g, n = h // 10, len(words)
+                    a = g % n
+                    p = 1 + (n - a) // (3 + g % 8)
+                    texts[k] = b" ".join(words[:a] + [words[a + i % p] for i in range(n - a)]).decode()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, docs.select("doc_id", "text").schema)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = runs.tandem_runs(planted_periods(read(spark, sf_dir, "documents")))
+    best = F.expr("array_min(transform(runs, r -> struct(-r.length as no, r.start as start, r.period as period)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return made.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.no")).alias("length"),
+        F.col("best.period").alias("period"), F.expr("1000 * -best.no div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_sentencepiece, op3_ngram_jaccard_join, op4_quality_rules, op5_url_filter, op6_warc_transactions,
         op7_quotation_linking, op8_benchmark_decontamination, op9_pii_surrogates, op10_token_counts, op11_simhash,
+        op12_periodic_runs,
     )
 }
