@@ -69,4 +69,81 @@ items AS (
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op13_conversation_repair": r"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+-- crc32 by bytes: no counterpart in DuckDB.
+bits AS (SELECT range AS b, range::UBIGINT AS c, 0 AS k FROM range(256)
+  UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+names AS (SELECT DISTINCT name FROM given),
+h AS (
+  SELECT name, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(name, ''), lambda x: ord(x)::UBIGINT)),
+    lambda a, x: xor(a // 256, t[(xor(a % 256, x) + 1)::BIGINT])), 4294967295::UBIGINT) % 20 AS h FROM names, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM given JOIN h USING (name) WHERE h <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+    count(*) OVER (PARTITION BY conv_id) AS n FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    regexp_extract(text, '[^\x20\x09-\x0D](?:[\x20\x09-\x0D]*)$') AS tail,
+    left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair FROM placed),
+r AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN again THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault, left(role, 1) AS f FROM seen),
+-- From the last row to the first: for each state the least (cost, audit) and the repaired lines.
+best AS (
+  SELECT conv_id, n + 1 AS i, [
+    {'c': 0, 'a': '', 'l': []::VARCHAR[]}, {'c': 6, 'a': 'II', 'l': ['user:', 'assistant:']},
+    {'c': 3, 'a': 'I', 'l': ['assistant:']}, {'c': 0, 'a': '', 'l': []::VARCHAR[]}] AS s FROM r WHERE r.i = 1
+  UNION ALL
+  SELECT conv_id, i, [list_min([b0, {'c': 3 + c2.c, 'a': 'I' || c2.a, 'l': list_prepend('user:', c2.l)}]),
+    list_min([b1, {'c': 3 + c2.c, 'a': 'I' || c2.a, 'l': list_prepend('user:', c2.l)}]), c2, c3]
+  FROM (
+    SELECT *, list_min([b2, {'c': 3 + b3.c, 'a': 'I' || b3.a, 'l': list_prepend('assistant:', b3.l)}]) AS c2,
+      list_min([b3, {'c': 3 + b2.c, 'a': 'I' || b2.a, 'l': list_prepend('user:', b2.l)}]) AS c3
+    FROM (
+      SELECT r.conv_id, r.i,
+        list_min([del(s, 1), keep(s, 's', 2, fault, f, role, text), keep(s, 'u', 3, fault, f, role, text), rerole(s, 'user', 3, fault, text)]) AS b0,
+        list_min([del(s, 2), keep(s, 'u', 3, fault, f, role, text), rerole(s, 'user', 3, fault, text)]) AS b1,
+        list_min([del(s, 3), keep(s, 'a', 4, fault, f, role, text), rerole(s, 'assistant', 4, fault, text)]) AS b2,
+        list_min([del(s, 4), keep(s, 'u', 3, fault, f, role, text), rerole(s, 'user', 3, fault, text)]) AS b3
+      FROM best JOIN r ON r.conv_id IS NOT DISTINCT FROM best.conv_id AND r.i = best.i - 1))),
+done AS (SELECT conv_id, s[1] AS x FROM best WHERE i = 1),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum((fault = 'b')::INT) AS blank,
+    sum((fault = 'd')::INT) AS duplicate, sum((fault = 't')::INT) AS truncated,
+    sum((pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au'))::INT) AS illegal
+  FROM r GROUP BY conv_id)
+SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(x.c, 0)::BIGINT AS cost,
+  coalesce(x.a, '') AS audit, sha256(coalesce(array_to_string(x.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g
+LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM g.conv_id""",
 }
+
+
+def _edits(sql: str) -> str:
+    """Writes out the three edits of a row, with which the repair's text is easier to read."""
+    def line(role, rest):
+        return f"list_prepend({role} || ':' || text, s[{rest}].l)"
+
+    for k in range(1, 5):
+        sql = sql.replace(f"del(s, {k})", f"{{'c': 4 + s[{k}].c, 'a': 'D' || s[{k}].a, 'l': s[{k}].l}}")
+        stays = "CASE fault WHEN 't' THEN 3 ELSE 0 END"
+        for f in "sua":
+            sql = sql.replace(f"keep(s, '{f}', {k}, fault, f, role, text)", (
+                f"CASE WHEN f = '{f}' AND fault NOT IN ('b', 'd') THEN "
+                f"{{'c': {stays} + s[{k}].c, 'a': 'K' || s[{k}].a, 'l': {line('role', k)}}} END"))
+        for name in ("user", "assistant"):
+            sql = sql.replace(f"rerole(s, '{name}', {k}, fault, text)", (
+                f"CASE WHEN fault NOT IN ('b', 'd') THEN "
+                f"{{'c': 3 + {stays} + s[{k}].c, 'a': 'R' || s[{k}].a, 'l': {line(repr(name), k)}}} END"))
+    return sql
+
+
+ORACLE["op13_conversation_repair"] = _edits(ORACLE["op13_conversation_repair"])

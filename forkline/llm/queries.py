@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forkline.llm import (
-    decontaminate, ngram_join, pii, quality_rules, quotes, runs, secret_scan, sentencepiece_wfst, simhash, token_counts, url_filter,
-    warc,
+    conversation_repair, decontaminate, ngram_join, pii, quality_rules, quotes, runs, secret_scan, sentencepiece_wfst, simhash,
+    token_counts, url_filter, warc,
 )
 from forkline.session import scratch_path, stage
 
@@ -147,11 +147,32 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def damaged_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the turns, by their names, are dropped, emptied, left without sentence ends, repeated or made the user's."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    shown = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    turns = turns.withColumn("h", F.crc32(shown) % 20).where("h <> 0").withColumn(
+        "role", F.expr("if(h = 4, 'user', coalesce(role, ' '))")).withColumn(
+        "text", F.expr("case h when 1 then '' when 2 then regexp_replace(coalesce(text, ' '), '[.!?]', '') else coalesce(text, ' ') end"))
+    return turns.withColumn("copy", F.explode(F.expr("sequence(1, if(h = 3, 2, 1))"))).select("conv_id", "turn", "role", "text")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = damaged_turns(spark, sf_dir)
+    audits = stage(conversation_repair.diagnosed(rows), "audits")
+    shas = conversation_repair.digests(conversation_repair.repaired_rows(rows, audits))
+    ids = read(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("key", conversation_repair.conv_key(F.col("conv_id")))
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return ids.join(audits, "key", "left").join(shas, "key", "left").select(
+        "conv_id", *(F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in numbers), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_sentencepiece, op3_ngram_jaccard_join, op4_quality_rules, op5_url_filter, op6_warc_transactions,
         op7_quotation_linking, op8_benchmark_decontamination, op9_pii_surrogates, op10_token_counts, op11_simhash,
-        op12_periodic_runs,
+        op12_periodic_runs, op13_conversation_repair,
     )
 }
