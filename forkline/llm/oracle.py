@@ -90,7 +90,6 @@ placed AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
     count(*) OVER (PARTITION BY conv_id) AS n FROM damaged),
 seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
-    regexp_extract(text, '[^\x20\x09-\x0D](?:[\x20\x09-\x0D]*)$') AS tail,
     left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair FROM placed),
 r AS (
   SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN again THEN 'd'
