@@ -9,7 +9,9 @@ still overlap enough) allow it; the suffix filter and the exact overlap are comp
 Groups of near copies are not expanded into all pairs. First every member is compared with one anchor of its prefix
 group, which joins most groups; then the tops of groups that still meet; last the pairs between groups that are
 still apart, unless the triangle inequality of the Jaccard distance rules them out. So no link between different
-components is missed, and pairs inside a known component are left out.
+components is missed, and pairs inside a known component are left out. The smaller set of such a pair must meet the
+other on its shorter index prefix, and the sizes lie in neighbouring bands, so a template that many texts hold without
+being similar makes no pairs at all.
 
 Equal sets share their digest and are one member, however many rows have them. Blocks of prefix shingles are split
 by hash, very frequent ones also by member, so no task holds an unbounded group.
@@ -335,16 +337,25 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     members = members.join(known, ["label", "node"], "left").withColumn(
         "far", F.when(F.expr("label = node"), 0.0).otherwise(F.coalesce("far", F.lit(1.0))))
-    open_groups = members.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    members = stage(members.join(open_groups, "grp").select("grp", "node", "n", "place", "label", "far"), "open")
-
-    # First the tops of two components, if any of their members in a group could pass the filters.
-    sides = members.groupBy("grp", "label").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.expr("n - place")).alias("reach"))
-    could = ("x.grp = y.grp and x.label < y.label and 4 * x.most >= 3 * y.least and 4 * y.most >= 3 * x.least "
-             "and least(x.reach, y.reach) >= ceil(3 * (x.least + y.least) / 7)")
+    # The overlap of a pair is at least 6/7 of its smaller set, so the pair meets on one of the first n - ceil(6 n / 7) + 1
+    # shingles of that set: a member whose place is beyond them is never the smaller one, and a group without others is done.
+    members = members.withColumn("first", F.expr("place <= n - (6 * n + 6) div 7"))
+    open_groups = members.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("first").alias("first"))
+    open_groups = open_groups.where("lo < hi and first").select("grp")
+    members = stage(members.join(open_groups, "grp"), "open")
+
+    # First the tops of two components, if any of their members in a group could pass the filters. The sizes of a pair
+    # differ by a third at most, so the larger set is in the band of the smaller one or the next.
+    sides = members.withColumn("band", F.expr("cast(floor(ln(n) / ln(1.5)) as int)")).groupBy("grp", "label", "band").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.expr("n - place")).alias("reach"),
+        F.min(F.expr("if(first, n, null)")).alias("least_first"), F.max(F.expr("if(first, n, null)")).alias("most_first"),
+        F.max(F.expr("if(first, n - place, null)")).alias("reach_first"))
+    smaller = sides.where("least_first is not null").withColumn("band", F.explode(F.expr("array(band, band + 1)")))
+    could = ("x.grp = y.grp and x.band = y.band and x.label <> y.label and y.most >= x.least_first and 4 * x.most_first >= 3 * y.least "
+             "and least(x.reach_first, y.reach) >= ceil(3 * (x.least_first + greatest(x.least_first, y.least)) / 7)")
     tops = stage(
-        sides.alias("x").join(sides.alias("y"), F.expr(could)).select(F.expr("x.label as a"), F.expr("y.label as b")).distinct(),
+        smaller.alias("x").join(sides.alias("y"), F.expr(could))
+        .select(F.expr("least(x.label, y.label) as a"), F.expr("greatest(x.label, y.label) as b")).distinct(),
         "tops")
     tops = stage(_compared(tops, docs, suffix_filter=False), "compared_tops")
 
@@ -362,9 +373,10 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     near = stage(near, "near")
     here = (
         near.join(members, "label").where("d - far - radius <= 0.25 + 1e-9")
-        .select("grp", "other", "label", "d", "node", "n", "place", "far")
+        .select("grp", "other", "label", "d", "node", "n", "place", "far", "first")
     )
-    passes = ("x.grp = y.grp and x.other = y.label and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n) "
+    passes = ("x.grp = y.grp and x.other = y.label and if(x.n < y.n, x.first, if(x.n > y.n, y.first, x.first and y.first)) "
+              "and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n) "
               "and least(x.n - x.place, y.n - y.place) >= ceil(3 * (x.n + y.n) / 7) "
               "and d - x.far - y.far <= 0.25 + 1e-9 and not (x.node = x.label and y.node = y.label)")
     rest = here.alias("x").join(members.alias("y"), F.expr(passes)).select(F.expr("x.node as a"), F.expr("y.node as b")).distinct()

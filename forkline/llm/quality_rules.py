@@ -180,7 +180,8 @@ def fit(
 ) -> DecisionList:
     """Learn the list from at most ``sample_rows`` labelled rows (1 good, 0 bad), the first by hash of their id.
 
-    Rows with a null id or label are left out; an id labelled twice counts twice. Texts that fail the base rules
+    Rows with a null id or label are left out; an id labelled twice, or with several rows, counts as often, in
+    ``sample_rows`` rows altogether. Texts that fail the base rules
     teach nothing. Without labelled rows the list is empty and rejects nothing.
     """
     sample = (
@@ -190,7 +191,9 @@ def fit(
     texts = docs.select(F.col(id_column).cast("bigint").alias("__id"), F.col(text_column).alias("__body"))
     labelled = texts.join(F.broadcast(sample), "__id")  # at most sample_rows narrow rows
     known = with_statistics(labelled, "__body").where(~base_failed())
-    rows = known.select("__id", "__good", *[F.expr(e).alias(f"f_{n}") for n, e in FEATURES.items()]).collect()
+    known = known.select("__id", "__good", *[F.expr(e).alias(f"f_{n}") for n, e in FEATURES.items()])
+    # Again at most sample_rows, as an id may have several rows.
+    rows = known.orderBy(F.xxhash64("__id"), *known.columns).limit(sample_rows).collect()
     rows.sort(key=lambda r: (hash((r["__id"] * 2654435761) % 2**32), tuple(r)))
     names = list(FEATURES)
     x = np.array([[r[f"f_{n}"] or 0.0 for n in names] for r in rows], float).reshape(len(rows), len(names))

@@ -25,10 +25,11 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forkline.llm.arrow import add_columns
-from forkline.llm.token_counts import LONGEST_KEPT, MARK, check_model, pre_tokens, processor
+from forkline.llm.token_counts import LONGEST_KEPT, MARK, check_model, named, pre_tokens, processor
 
 INFINITY = float("inf")
 
@@ -60,15 +61,17 @@ class Transducer:
 
     @classmethod
     def compile(cls, sp) -> Transducer:
+        from sentencepiece import sentencepiece_model_pb2 as pb
+
+        proto = pb.ModelProto.FromString(sp.serialized_model_proto())
+        kind = pb.ModelProto.SentencePiece
         normal, by_byte = [], {}
-        for i in range(sp.get_piece_size()):
-            if sp.is_byte(i):
-                by_byte[int(sp.id_to_piece(i)[3:5], 16)] = i
-            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                normal.append((sp.id_to_piece(i), sp.get_score(i), i))
-        # Scores of a merge model are minus a rank, so whole numbers; those of a unigram model are log-probabilities.
-        merges = all(float(score).is_integer() for _, score, _ in normal)
-        return cls(normal, by_byte, sp.unk_id(), merges)
+        for i, piece in enumerate(proto.pieces):
+            if piece.type == kind.BYTE:
+                by_byte[int(piece.piece[3:5], 16)] = i
+            elif piece.type == kind.NORMAL:
+                normal.append((piece.piece, piece.score, i))
+        return cls(normal, by_byte, sp.unk_id(), proto.trainer_spec.model_type == pb.TrainerSpec.BPE)
 
     def merged(self, text: str) -> list[str]:
         """Pieces after merging neighbours by rank, the leftmost first."""
@@ -220,11 +223,17 @@ class Segments(dict):
         return known
 
 
-def check_normaliser(model: bytes) -> None:
-    """Refuse a model that does more to a text than to write space signs, or that changes decoded texts."""
-    from sentencepiece import sentencepiece_model_pb2
+def check_transducer(model: bytes) -> None:
+    """Refuse a model that does more to a text than to write space signs, that changes decoded texts, that is neither
+    a unigram nor a merge model, or that has pieces cut out before all others (user-defined) or merged but not used."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
 
-    proto = sentencepiece_model_pb2.ModelProto.FromString(model)
+    proto = pb.ModelProto.FromString(model)
+    if proto.trainer_spec.model_type not in (pb.TrainerSpec.UNIGRAM, pb.TrainerSpec.BPE):
+        raise ValueError("neither a unigram nor a merge model")
+    kind = pb.ModelProto.SentencePiece
+    if any(p.type in (kind.USER_DEFINED, kind.UNUSED) for p in proto.pieces):
+        raise ValueError("the model has user-defined or unused pieces")
     spec = proto.normalizer_spec
     if spec.precompiled_charsmap or proto.denormalizer_spec.precompiled_charsmap:
         raise ValueError(f"the model's normaliser {spec.name or '(unnamed)'} changes characters")
@@ -249,16 +258,18 @@ class Codec:
         return b"".join(map(self.output.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
 
 
-_codecs: dict[tuple, Codec] = {}
+_codecs: dict[str, Codec] = {}  # by the content of the model
+CODECS_KEPT = 2
 
 
-def _codec(model, cache_rows: int) -> Codec:
-    """The worker's codec; one model at a time."""
-    name = (model.id if hasattr(model, "id") else id(model), cache_rows)
-    if name not in _codecs:
-        _codecs.clear()
-        _codecs[name] = Codec(processor(model.value), cache_rows)
-    return _codecs[name]
+def _codec(name: str, model, cache_rows: int) -> Codec:
+    """The worker's codec of a model; a few models at a time, the one used longest ago goes first."""
+    codec = _codecs.pop(name, None) or Codec(processor(model.value), cache_rows)
+    codec.segments.most = max(codec.segments.most, cache_rows)
+    while len(_codecs) >= CODECS_KEPT:
+        del _codecs[next(iter(_codecs))]
+    _codecs[name] = codec
+    return codec
 
 
 def encoded(docs: DataFrame, model_path: str, *, text_column: str = "text", cache_rows: int = 300_000) -> DataFrame:
@@ -271,11 +282,11 @@ def encoded(docs: DataFrame, model_path: str, *, text_column: str = "text", cach
     """
     with open(model_path, "rb") as f:
         proto = f.read()
-    check_normaliser(proto)
-    model = docs.sparkSession.sparkContext.broadcast(proto)
+    check_transducer(proto)
+    model, name = docs.sparkSession.sparkContext.broadcast(proto), named(proto)
 
     def compute(texts: pa.Array) -> list[pa.Array]:
-        codec = _codec(model, cache_rows)
+        codec = _codec(name, model, cache_rows)
         cells, same, counts = [], [], []
         for text in texts.to_pylist():
             cell = codec.encode(text)
@@ -295,16 +306,17 @@ def encoded(docs: DataFrame, model_path: str, *, text_column: str = "text", cach
 def decoded(table: DataFrame, model_path: str, *, ids_column: str = "token_ids", into: str = "text") -> DataFrame:
     """``table`` with the text of its ids as column ``into``; null ids give a null text."""
     with open(model_path, "rb") as f:
-        model = table.sparkSession.sparkContext.broadcast(f.read())
+        proto = f.read()
+    check_transducer(proto)
+    model, name = table.sparkSession.sparkContext.broadcast(proto), named(proto)
     keep = [c for c in table.columns if c != into]
-    source = table.select(*[f"`{c}`" for c in keep])
-    at = keep.index(ids_column)
-    schema = T.StructType([*source.schema.fields, T.StructField(into, T.StringType())])
+    source = table.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(keep)], F.col(f"`{ids_column}`").alias("__ids"))
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("__made", T.StringType())])
 
     def run(batches):
         for batch in batches:
-            codec = _codec(model, 1)
-            made = pa.array([None if x is None else codec.decode(x) for x in batch.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=schema.names)
+            codec = _codec(name, model, 1)
+            made = pa.array([None if x is None else codec.decode(x) for x in batch.column(len(keep)).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*keep, into)

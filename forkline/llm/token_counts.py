@@ -8,6 +8,7 @@ bounded cache. Pre-tokens are never shuffled, and the tables only save time: eve
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -77,12 +78,16 @@ def count_tokens(text: str | None, lengths: Lengths) -> int:
 _caches: dict[tuple, Lengths] = {}
 
 
-def _cache(model, frequent, most: int) -> Lengths:
-    """The worker's cache; one model at a time."""
-    name = (model.id if hasattr(model, "id") else id(model), id(frequent), most)
+def named(value: bytes) -> str:
+    """Name of what a worker keeps: equal for equal content only, whatever object holds it."""
+    return hashlib.sha256(value).hexdigest()
+
+
+def _cache(name: tuple, model, frequent) -> Lengths:
+    """The worker's cache for a name (model, frequent table, size); one at a time."""
     if name not in _caches:
         _caches.clear()
-        _caches[name] = Lengths(processor(model.value), frequent.value, most)
+        _caches[name] = Lengths(processor(model.value), frequent.value, name[-1])
     return _caches[name]
 
 
@@ -123,10 +128,12 @@ def token_counts(
     check_model(sp)
     words = frequent_pre_tokens(docs, text_column, sample_rows, table_rows)
     sent = context.broadcast(model)
-    frequent = context.broadcast(dict(zip(words, map(len, sp.encode(words)), strict=True)))
+    table = dict(zip(words, map(len, sp.encode(words)), strict=True))
+    frequent = context.broadcast(table)
+    name = (named(model), named(repr(table).encode()), cache_rows)
 
     def compute(texts: pa.Array) -> list[pa.Array]:
-        lengths = _cache(sent, frequent, cache_rows)
+        lengths = _cache(name, sent, frequent)
         n = [count_tokens(t, lengths) for t in texts.to_pylist()]
         return [pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64()), pa.array(n, pa.int64())]
 

@@ -1,5 +1,6 @@
 """The n-gram Jaccard join against brute force over all pairs."""
 
+import random
 import re
 from itertools import combinations
 
@@ -105,3 +106,34 @@ def test_components_of_a_path_a_star_and_a_ring(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r["node"]: r["label"] for r in components(df).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, **{i: 200 for i in range(200, 203)}}
+
+
+def template(n, own, common=104, shared_own=0):
+    """Texts of one template and words of their own at the end; none is similar to another with 21 own words of 125."""
+    head = [f"t{i}" for i in range(common)]
+    return [(d, " ".join([*head, *(f"o{d}x{i}" for i in range(own))])) for d in range(n)]
+
+
+def test_a_template_makes_no_pairs(spark, monkeypatch):
+    """All texts meet on template shingles; the joins of groups make no row, so the work is in proportion to the texts."""
+    made, real = {}, ngram_join.stage
+    monkeypatch.setattr(ngram_join, "stage", lambda df, name: made.setdefault(name, real(df, name)))
+    rows = template(3_000, 21)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.jaccard_components(docs).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got) and len(got) == len(rows)
+    assert made["open"].count() == 0 and made["tops"].count() == 0 and made["rest"].count() == 0
+
+
+def test_templates_with_links_equal_brute_force(spark):
+    rows = template(40, 21) + [(d + 100, t) for d, t in template(40, 14)] + [(d + 200, t.replace("t0 ", f"u{d % 5} ")) for d, t in template(40, 15, 90)]
+    rng = random.Random(6)
+    for d in range(300, 380):  # sizes around the borders of bands and prefixes
+        n = rng.randint(20, 40)
+        words = [f"t{i}" for i in range(n)]
+        words[rng.randrange(n)] = f"z{rng.randrange(4)}"
+        rows.append((d, " ".join(words)))
+    want = brute(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want

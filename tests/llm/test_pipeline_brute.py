@@ -5,6 +5,7 @@ import re
 
 import corpus_pipeline
 import sentencepiece
+from pyspark.sql import functions as F
 from test_ngram_join import brute as brute_groups
 from test_text_operators import brute_statistics
 
@@ -90,6 +91,28 @@ def test_each_stage_keeps_what_plain_python_keeps(spark):
     assert ids == {d: sp.encode(t) for d, t in kept.items()}
 
 
+CLASHING = ("kept", "n_words", "items", "surrogates", "a.b", "__id", "path", "component_id", "rule")
+
+
+def test_stages_keep_clashing_and_dotted_columns(spark):
+    """Values and types of all columns are those given, in every stage but the last, and on an empty table."""
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = given.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in CLASHING})
+    docs = docs.unionByName(docs.where("doc_id = 3")).unionByName(docs.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
+    plain = given
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        empty = function(spark, docs.where("false"), SF)
+        assert empty.columns == docs.columns and empty.collect() == []
+        docs, plain = stage(function(spark, docs, SF), "stage"), stage(function(spark, plain, SF), "stage")
+        assert docs.dtypes == [*given.dtypes, *((c, "string") for c in CLASHING)], name
+        rows = docs.where("doc_id is not null").collect()
+        assert all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in CLASHING), name
+        assert {(r["doc_id"], r["text"]) for r in rows} == {(r["doc_id"], r["text"]) for r in plain.collect()}, name
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs.where("false"), SF).collect() == []
+    assert last(spark, docs, SF).select("`a.b`", "kept", "token_ids").count() == docs.count()
+
+
 def brute_links(rows):
     """Target of each passage, from all messages in order."""
     fold = lambda t: " ".join(t.lower().split())

@@ -226,7 +226,7 @@ def test_models_that_change_characters_are_refused(odd, tmp_path):
     proto = sentencepiece_model_pb2.ModelProto()
     with open(MODEL, "rb") as f:
         proto.ParseFromString(f.read())
-    sentencepiece_wfst.check_normaliser(proto.SerializeToString())
+    sentencepiece_wfst.check_transducer(proto.SerializeToString())
     words = tmp_path / "words.txt"
     words.write_text("one two three four five six seven eight nine ten\n" * 20)
     sentencepiece.SentencePieceTrainer.train(
@@ -237,3 +237,73 @@ def test_models_that_change_characters_are_refused(odd, tmp_path):
     assert sp.encode("ONE") == sp.encode("one")
     with pytest.raises(ValueError, match="changes characters"):
         sentencepiece_wfst.encoded(odd, str(tmp_path / "folded.model"))
+
+
+def other_models(folder):
+    """The given model, and models that differ from it: pieces taken away, ranks turned round, ids moved, a unigram model."""
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(MODEL, "rb") as f:
+        proto.ParseFromString(f.read())
+    given, paths = proto.SerializeToString(), [MODEL]
+    rng, kind = random.Random(4), sentencepiece_model_pb2.ModelProto.SentencePiece
+    for name in ("fewer", "turned", "moved", "unigram"):
+        proto = sentencepiece_model_pb2.ModelProto.FromString(given)
+        normal = [p for p in proto.pieces if p.type == kind.NORMAL]
+        rest = [p for p in proto.pieces if p.type != kind.NORMAL]
+        if name == "fewer":
+            normal = [p for p in normal if len(p.piece) == 1 or rng.random() < 0.5]
+        if name == "moved":
+            rng.shuffle(normal)
+        scores = [p.score for p in normal]
+        if name == "turned":
+            scores = scores[::-1]
+        if name == "unigram":
+            proto.trainer_spec.model_type = sentencepiece_model_pb2.TrainerSpec.UNIGRAM
+            scores = [-1.0 - rng.random() * 12 for _ in scores]
+        made = [(p.piece, p.type, p.score) for p in rest] + [(p.piece, p.type, s) for p, s in zip(normal, scores, strict=True)]
+        del proto.pieces[:]
+        for piece, of, score in made:
+            proto.pieces.add(piece=piece, type=of, score=score)
+        paths.append(f"{folder}/{name}.model")
+        with open(paths[-1], "wb") as f:
+            f.write(proto.SerializeToString())
+    return paths
+
+
+def test_models_in_turn_in_one_session(spark, odd, tmp_path):
+    """Workers are kept between jobs, and with them what they hold of models used before."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("length(text) < 3000").limit(60)
+    docs = docs.unionByName(odd.select("doc_id", "text").where("length(text) < 3000")).repartition(4).persist()
+    given = [r["text"] for r in docs.collect()]
+    paths, differ = other_models(tmp_path), set()
+    for _ in range(3):
+        for path in paths:
+            sp = sentencepiece.SentencePieceProcessor(model_file=path)
+            want = {t: sp.encode(t or "") for t in given}
+            differ.add(str(sorted(map(str, want.values()))))
+            encoded = sentencepiece_wfst.encoded(docs, path, cache_rows=200)
+            for r in sentencepiece_wfst.decoded(encoded, path, into="again").collect():
+                assert r["token_ids"] == want[r["text"]], path
+                assert not r["round_trip"] or r["again"] == r["text"]
+            for r in token_counts.token_counts(docs, path, cache_rows=200).collect():
+                assert r["n_tokens"] == len(want[r["text"]]), path
+    assert len(differ) == len(paths)
+    docs.unpersist()
+
+
+def test_pieces_that_are_not_compiled_are_refused(odd, tmp_path):
+    for number, kind in enumerate(("USER_DEFINED", "UNUSED")):
+        proto = sentencepiece_model_pb2.ModelProto()
+        with open(MODEL, "rb") as f:
+            proto.ParseFromString(f.read())
+        proto.pieces[1000].type = getattr(sentencepiece_model_pb2.ModelProto.SentencePiece, kind)
+        path = tmp_path / f"{number}.model"
+        path.write_bytes(proto.SerializeToString())
+        with pytest.raises(ValueError, match="user-defined or unused"):
+            sentencepiece_wfst.encoded(odd, str(path))
+
+
+def test_a_repeated_id_brings_no_more_rows_to_the_driver(spark):
+    docs = spark.createDataFrame([(1, f"word{i} " * 60) for i in range(50)] + [(2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 0), (2, 1), (None, 1)], "doc_id long, quality int")
+    assert quality_rules.fit(docs, labels, sample_rows=10) is not None
