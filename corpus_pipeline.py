@@ -1,11 +1,15 @@
 """Pipeline from raw documents to token ids, in five stages over ``documents``.
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's
-docs. All but the last keep the columns of the documents.
+docs. All but the last keep the columns of the documents, with their values and types, whatever their names; the last
+adds its own, which replace columns of the same names. An empty table gives an empty result in each stage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +19,32 @@ from forkline.session import stage
 from forkline.sources.registry import row_numbers
 
 
+NAMED = ("doc_id", "text", "n_chars")  # the columns that stages know
+
+
+def columns_kept(function: Callable) -> Callable:
+    """The stage with all other columns under private names, so that none is replaced, whatever its name or type."""
+
+    @wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        private = [c if c in NAMED else f"__kept{i}" for i, c in enumerate(docs.columns)]
+        return function(spark, docs.toDF(*private), sf_dir).select(*private).toDF(*docs.columns)
+
+    return run
+
+
+@columns_kept
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the learned list reject go."""
+    """Documents that the base rules or the learned list reject go.
+
+    Null and empty texts fail the base rules. Rows are judged one by one, so repeated rows share their fate, and a null
+    id is no matter; rows with a null id teach nothing. A long text is judged whole.
+    """
     rules = quality_rules.fit(docs, read(spark, sf_dir, "labels"))
-    return quality_rules.judged(docs, rules).where("kept").select(*docs.columns)
+    return quality_rules.judged(docs, rules).where("kept")
 
 
+@columns_kept
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays.
 
@@ -57,20 +81,25 @@ def with_document_ids(docs: DataFrame) -> DataFrame:
     return stage(once.unionByName(each), "documents")
 
 
+@columns_kept
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go. Null and empty texts have no words and stay; repeated rows are each judged."""
     found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
-    return found.where("not contaminated").select(*docs.columns)
+    return found.where("not contaminated")
 
 
+@columns_kept
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts are replaced by surrogates; ``n_chars`` follows the new text."""
-    made = pii.pseudonymised(docs, PII_KEY).select(*docs.columns)
+    """Personal data in texts are replaced by surrogates; ``n_chars`` follows the new text.
+
+    Null and empty texts stay as they are; an entity has one surrogate in all texts and repeated rows.
+    """
+    made = pii.pseudonymised(docs, PII_KEY)
     return made.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else made
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left."""
+    """Token ids of every document that is left; a null or empty text has none."""
     return sentencepiece_wfst.encoded(docs, MODEL)
 
 
