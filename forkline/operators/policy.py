@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forkline.functions.exprs import finite
 from forkline.functions.linear import logit, sigmoid
+from forkline.operators.newton import TOLERANCE, LinearFit, Task, fit_many
 from forkline.operators.table import complete_cases
 from forkline.schemas import (
     CALIB, CHI_COLS, LAYER_ALIASES, LAYER_QUERY, LAYER_RESPONSE, PHI_COLS, PSI_COLS, SEED, dotted, undotted,
@@ -23,7 +21,6 @@ POLICY_VERSION = "v1"
 PROBABILITY, LOGIT = "logistic_probability", "logit"
 THRESHOLD_STEPS = 100
 LAYER_OF_KIND = {"phi": LAYER_QUERY, "psi": LAYER_RESPONSE}
-ROWS_PER_TASK = 50_000
 
 
 @dataclass(frozen=True)
@@ -78,48 +75,17 @@ class OneClassError(ValueError):
     """The rows of a fit hold one class only."""
 
 
-@dataclass(frozen=True)
-class LinearFit:
-    mean: tuple[float, ...]
-    scale: tuple[float, ...]
-    weights: tuple[float, ...]
-    intercept: float
-    n: int
-    n_pos: int
-
-
-def fit_logistic(rows: DataFrame, columns: Sequence[str], label: str = "r", tol: float = 1e-8) -> LinearFit:
+def fit_logistic(rows: DataFrame, columns: Sequence[str], label: str = "r", tol: float = TOLERANCE) -> LinearFit:
     """Standardise with the population deviation, then class-balanced L2 logistic regression (C = 1).
 
-    The library minimises the weighted mean loss, so the penalty of C = 1 is 1/n.
-    Rows must be complete; the iterations read them again and again, so they are
-    kept in memory or on disk for the time of the fit.
+    Rows must be complete; every round reads them again, so they should be stored.
     """
-    stats = rows.agg(
-        F.count("*").alias("n"),
-        F.sum(F.col(label).cast("long")).alias("p"),
-        *[F.avg(c).alias(f"m_{c}") for c in columns],
-        *[F.stddev_pop(c).alias(f"s_{c}") for c in columns],
-    ).first()
-    n, p = stats["n"], stats["p"] or 0
-    if p == 0 or p == n:
+    made = rows.select(
+        F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), F.col(label).cast("int").alias("y"), F.array(F.lit(0)).alias("folds"))
+    fit = fit_many(made, [Task(0, tuple(range(len(columns))))], tol)[0]
+    if fit is None:
         raise OneClassError("two classes are needed")
-    mean = tuple(stats[f"m_{c}"] for c in columns)
-    scale = tuple(stats[f"s_{c}"] or 1.0 for c in columns)
-    scaled = [(F.col(c) - F.lit(m)) / F.lit(s) for c, m, s in zip(columns, mean, scale)]
-    # A pass costs one task per partition; small data needs few of them.
-    rows = rows.coalesce(max(1, math.ceil(n / ROWS_PER_TASK)))
-    weight = F.when(F.col(label) == 1, F.lit(n / (2.0 * p))).otherwise(F.lit(n / (2.0 * (n - p))))
-    train = rows.select(
-        F.col(label).cast("double").alias("label"),
-        weight.alias("weight"),
-        array_to_vector(F.array(*scaled)).alias("features"),
-    )
-    model = LogisticRegression(
-        weightCol="weight", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, fitIntercept=True,
-        maxIter=2000, tol=tol,
-    ).fit(train)
-    return LinearFit(mean, scale, tuple(float(w) for w in model.coefficients), float(model.intercept), n, p)
+    return fit
 
 
 def threshold_steps_below(score: Column) -> Column:
@@ -186,7 +152,7 @@ def fit_policy(table: DataFrame, columns: Sequence[str] | None = None, *, includ
         training={
             "split": CALIB, "method": "logistic_regression", "seed": str(seed), "n_calib": str(fit.n),
             "positive_rate": repr(fit.n_pos / fit.n), "calib_accuracy_at_tau": repr(best["accuracy"]),
-            "excludes_cross_model": "true",
+            "excludes_cross_model": "true", "gradient_per_row": repr(fit.gradient), "newton_rounds": str(fit.rounds),
         },
     )
 

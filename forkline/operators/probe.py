@@ -2,37 +2,44 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forkline.functions.linear import logit, sigmoid
-from forkline.operators.policy import OneClassError, fit_logistic
+from forkline.operators.hash_order import group_rank
+from forkline.operators.newton import Task, fit_many, left_out_probabilities
 from forkline.operators.rank_metrics import ROWS_PER_BUCKET, long_form, metrics_by_key
-from forkline.operators.split import folds
-from forkline.operators.table import complete_cases
+from forkline.operators.table import number
 from forkline.schemas import CV_FOLDS, FAMILY_BLOCKS, SEED
-from forkline.session import side_by_side, stage
+from forkline.session import stage
+
 
+def probe_rows(table: DataFrame, blocks, k: int, seed: int) -> tuple[DataFrame, list[str]]:
+    """``x, y, folds`` of all blocks at once, and the order of the columns in ``x``.
 
-def _fit_fold(placed: DataFrame, columns: tuple[str, ...], fold: int) -> DataFrame | None:
-    """Out-of-fold probabilities ``(fold, y, prob)``; None when the training rows hold one class only."""
-    try:
-        fit = fit_logistic(placed.filter(F.col("fold") != fold), columns, tol=1e-6)
-    except OneClassError:
-        return None
-    z = logit([F.col(c) for c in columns], fit.mean, fit.scale, fit.weights, fit.intercept)
-    test = placed.filter(F.col("fold") == fold)
-    return test.select("fold", F.col("r").alias("y"), sigmoid(z).alias("prob"))
+    The rows of each class where a block is complete are dealt out in seeded order, for all blocks in one ranking of
+    narrow rows (id, block and class); -1 where the block is not complete.
+    """
+    columns = list(dict.fromkeys(c for _, _, cols in blocks for c in cols))
+    wide = table.select("query_id", F.col("r").cast("int").alias("y"), *[number(c, table).alias(c) for c in columns])
+    complete = F.array(*[F.when(F.coalesce(*[F.when(F.col(c).isNull(), 1) for c in cols], F.lit(0)) == 0, b)
+                         for b, (_, _, cols) in enumerate(blocks)])
+    dealt = wide.filter(F.col("y").isNotNull()).select("query_id", "y", F.explode(F.array_compact(complete)).alias("block"))
+    dealt = dealt.withColumn("deck", F.concat_ws(":", "block", "y"))
+    ranked = group_rank(dealt, "deck", seed, out="place").select(
+        "query_id", "block", F.pmod(F.col("place") - 1, F.lit(k)).cast("int").alias("fold"))
+    folds = ranked.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("block", "fold"))).alias("fold_of"))
+    at = F.array(*[F.coalesce(F.try_element_at("fold_of", F.lit(b)), F.lit(-1)) for b in range(len(blocks))])
+    x = F.array(*[F.coalesce(F.col(c), F.lit(float("nan"))) for c in columns])
+    return stage(wide.join(folds, "query_id").select(x.alias("x"), "y", at.alias("folds")), "probe-rows"), columns
 
 
 def linear_probes(table: DataFrame, blocks=FAMILY_BLOCKS, k: int = CV_FOLDS, seed: int = SEED,
-                  rows_per_bucket: int = ROWS_PER_BUCKET, parallel: int = 8) -> DataFrame:
+                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Mean and deviation over folds of AUROC and average precision, per block.
 
-    Works on the rows where the whole block is present. A block with fewer than
-    two rows per fold is left out. ``table`` should be a stored table.
+    Works on the rows where the whole block is present. A block with fewer than two rows per fold is left out, and a
+    fold whose training rows hold one class only. All fits of all blocks are made together, by rounds over one stored
+    table. ``table`` should be a stored table; its ids should be unique.
     """
     spark = table.sparkSession
     schema = (
@@ -41,37 +48,20 @@ def linear_probes(table: DataFrame, blocks=FAMILY_BLOCKS, k: int = CV_FOLDS, see
     )
     classes = table.agg(F.count_if(F.col("r") == 1).alias("p"), F.count_if(F.col("r") == 0).alias("n")).first()
     k = min(k, classes["p"], classes["n"])
-    def prepare(block) -> tuple[tuple, DataFrame] | None:
-        # Stored before the folds are dealt: the optimiser is slow to derive
-        # constraints through many non-null columns, a window and a join.
-        rows = stage(complete_cases(table, block[2]).select("query_id", "r", *block[2]), "block-rows")
-        if rows.count() < 2 * k:
-            return None
-        return block, stage(folds(rows, k, seed), "folds").persist()
-
-    def run(job) -> DataFrame | None:
-        family, block, columns, placed, fold = job
-        made = _fit_fold(placed, columns, fold)
-        name = F.concat_ws("|", F.lit(family), F.lit(block), F.lit(len(columns)), "fold")
-        return None if made is None else made.select(name.alias("key"), "y", "prob")
-
-    # Blocks and fits are independent and short of work each; run them side by
-    # side, as the library's own cross-validator does.
-    def every_one(fn, items) -> list:
-        made = side_by_side(spark, [partial(fn, i) for i in items], parallel)
-        return [x for x in made if x is not None]
-
-    ready = every_one(prepare, blocks if k >= 2 else ())
-    parts = every_one(run, [(*block, placed, fold) for block, placed in ready for fold in range(k)])
-    if not parts:
+    if k < 2:
+        return spark.createDataFrame([], schema)
+    rows, columns = probe_rows(table, blocks, k, seed)
+    sizes = rows.agg(*[F.count_if(F.get("folds", F.lit(b)) >= 0) for b in range(len(blocks))]).first()
+    tasks, names = [], []
+    for b, (family, block, cols) in enumerate(blocks):
+        if sizes[b] >= 2 * k:
+            tasks += [Task(b, tuple(columns.index(c) for c in cols), fold) for fold in range(k)]
+            names += [f"{family}|{block}|{len(cols)}|{fold}" for fold in range(k)]
+    fits = fit_many(rows, tasks)
+    if not any(fits):
         return spark.createDataFrame([], schema)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    every = stage(every, "probe-scores")
-    for _, placed in ready:
-        placed.unpersist()
-    buckets = long_form(every.select("prob", "y", "key"), ["prob"], ("y",), rows_per_bucket, keep=("key",))
+    every = stage(left_out_probabilities(rows, tasks, fits, names), "probe-scores")
+    buckets = long_form(every, ["prob"], ("y",), rows_per_bucket, keep=("key",))
     scores = metrics_by_key(buckets, ("y",), key="key", min_n=1).filter(F.col("auroc").isNotNull())
     part = F.split("key", r"\|")
     return (

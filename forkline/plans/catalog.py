@@ -15,6 +15,7 @@ from forkline.operators import (
     compare, corpus, evaluate, geometry, grade, knn, policy, probe, rank_metrics, response, scale, scorecard, split,
     text_features,
 )
+from forkline.operators.newton import TOLERANCE
 from forkline.operators.table import table_meta
 from forkline.plans import workload as W
 from forkline.schemas import (
@@ -476,16 +477,16 @@ def _geometry(spark, sf) -> DataFrame:
 
 @query
 def geometry_density(spark, sf):
-    """Centroid distance, neighbour similarity and outlier score of calibration and test vectors."""
+    """Axes, centroid distance, neighbour similarity and outlier score of calibration and test vectors."""
     g = _geometry(spark, sf)
-    return rounded(g.select("query_id", *PHI_GEOMETRY_COLS[3:]), 5)
+    return rounded(g.select("query_id", *PHI_GEOMETRY_COLS), 5)
 
 
 @query
 def geometry_axes(spark, sf):
     s = W.splits(spark, sf).filter(F.col("split") != HOLDOUT)
     rows = stage(W.vectors(spark, sf).select("query_id", F.col("embedding").cast("array<double>").alias("vector")).join(s, "query_id"), "axes")
-    return rounded(geometry.fit_axes(rows.filter(F.col("split") == CALIB)).project(rows).drop("centroid_distance"))
+    return rounded(geometry.fit_axes(rows.filter(F.col("split") == CALIB)).project(rows).drop("centroid_distance"), 5)
 
 
 @query
@@ -504,20 +505,20 @@ def knn_cosine_others(spark, sf):
 
 # --- wide table ---------------------------------------------------------------
 
-# Deflate and principal axes have no SQL form; those four columns are in analysis_full.
-CHECKED = tuple(c for c in FEATURE_COLS if "compression" not in c and "__pc" not in c)
+# Deflate has no SQL form; its column is in analysis_full.
+IN_SQL = tuple(c for c in FEATURE_COLS if "compression" not in c)
 
 
 @query
 def analysis_calib(spark, sf):
     a = W.analysis(spark, sf).filter(F.col("split") == CALIB)
-    return rounded(a.select(*LABEL_COLS, *CHECKED), 5)
+    return rounded(a.select(*LABEL_COLS, *IN_SQL), 5)
 
 
 @query
 def analysis_test(spark, sf):
     a = W.analysis(spark, sf).filter(F.col("split") == TEST)
-    return rounded(a.select(*LABEL_COLS, *CHECKED), 5)
+    return rounded(a.select(*LABEL_COLS, *IN_SQL), 5)
 
 
 @query
@@ -545,7 +546,7 @@ def analysis_meta(spark, sf):
 
 def _univariates(spark, sf) -> DataFrame:
     calib = W.analysis(spark, sf).filter(F.col("split") == CALIB)
-    return rank_metrics.univariates(calib, CHECKED)
+    return rank_metrics.univariates(calib, IN_SQL)
 
 
 @query
@@ -577,6 +578,16 @@ def linear_probes(spark, sf):
     return rounded(probe.linear_probes(W.analysis(spark, sf).filter(F.col("split") == CALIB)))
 
 
+TWO = ("psi__entropy", "psi__margin")
+
+
+@query
+def linear_probe_two(spark, sf):
+    """A probe of two signals, small enough to be fitted in SQL as well."""
+    calib = _light_analysis(spark, sf).filter(F.col("split") == CALIB)
+    return rounded(probe.linear_probes(calib, (("psi", "two", TWO),)), 5)
+
+
 # --- policy -------------------------------------------------------------------
 
 
@@ -618,6 +629,16 @@ def policy_fit(spark, sf):
     return rounded(made.withColumns({"intercept": F.lit(p.intercept), "threshold": F.lit(p.threshold)}))
 
 
+@query
+def policy_fit_two(spark, sf):
+    """A policy of two signals, with what its fit leaves of the gradient, and its threshold."""
+    p = policy.fit_policy(_light_analysis(spark, sf), TWO)
+    rows = [(c, m, s, w) for c, m, s, w in zip(p.feature_columns, p.scaler_mean, p.scaler_scale, p.weights)]
+    made = spark.createDataFrame(rows, "feature string, mean double, scale double, weight double")
+    settled = float(p.training["gradient_per_row"]) <= TOLERANCE
+    return rounded(made.withColumns({"intercept": F.lit(p.intercept), "threshold": F.lit(p.threshold), "settled": F.lit(settled)}), 5)
+
+
 @query
 def policy_agreement(spark, sf):
     return rounded(policy.agreement(_light_analysis(spark, sf), W.FIXED_POLICY))

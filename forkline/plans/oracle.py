@@ -220,6 +220,32 @@ WHERE s.split IN ('calib', 'test')""", "vec", "splits")
 cte("centroid", """
 SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(x) AS m FROM
   (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM rows_ WHERE split = 'calib') GROUP BY i)""", "rows_")
+# Axes: the covariance, deflated once per axis; its squares, squared again and again, leave the leading direction.
+cte("cov0", """
+SELECT list(m ORDER BY i) AS s FROM (SELECT i, list(v ORDER BY j) AS m FROM (
+  SELECT a.i, b.i AS j, sum(a.x * b.x) AS v
+  FROM (SELECT query_id, generate_subscripts(v, 1) AS i, unnest(v) - unnest(c) AS x FROM rows_, centroid WHERE split = 'calib') a
+  JOIN (SELECT query_id, generate_subscripts(v, 1) AS i, unnest(v) - unnest(c) AS x FROM rows_, centroid WHERE split = 'calib') b
+  USING (query_id) GROUP BY 1, 2) GROUP BY i)""", "rows_", "centroid")
+DIAGONAL = "list_transform(range(1, len({0}) + 1), lambda i: {0}[i][i])"
+for axis in (1, 2, 3):
+    cte(f"axis{axis}", f"""
+WITH RECURSIVE p(s, k) AS (
+  SELECT s, 0 FROM cov{axis - 1}
+  UNION ALL
+  SELECT list_transform(q, lambda a: list_transform(a, lambda x: x / list_sum({DIAGONAL.format('q')}))), k + 1
+  FROM (SELECT list_transform(s, lambda a: list_transform(s, lambda b: list_dot_product(a, b))) AS q, k FROM p WHERE k < 34)),
+column_ AS (SELECT s[list_position(d, list_max(d))] AS u FROM (SELECT s, {DIAGONAL.format('s')} AS d FROM p WHERE k = 34)),
+unit AS (SELECT list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))) AS u FROM column_),
+big AS (SELECT u, list_transform(u, lambda x: abs(x)) AS a FROM unit)
+SELECT CASE WHEN u[list_position(a, list_max(a))] < 0 THEN list_transform(u, lambda x: -x) ELSE u END AS u FROM big""", f"cov{axis - 1}")
+    cte(f"cov{axis}", f"""
+SELECT list_transform(s, lambda a, i: list_transform(a, lambda x, j: x - l * u[i] * u[j])) AS s
+FROM (SELECT s, u, list_dot_product(u, list_transform(s, lambda a: list_dot_product(a, u))) AS l FROM cov{axis - 1}, axis{axis})""",
+        f"cov{axis - 1}", f"axis{axis}")
+cte("axes", f"""
+SELECT query_id, {', '.join(f'list_dot_product(v, a{i}.u) - list_dot_product(c, a{i}.u) AS pc{i}' for i in (1, 2, 3))}
+FROM rows_, centroid, {', '.join(f'axis{i} a{i}' for i in (1, 2, 3))}""", "rows_", "centroid", "axis1", "axis2", "axis3")
 cte("cosine_hits", """
 SELECT query_id, base_id, d FROM (
   SELECT q.query_id, b.query_id AS base_id, d, row_number() OVER (PARTITION BY q.query_id ORDER BY d, b.query_id) AS rn
@@ -241,14 +267,15 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, base_id) AS
 JOIN kdist USING (base_id) JOIN lrd USING (base_id) WHERE rn <= 10 GROUP BY query_id""", "near", "kdist", "lrd")
 cte("geometry", """
 SELECT g.query_id, 1 - list_cosine_similarity(g.v, c.c) AS phi__embedding_geometry__centroid_distance,
+  x.pc1 AS phi__embedding_geometry__pc1, x.pc2 AS phi__embedding_geometry__pc2, x.pc3 AS phi__embedding_geometry__pc3,
   k.sim AS phi__embedding_geometry__mean_knn_similarity,
   (l.raw - st.m) / CASE WHEN st.s = 0 THEN 1 ELSE st.s END AS phi__embedding_geometry__lof_score
-FROM rows_ g CROSS JOIN centroid c
+FROM rows_ g JOIN axes x ON x.query_id = g.query_id CROSS JOIN centroid c
 JOIN (SELECT query_id, avg(1 - d) AS sim FROM cosine_hits GROUP BY query_id) k ON k.query_id = g.query_id
 JOIN lof_raw l ON l.query_id = g.query_id
 CROSS JOIN (SELECT avg(raw) AS m, stddev_pop(raw) AS s FROM lof_raw WHERE split = 'calib') st""",
-    "rows_", "centroid", "cosine_hits", "lof_raw")
-GEO_COLS = [f"phi__embedding_geometry__{c}" for c in ("centroid_distance", "mean_knn_similarity", "lof_score")]
+    "rows_", "axes", "centroid", "cosine_hits", "lof_raw")
+GEO_COLS = [f"phi__embedding_geometry__{c}" for c in ("pc1", "pc2", "pc3", "centroid_distance", "mean_knn_similarity", "lof_score")]
 
 # Standardised text and geometry signals.
 cte("phi_all", f"""
@@ -575,6 +602,8 @@ ORACLE["zscore_fit"] = with_("phi_text", " UNION ALL ".join(
 ORACLE["phi_zscore"] = with_("phi_text_z", f"SELECT query_id, {', '.join(r(c, 5, c) for c in TEXT_COLS)} FROM phi_text_z")
 ORACLE["geometry_density"] = with_("geometry", f"SELECT query_id, {', '.join(r(c, 5, c) for c in GEO_COLS)} FROM geometry")
 
+ORACLE["geometry_axes"] = with_("axes", f"SELECT query_id, {', '.join(r(c, 5, c) for c in ('pc1', 'pc2', 'pc3'))} FROM axes")
+
 
 def knn_sql(distance: str, k: int, others: bool) -> str:
     drop = "WHERE a.query_id <> b.query_id" if others else ""
@@ -645,3 +674,68 @@ SELECT 'documents:' || doc_id AS query_id, 'model_independent' AS signal_type, {
   quality = 1 AS prediction_disagreement, 'B' AS parsed_answer, {r('doc_id / 16', 6, 'confidence')},
   toxic::VARCHAR AS disagreement, false AS kept_result_field FROM labels"""
 ORACLE["policy_round_trip"] = with_("routed", "SELECT model, count(*) AS n FROM routed GROUP BY model")
+
+
+def newton_sql(fits: str, rows: str) -> str:
+    """Newton steps of two-feature fits from ``fits (f)`` and ``rows (f, y, z1, z2, wt)``, with the 3 x 3 system written out."""
+    def det(m: list[str]) -> str:
+        a, b, c, d, e, f, g, h, i = m
+        return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+    m = ["h11", "h12", "h13", "h12", "h22", "h23", "h13", "h23", "h33"]
+    solved = [det([("g1", "g2", "g3")[i // 3] if i % 3 == k else x for i, x in enumerate(m)]) for k in range(3)]
+    slope = "wt * p * (1 - p)"
+    return f"""
+newton AS (
+  SELECT f, 0 AS it, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS b FROM {fits}
+  UNION ALL
+  SELECT f, it + 1, w1 - {solved[0]} / {det(m)}, w2 - {solved[1]} / {det(m)}, b - {solved[2]} / {det(m)}
+  FROM (
+    SELECT f, it, w1, w2, b, sum(wt * (p - y) * z1) + w1 AS g1, sum(wt * (p - y) * z2) + w2 AS g2, sum(wt * (p - y)) AS g3,
+      sum({slope} * z1 * z1) + 1 AS h11, sum({slope} * z1 * z2) AS h12, sum({slope} * z1) AS h13, sum({slope} * z2 * z2) + 1 AS h22,
+      sum({slope} * z2) AS h23, sum({slope}) AS h33
+    FROM (SELECT n.*, t.y, t.z1, t.z2, t.wt, 1 / (1 + exp(-(w1 * z1 + w2 * z2 + b))) AS p
+          FROM newton n JOIN {rows} t ON t.f = n.f WHERE it < 25)
+    GROUP BY f, it, w1, w2, b)),
+weights AS (SELECT * FROM newton WHERE it = 25)"""
+
+
+TWO_ROWS = "SELECT query_id, r AS y, psi__entropy AS a, psi__margin AS b FROM light WHERE split = 'calib' AND psi__entropy IS NOT NULL AND psi__margin IS NOT NULL"
+SCALED = """
+  SELECT f, any_value(n) AS n, any_value(p) AS p, any_value(ma) AS ma, any_value(mb) AS mb, any_value(sa) AS sa, any_value(sb) AS sb
+  FROM (SELECT f, count(*) OVER x AS n, sum(y) OVER x AS p, avg(a) OVER x AS ma, avg(b) OVER x AS mb,
+    stddev_pop(a) OVER x AS sa, stddev_pop(b) OVER x AS sb FROM trained WINDOW x AS (PARTITION BY f)) GROUP BY f"""
+Z = """
+  SELECT f, y, (a - ma) / sa AS z1, (b - mb) / sb AS z2, CASE WHEN y = 1 THEN n / (2.0 * p) ELSE n / (2.0 * (n - p)) END AS wt
+  FROM trained JOIN scaled USING (f)"""
+ORACLE["linear_probe_two"] = with_("light", f"""
+SELECT * FROM (WITH RECURSIVE given AS ({TWO_ROWS}),
+folds_ AS (SELECT least(5, sum(r), count(*) - sum(r))::BIGINT AS k FROM light WHERE split = 'calib'),
+dealt AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY md5('42:' || query_id), query_id) - 1) % k AS fold, k FROM given, folds_),
+trained AS (SELECT f, d.* FROM dealt d, (SELECT unnest(range(k)) AS f FROM folds_) WHERE fold <> f),
+scaled AS ({SCALED}),
+z AS ({Z}),
+{newton_sql('scaled', 'z')},
+probs AS (SELECT w.f, d.y, 1 / (1 + exp(-(w1 * (d.a - ma) / sa + w2 * (d.b - mb) / sb + w.b))) AS v
+  FROM dealt d JOIN weights w ON w.f = d.fold JOIN scaled s ON s.f = w.f),
+val AS (SELECT f, v, count(*) AS c, sum(y) AS p FROM probs GROUP BY f, v),
+ranked AS (SELECT *, sum(c) OVER up - c + (c + 1) / 2.0 AS rk, sum(p) OVER down AS tp, sum(c) OVER down AS seen
+  FROM val WINDOW up AS (PARTITION BY f ORDER BY v), down AS (PARTITION BY f ORDER BY v DESC)),
+scored AS (SELECT f, (sum(p * rk) - sum(p) * (sum(p) + 1) / 2.0) / (sum(p) * (sum(c) - sum(p))) AS auroc,
+    sum(p * tp / seen) / sum(p) AS ap FROM ranked GROUP BY f HAVING sum(p) > 0 AND sum(p) < sum(c))
+SELECT 'psi' AS family, 'two' AS block, 2 AS n_features, k::INTEGER AS cv_folds, {r('avg(auroc)', 5, 'cv_auroc_mean')},
+  {r('stddev_pop(auroc)', 5, 'cv_auroc_std')}, {r('avg(ap)', 5, 'cv_auprc_mean')}, {r('stddev_pop(ap)', 5, 'cv_auprc_std')}
+FROM scored, folds_ GROUP BY k)""")
+ORACLE["policy_fit_two"] = with_("light", f"""
+SELECT * FROM (WITH RECURSIVE given AS ({TWO_ROWS}),
+trained AS (SELECT 0 AS f, * FROM given),
+scaled AS ({SCALED}),
+z AS ({Z}),
+{newton_sql('scaled', 'z')},
+scores_ AS (SELECT y, 1 / (1 + exp(-(w1 * z1 + w2 * z2 + b))) AS v FROM z, weights),
+tried AS (SELECT t / 100.0::DOUBLE AS tau, avg(((v > t / 100.0::DOUBLE) = (y = 1))::INT) AS acc FROM scores_, range(1, 100) u(t) GROUP BY t),
+best AS (SELECT tau FROM tried ORDER BY acc DESC, tau LIMIT 1)
+SELECT feature, {r('mean', 5, 'mean')}, {r('scale', 5, 'scale')}, {r('weight', 5, 'weight')}, {r('intercept', 5, 'intercept')},
+  tau AS threshold, true AS settled
+FROM (SELECT unnest(['psi.entropy', 'psi.margin']) AS feature, unnest([ma, mb]) AS mean, unnest([sa, sb]) AS scale,
+  unnest([w1, w2]) AS weight, b AS intercept FROM scaled, weights), best)""")
