@@ -503,6 +503,22 @@ def knn_cosine_others(spark, sf):
     return rounded(hits)
 
 
+@query
+def knn_recall(spark, sf):
+    """Whether the approximate mode finds nine in ten of the exact neighbours, for several k, over all vectors.
+
+    The cells to look into are chosen on a sample of queries; both modes share one index.
+    """
+    v = W.vectors(spark, sf)
+    sides = knn.merge_copies(v, v, 10, vector="embedding")
+    index = knn.build_index(sides.base, sides.kind)
+    probes = knn.probes_for(sides, index, 10)
+    exact = stage(knn.search(sides, 10, index=index), "exact")
+    near = stage(knn.search(sides, 10, probes=probes, index=index), "near")
+    found = knn.recall(near, exact, (1, 5, 10))
+    return found.select("k", "n", (F.col("recall") >= 0.9).alias("nine_in_ten"))
+
+
 # --- wide table ---------------------------------------------------------------
 
 # Deflate has no SQL form; its column is in analysis_full.

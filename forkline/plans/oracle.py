@@ -615,6 +615,7 @@ SELECT query_id, base_id, {r('d', 6, 'distance')}, rn::INTEGER AS rank FROM (
 
 ORACLE["knn_euclidean"] = knn_sql("list_distance(a.v, b.v)", 6, False)
 ORACLE["knn_cosine_others"] = knn_sql("1 - list_cosine_similarity(a.v, b.v)", 5, True)
+ORACLE["knn_recall"] = "SELECT k::INTEGER AS k, count(*) AS n, true AS nine_in_ten FROM embeddings, (VALUES (1), (5), (10)) t(k) GROUP BY k"
 for part in ("calib", "test"):
     ORACLE[f"analysis_{part}"] = with_(
         "analysis", f"SELECT {LABELS}, {', '.join(r(c, 5, c) for c in ALL_COLS)} FROM analysis WHERE split = '{part}'"
