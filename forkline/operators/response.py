@@ -11,6 +11,7 @@ from forkline.functions.exprs import array_sum, let, letter
 from forkline.functions.scores import confidence, option_scores, ranking, unpack, valid_trace
 from forkline.functions.text import strip
 from forkline.schemas import PSI, STEP_TOP_K
+from forkline.sources.broken import Parted, part
 
 Extractor = Callable[..., DataFrame]
 
@@ -42,34 +43,61 @@ def register_protocol(name: str, extractor: Extractor) -> None:
     EXTRACTORS[name] = extractor
 
 
+def unregister_protocol(name: str) -> None:
+    EXTRACTORS.pop(name, None)
+
+
 def known_protocols() -> tuple[str, ...]:
     return tuple(EXTRACTORS) + tuple(PROTOCOL_ALIASES)
 
 
+def named_protocols(results: DataFrame) -> DataFrame:
+    """Adds ``_protocol``: today's name of the row's protocol."""
+    protocol = F.col("model_response.protocol_version")
+    today = F.coalesce(*[F.when(protocol == old, F.lit(new)) for old, new in PROTOCOL_ALIASES.items()], protocol)
+    return results.withColumn("_protocol", today)
+
+
+def _extracted(results: DataFrame, temperature: float) -> DataFrame:
+    """Metrics of every row by its protocol, with ``_reason`` for rows that have none to go by."""
+    named = named_protocols(results)
+    known = F.coalesce(F.col("_protocol").isin(*EXTRACTORS), F.lit(False))
+    columns = ("query_id", "role", *PSI, "prediction", "trace_valid")
+    out = None
+    for i, (name, extract) in enumerate(EXTRACTORS.items()):
+        # Rows of no known protocol go with the first, so that one protocol needs one pass without a filter.
+        mine = F.col("_protocol") == name if i else ~known | (F.col("_protocol") == name)
+        rows = named if len(EXTRACTORS) == 1 else named.filter(mine)
+        made = extract(rows, temperature).select(
+            *columns, F.when(~known, "unknown protocol").when(~F.coalesce("trace_valid", F.lit(False)), "broken trace").alias("_reason"))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
 def psi(results: DataFrame, temperature: float = 1.0, strict: bool = True) -> DataFrame:
     """``query_id, role``, the ten metrics and the prediction for every result row.
 
-    ``strict`` turns unknown protocols and broken traces into an error; otherwise
-    ``trace_valid`` tells.
+    ``strict`` turns unknown protocols and broken traces into an error, found in one aggregation; otherwise
+    ``trace_valid`` tells. See ``psi_parted`` for both in one pass.
     """
-    protocol = F.col("model_response.protocol_version")
-    named = results.withColumn("_protocol", protocol)
-    for old, new in PROTOCOL_ALIASES.items():
-        named = named.withColumn("_protocol", F.when(F.col("_protocol") == old, new).otherwise(F.col("_protocol")))
-    parts = []
-    for name, extract in EXTRACTORS.items():
-        rows = named if len(EXTRACTORS) == 1 else named.filter(F.col("_protocol") == name)
-        parts.append(extract(rows, temperature).select("query_id", "role", *PSI, "prediction", "trace_valid"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = _extracted(results, temperature)
     if strict:
-        unknown = named.filter(~F.coalesce(F.col("_protocol").isin(*EXTRACTORS), F.lit(False))).limit(1).collect()
-        broken = out.filter(~F.col("trace_valid")).limit(1).collect()
-        for row, what in ((unknown, "unknown protocol"), (broken, "broken trace")):
-            if row:
-                raise ValueError(f"{what} in {row[0]['query_id']!r}")
-    return out
+        first = out.agg(F.min(F.when(F.col("_reason").isNotNull(), F.struct("query_id", "_reason"))).alias("b")).first()["b"]
+        if first:
+            raise ValueError(f"{first['_reason']} in {first['query_id']!r}")
+    return out.drop("_reason")
+
+
+def psi_parted(results: DataFrame, temperature: float = 1.0) -> Parted:
+    """The signals of the rows that can be read, and the broken rows with their reasons, from one pass."""
+    out = _extracted(results, temperature).withColumnRenamed("_reason", "_why")
+    scored = F.coalesce(F.col("option_count") > 0, F.lit(False))
+    made = part(out, {
+        "unknown protocol": F.col("_why") == "unknown protocol",
+        "no scores": (F.col("_why") == "broken trace") & ~scored,
+        "broken trace": F.col("_why") == "broken trace",
+    }, "psi-parted")
+    return Parted(made.good.drop("_why"), made.errors.drop("_why"))
 
 
 def with_raw_view(signals: DataFrame, queries: DataFrame) -> DataFrame:

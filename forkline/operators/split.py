@@ -118,13 +118,20 @@ def require_sound(queries: DataFrame, splits: DataFrame) -> None:
         raise ValueError(f"unsound partition: {row}")
 
 
+def holdout_faults(queries: DataFrame, holdout: DataFrame) -> DataFrame:
+    """``query_id, reason`` of holdout ids that are there twice or more, or not in the corpus; one aggregation."""
+    sides = holdout.select("query_id", F.lit(1).alias("_h"), F.lit(0).alias("_q")).unionByName(
+        queries.select("query_id", F.lit(0).alias("_h"), F.lit(1).alias("_q")))
+    held = sides.groupBy("query_id").agg(F.sum("_h").alias("_h"), F.max("_q").alias("_q")).filter("_h > 0")
+    reason = F.when(F.col("_q") == 0, "outside the corpus").when(F.col("_h") > 1, "twice")
+    return held.select("query_id", reason.alias("reason")).filter("reason is not null")
+
+
 def require_holdout(queries: DataFrame, holdout: DataFrame) -> None:
     """No id twice, every id in the corpus."""
-    marked = holdout.groupBy("query_id").agg(F.count("*").alias("n"))
-    if marked.filter("n > 1").limit(1).collect():
-        raise ValueError("holdout holds an id twice")
-    if marked.join(queries, "query_id", "left_anti").limit(1).collect():
-        raise ValueError("holdout holds an id outside the corpus")
+    bad = holdout_faults(queries, holdout).orderBy("query_id").limit(1).collect()
+    if bad:
+        raise ValueError(f"holdout: {bad[0]['query_id']!r} is {bad[0]['reason']}")
 
 
 def eval_ids(splits: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
@@ -185,3 +192,39 @@ def frozen_or_new(spark: SparkSession, path: str, queries: DataFrame, rule: Spli
         return splits
     write_splits(assign(queries, rule), path, queries)
     return read_splits(spark, path)
+
+
+def manifest(splits: DataFrame) -> DataFrame:
+    """``split, n, digest``: what is stored of each part, without regard to files or order."""
+    return splits.groupBy("split").agg(
+        F.count("*").alias("n"), F.expr("cast(sum(cast(xxhash64(query_id) as decimal(38, 0))) as string)").alias("digest"))
+
+
+def extend_parts(spark: SparkSession, path: str, queries: DataFrame, rule: SplitRule = SplitRule()) -> DataFrame:
+    """Parts at ``path`` with the queries that are new since they were frozen; no id that has a part moves.
+
+    The first call freezes the parts of ``assign``. Later ones check what is stored against its manifest, then give each
+    new id to the test part if its seeded place in [0, 1) is below the rule's test fraction, else to calibration; the
+    holdout stays as it was. Only new ids are written: as files beside the old ones in the folders of their parts.
+    The manifest is written last; a call that was cut short leaves rows that the next call finds unlisted and refuses.
+    """
+    from forkline.sources.tables import path_exists, read_splits
+
+    listed = f"{path}/_manifest"
+    if not path_exists(spark, listed):
+        assign(queries, rule).write.mode("overwrite").partitionBy("split").parquet(f"{path}/parts")
+    else:
+        frozen = read_splits(spark, f"{path}/parts")
+        stored = spark.read.parquet(listed)
+        if not manifest(frozen).exceptAll(stored.select("split", "n", "digest")).isEmpty():
+            raise ValueError("the frozen parts are not those of their manifest")
+        gone = frozen.join(queries, "query_id", "left_anti").limit(1).collect()
+        if gone:
+            raise ValueError(f"{gone[0]['query_id']!r} has a part but is not in the corpus")
+        place = F.conv(F.substring(F.md5(F.concat(F.lit(f"{rule.seed}:"), "query_id")), 1, 12), 16, 10).cast("double") / float(16**12)
+        new = queries.select("query_id").join(frozen, "query_id", "left_anti").select(
+            "query_id", F.when(place < rule.test_fraction, TEST).otherwise(CALIB).alias("split"))
+        new.write.mode("append").partitionBy("split").parquet(f"{path}/parts")
+    now = read_splits(spark, f"{path}/parts")
+    manifest(now).coalesce(1).write.mode("overwrite").parquet(listed)
+    return now

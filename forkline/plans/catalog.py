@@ -711,16 +711,17 @@ def hi_rate_windows(spark, sf):
 
 @query
 def stream_latest(spark, sf):
-    """Events as results arriving for a (user, type); the newest per key is kept."""
-    schema = W.table(spark, sf, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    arriving = rows.select(
+    """Events as results arriving in several micro-batches for a (user, type); the newest per key is kept."""
+    arrived = scratch_path(spark, "arrivals")
+    events = W.table(spark, sf, "events").select(
         W.query_id(F.col("user_id")).alias("query_id"), F.col("event_type").alias("role"),
         F.col("event_id").alias("version"), "value",
     )
-    log = scratch_path(spark, "result-log")
-    routing.log_results(arriving, log, scratch_path(spark, "result-log-state"))
-    return routing.current_results(spark, log)
+    events.repartition(4, "version").write.parquet(arrived)
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+    store = scratch_path(spark, "result-store")
+    routing.store_results(rows, store, scratch_path(spark, "result-store-state"))
+    return routing.current_results(spark, store, routing.ddl(events))
 
 
 # --- tables written and read back ---------------------------------------------

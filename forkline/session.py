@@ -63,13 +63,24 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        # Spark has no call of its own that removes a folder; only paths made above are touched.
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        for path in map(hadoop.Path, _made[before:]):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove_folders(spark, _made[before:])
         del _made[before:]
 
 
+def remove_folders(spark: SparkSession, paths: list[str]) -> None:
+    """Spark has no call of its own that removes a folder."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in map(hadoop.Path, paths):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def list_folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that a pattern of folder names matches."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a Parquet table in the shared folder and read it back.
 

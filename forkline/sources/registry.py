@@ -102,8 +102,14 @@ REGISTRY: dict[str, SourceSpec] = {
             "subject STRING, category STRING",
             aliases=("MMLU-Pro",),
         ),
-        SourceSpec("TruthfulQA", truthfulqa, ("validation",), (), "question"),
-        SourceSpec("HellaSwag", hellaswag, ("validation",), (), "ind"),
+        SourceSpec(
+            "TruthfulQA", truthfulqa, ("validation",), (), "question",
+            "question STRING, mc1_targets STRUCT<choices: ARRAY<STRING>, labels: ARRAY<INT>>",
+        ),
+        SourceSpec(
+            "HellaSwag", hellaswag, ("validation",), (), "ind",
+            "ind BIGINT, ctx STRING, ctx_a STRING, ctx_b STRING, endings ARRAY<STRING>, label STRING",
+        ),
     )
 }
 
@@ -112,6 +118,10 @@ def register(spec: SourceSpec) -> None:
     REGISTRY[spec.name] = spec
 
 
+def unregister(name: str) -> None:
+    REGISTRY.pop(name, None)
+
+
 def get_source(name: str) -> SourceSpec:
     for spec in REGISTRY.values():
         if name == spec.name or name in spec.aliases:
@@ -119,6 +129,19 @@ def get_source(name: str) -> SourceSpec:
     raise KeyError(f"unknown source {name!r}; registered: {sorted(REGISTRY)}")
 
 
+def file_row_numbers(files: DataFrame, out: str = "row_index") -> DataFrame:
+    """0-based position of each row of a Parquet scan, files by name and rows as they lie in them.
+
+    Only the row counts of files are added up; rows stay where they are read. Equal rows have places of their own, the
+    same ones on every run.
+    """
+    placed = files.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    counts = files.select(F.col("_metadata.file_path").alias("_file")).groupBy("_file").agg(F.count("*").alias("_n"))
+    # One row per file, in prefix sums; stored, its size is known, and Spark broadcasts it where it is small.
+    before = stage(counts.select("_file", (F.sum("_n").over(Window.orderBy("_file")) - F.col("_n")).alias("_before")), "file-rows")
+    return placed.join(before, "_file").withColumn(out, F.col("_before") + F.col("_at")).drop("_file", "_at", "_before")
+
+
 def row_numbers(df: DataFrame, order_by: str, out: str = "row_index") -> DataFrame:
     """0-based position in ``order_by`` order, contiguous over the whole table.
 
@@ -160,13 +183,17 @@ def normalise(df: DataFrame, spec: SourceSpec, split: str | Column, row_index: s
 
 
 def load_corpus(spark: SparkSession, spec: SourceSpec, root: str, fmt: str = "parquet") -> DataFrame:
-    """All allowed splits of a source, read from ``root/<split>``; bad or duplicate rows are an error."""
+    """All allowed splits of a source, read from ``root/<split>``; bad or duplicate rows are an error.
+
+    Rows of Parquet files are numbered as they lie in them, those of other formats by the source's key.
+    """
     parts = []
     for split in spec.splits:
         if split in spec.exclude:
             raise ValueError(f"split {split!r} of {spec.name} must not be used")
         reader = spark.read.schema(spec.schema) if spec.schema else spark.read
-        rows = row_numbers(reader.format(fmt).load(f"{root}/{split}"), spec.order_by)
+        read = reader.format(fmt).load(f"{root}/{split}")
+        rows = file_row_numbers(read) if fmt == "parquet" else row_numbers(read, spec.order_by)
         parts.append(normalise(rows, spec, split))
     out = parts[0]
     for p in parts[1:]:

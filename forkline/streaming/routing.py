@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forkline.operators.grade import newest
 from forkline.operators.policy import RoutingPolicy, decide
+from forkline.session import list_folders, remove_folders, stage
 
 
 def route_stream(arrivals: DataFrame, features: DataFrame, policy: RoutingPolicy) -> DataFrame:
@@ -73,20 +74,50 @@ def ddl(df: DataFrame) -> str:
 KEYS = ("query_id", "role")
 
 
-def log_results(stream: DataFrame, path: str, checkpoint: str, version: str = "version") -> None:
-    """Keep the newest row per (query, role) of every micro-batch in a log.
+BUCKETS = 64  # of keys in a result store
 
-    A batch overwrites only its own folder, so a repeated batch changes nothing.
+
+def store_results(stream: DataFrame, path: str, checkpoint: str, version: str = "version", buckets: int = BUCKETS) -> None:
+    """Keep the newest row per (query, role) of all that has arrived, in buckets of keys.
+
+    A micro-batch reads and rewrites only the buckets it touches. Its rows go to a folder of its own; only when they are
+    written do the touched buckets of earlier folders go. A batch that is repeated, or one that was cut short, leaves
+    rows that the reader's rule (newest version, ties by the whole row) settles, and that the next touch removes: the
+    store holds a row per key, not per batch. Ties of a version are settled by the values of all columns, the largest
+    first, so the order in which rows arrive does not matter.
     """
 
     def keep(batch: DataFrame, number: int) -> None:
-        newest(batch, KEYS, version).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        arrived = stage(newest(batch, KEYS, version).withColumn("bucket", _bucket(buckets)), "arrived")
+        touched = sorted(r["bucket"] for r in arrived.select("bucket").distinct().collect())  # at most ``buckets`` numbers
+        if not touched:
+            return
+        held = [f for f in _bucket_folders(spark, path, touched) if f"/batch={number}/" not in f]
+        if held:
+            old = spark.read.schema(batch.schema).parquet(*held).withColumn("bucket", _bucket(buckets))
+            arrived = newest(arrived.unionByName(old), KEYS, version)
+        arrived.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
+        remove_folders(spark, held)
 
     stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(
         availableNow=True
     ).start().awaitTermination()
 
 
-def current_results(spark: SparkSession, path: str, version: str = "version") -> DataFrame:
-    """The newest row per (query, role) over the whole log."""
-    return newest(spark.read.parquet(path).drop("batch"), KEYS, version)
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).cast("int")
+
+
+def _bucket_folders(spark: SparkSession, path: str, touched: list[int]) -> list[str]:
+    found = list_folders(spark, f"{path}/batch=*/bucket=*")
+    wanted = {f"bucket={b}" for b in touched}
+    return [f for f in found if f.rsplit("/", 1)[1] in wanted]
+
+
+def current_results(spark: SparkSession, path: str, schema: str, version: str = "version") -> DataFrame:
+    """The newest row per (query, role) of a store."""
+    empty = spark.createDataFrame([], schema)
+    stored = list_folders(spark, f"{path}/batch=*")
+    rows = spark.read.schema(schema).parquet(path).select(*empty.columns) if stored else empty
+    return newest(rows, KEYS, version)

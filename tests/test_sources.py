@@ -124,11 +124,13 @@ def test_newest_scorecards_from_globs(spark, tmp_path):
 
 
 def test_meta_and_report(spark, tmp_path):
-    made = tables.stage_meta(spark.range(3), ["msp", "entropy"], metrics_version="v4")
+    rows = spark.createDataFrame([(1, 0.5, None), (2, None, None), (3, None, 0.1)], "query_id int, msp double, entropy double")
+    made = tables.write_with_meta(rows, str(tmp_path / "signals"), ["msp", "entropy"], metrics_version="v4")
     tables.write_report(made, str(tmp_path / "meta"))
     assert json.loads(spark.read.text(str(tmp_path / "meta")).first()["value"]) == {
-        "n_queries": 3, "metric_keys": ["entropy", "msp"], "metrics_version": "v4",
+        "n_queries": 3, "n_without_metrics": 1, "metric_keys": ["entropy", "msp"], "metrics_version": "v4",
     }
+    assert spark.read.parquet(str(tmp_path / "signals")).count() == 3
 
 
 def test_csv_drops_unusable_fields(spark, tmp_path):

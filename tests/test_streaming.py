@@ -48,11 +48,22 @@ def test_all_windows_of_a_finite_run(spark, tmp_path):
     assert got.count() == 10 and spark.read.parquet(f"{tmp_path}/out").select("batch").distinct().count() > 1
 
 
-def test_result_log_keeps_the_newest(spark, tmp_path):
+def test_result_store_keeps_one_row_per_key(spark, tmp_path):
+    """Many micro-batches, versions out of order and tied; the store stays as large as its keys, and equals one batch job."""
     ddl = "query_id string, role string, version int, v int"
-    src, log, state = (f"{tmp_path}/{x}" for x in ("in", "log", "state"))
-    for batch in ([("a", "M_lo", 1, 10), ("a", "M_lo", 3, 30), ("b", "M_lo", 1, 1)], [("a", "M_lo", 2, 20), ("b", "M_lo", 5, 5)]):
-        spark.createDataFrame(batch, ddl).write.mode("append").parquet(src)
-        routing.log_results(spark.readStream.schema(ddl).parquet(src), log, state)
-    got = sorted((r["query_id"], r["v"]) for r in routing.current_results(spark, log).collect())
-    assert got == [("a", 30), ("b", 5)]
+    src, store, state = (f"{tmp_path}/{x}" for x in ("in", "store", "state"))
+    rows = [(f"q{i % 17}", ("M_lo", "M_hi")[i % 2], i * 7 % 50, i) for i in range(200)]
+    for i in range(0, 200, 40):
+        spark.createDataFrame(rows[i : i + 40], ddl).coalesce(1).write.mode("append").parquet(src)
+        if i in (80, 160):
+            files = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(src)
+            routing.store_results(files, store, state, buckets=8)
+    best = {}
+    for q, r, version, v in rows:
+        best[q, r] = max(best.get((q, r), (-1, -1)), (version, v))
+    assert {(r["query_id"], r["role"]): (r["version"], r["v"]) for r in routing.current_results(spark, store, ddl).collect()} == best
+    assert spark.read.schema(ddl).parquet(store).count() == len(best)
+    again = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(src)
+    routing.store_results(again, store, f"{state}-2", buckets=8)  # all batches once more change nothing
+    assert {(r["query_id"], r["role"]): (r["version"], r["v"]) for r in routing.current_results(spark, store, ddl).collect()} == best
+    assert spark.read.schema(ddl).parquet(store).count() == len(best)
