@@ -6,13 +6,16 @@ position; where the shift is zero, the bucket of that block names the windows to
 length share a table, so a one-word item does not shorten the moves of the others.
 
 The benchmark is the stated query set: it is taken in blocks of bounded size, each one pass over all texts with its
-tables broadcast. Texts are never shuffled.
+tables broadcast; between passes the rows are stored, so that a worker holds the tables of one block. Texts are never
+shuffled.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +25,11 @@ from pyspark.sql import types as T
 
 from forkline.llm.arrow import add_columns
 from forkline.llm.shingles import LOWER, buffers
+from forkline.session import stage
 
 WINDOW = 13  # words; fixed by the contract
 BLOCK = 10  # bytes of a block
-PASS_BYTES = 4_000_000  # benchmark text of one pass over the documents
+PASS_BYTES = 16_000_000  # benchmark text of one pass over the documents; its tables take about ten times that
 CLASSES = (24, 48)  # windows below these many bytes have tables of their own
 
 # Letters, digits and every byte of a multi-byte character: [^\x00-\x2F\x3A-\x60\x7B-\x7F] once A-Z are lower-cased.
@@ -59,61 +63,91 @@ def normalised(column: pa.Array) -> Iterator[tuple[bytes, int]]:
 
 
 class WuManber:
-    """Search for patterns of similar length."""
+    """Search for patterns of similar length.
 
-    def __init__(self, patterns: list[bytes], block: int = BLOCK):
-        self.least = min(map(len, patterns))
+    The patterns are stretches of one text, kept as places: a table of shifts in one byte per slot of the block's hash
+    (blocks that share a slot take the least of their shifts, which is safe), and the hashes of the patterns' last
+    blocks in order, with the places of the patterns. About ten bytes per byte of text, whatever Python's objects take.
+    """
+
+    def __init__(self, text: bytes, starts: np.ndarray, ends: np.ndarray, block: int = BLOCK):
+        self.text, lengths = text, ends - starts
+        self.least = int(lengths.min())
         self.block = min(block, self.least)
-        self.far = self.least - self.block + 1
-        self.shift: dict[bytes, int] = {}
-        self.bucket: dict[bytes, list[tuple[bytes, int]]] = defaultdict(list)
-        for number, p in enumerate(patterns):
-            for end in range(self.block, self.least + 1):
-                at = p[end - self.block : end]
-                self.shift[at] = min(self.shift.get(at, self.far), self.least - end)
-            self.bucket[p[self.least - self.block : self.least]].append((p, number))
+        self.far = min(255, self.least - self.block + 1)
+        # Hash of the block that ends at each place of the text.
+        ending = np.zeros(len(text) + 1, np.uint32)
+        for end in range(self.block, len(text) + 1):
+            ending[end] = crc32(text[end - self.block : end])
+        # Half of the slots or more stay empty: there are no more different blocks than places in the text.
+        self.bits = max(10, (2 * min(len(starts) * (self.least - self.block + 1), len(text))).bit_length())
+        self.mask = (1 << self.bits) - 1
+        shift = np.full(1 << self.bits, self.far, np.uint8)
+        for end in range(self.block, self.least + 1):
+            np.minimum.at(shift, ending[starts + end] & np.uint32(self.mask), np.uint8(min(255, self.least - end)))
+        self.shift = shift.tobytes()
+        last = ending[starts + self.least]
+        by = np.lexsort((starts, last))
+        self.last = array("I", last[by].tobytes())
+        self.number = array("q", by.astype(np.int64).tobytes())
+        self.starts, self.ends = array("q", starts.astype(np.int64).tobytes()), array("q", ends.astype(np.int64).tobytes())
 
     def find(self, text: bytes) -> Iterator[tuple[int, int]]:
         """Start and number of every occurrence of a pattern."""
-        end, block, least, far, shift = self.least, self.block, self.least, self.far, self.shift.get
-        while end <= len(text):
-            at = text[end - block : end]
-            step = shift(at, far)
+        end, block, least, shift, mask = self.least, self.block, self.least, self.shift, self.mask
+        n = len(text)
+        while end <= n:
+            at = crc32(text[end - block : end])
+            step = shift[at & mask]
             if step:
                 end += step
                 continue
-            for p, number in self.bucket[at]:
-                if text.startswith(p, end - least):
+            i = bisect_left(self.last, at)
+            while i < len(self.last) and self.last[i] == at:
+                number = self.number[i]
+                if text.startswith(self.text[self.starts[number] : self.ends[number]], end - least):
                     yield end - least, number
+                i += 1
             end += 1
 
 
 class Windows:
-    """Tables for the windows of some items."""
+    """Tables for the windows of some items: places in the items' normalised texts, and whose they are."""
 
     def __init__(self, items: list[tuple[str | None, str | None]]):
-        owners: dict[bytes, set] = defaultdict(set)
+        self.items = [item for item, _ in items]
         texts = pa.array([t for _, t in items], pa.large_string())
-        for (item, _), (raw, n) in zip(items, normalised(texts), strict=True):
-            words = raw.split()
-            for i in range(max(1, n - WINDOW + 1) if n else 0):
-                owners[b" " + b" ".join(words[i : i + WINDOW]) + b" "].add(item)
-        by_class: dict[int, list[bytes]] = defaultdict(list)
-        for p in sorted(owners):
-            by_class[sum(len(p) >= c for c in CLASSES)].append(p)
-        self.tables = [(WuManber(ps), [(p.count(b" ") - 1, sorted(x for x in owners[p] if x is not None)) for p in ps])
-                       for ps in by_class.values()]
+        raws, starts, ends, words, owner, size = [], [], [], [], [], 0
+        for k, (raw, n) in enumerate(normalised(texts)):
+            if n:
+                spaces = np.flatnonzero(np.frombuffer(raw, np.uint8) == 0x20)  # n + 1: before, between and after the words
+                width = min(WINDOW, n)
+                starts.append(spaces[: len(spaces) - width] + size)
+                ends.append(spaces[width:] + 1 + size)
+                words.append(np.full(len(ends[-1]), width, np.int64))
+                owner.append(np.full(len(ends[-1]), k, np.int64))
+            raws.append(raw)
+            size += len(raw)
+        text = b"".join(raws)
+        self.tables = []
+        if starts:
+            starts, ends, words, owner = map(np.concatenate, (starts, ends, words, owner))
+            kind = np.searchsorted(CLASSES, ends - starts, side="right")
+            for c in np.unique(kind):
+                mine = kind == c
+                self.tables.append((WuManber(text, starts[mine], ends[mine]), words[mine], owner[mine]))
 
     def hits(self, text: bytes) -> tuple[list[tuple[int, int]], list[str]]:
         """Ranges of hit words (first, last) without overlaps, and the items with an occurring window."""
-        found = [(at, *info[number]) for table, info in self.tables for at, number in table.find(text)]
+        found = [(at, int(words[k]), self.items[owner[k]]) for table, words, owner in self.tables for at, k in table.find(text)]
         if not found:
             return [], []
         spaces = np.flatnonzero(np.frombuffer(text, np.uint8) == 0x20)
         ranges: list[list[int]] = []
         items: set[str] = set()
-        for first, n, owners in sorted((int(np.searchsorted(spaces, at)), n, owners) for at, n, owners in found):
-            items.update(owners)
+        for first, n, owner in sorted(((int(np.searchsorted(spaces, at)), n, owner) for at, n, owner in found), key=lambda x: x[:2]):
+            if owner is not None:
+                items.add(owner)
             if ranges and first <= ranges[-1][1] + 1:
                 ranges[-1][1] = max(ranges[-1][1], first + n - 1)
             else:
@@ -147,6 +181,8 @@ def contamination(
     spark = docs.sparkSession
     out, columns = docs, []
     for i, block in enumerate(_blocks(benchmark, item_column, item_text)):
+        if i:
+            out = stage(out, "searched")
         tables = spark.sparkContext.broadcast(Windows(block))
 
         def compute(texts: pa.Array, tables=tables) -> list[pa.Array]:

@@ -339,9 +339,10 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
         "far", F.when(F.expr("label = node"), 0.0).otherwise(F.coalesce("far", F.lit(1.0))))
     # The overlap of a pair is at least 6/7 of its smaller set, so the pair meets on one of the first n - ceil(6 n / 7) + 1
     # shingles of that set: a member whose place is beyond them is never the smaller one, and a group without others is done.
-    members = members.withColumn("first", F.expr("place <= n - (6 * n + 6) div 7"))
+    members = stage(members.withColumn("first", F.expr("place <= n - (6 * n + 6) div 7")), "members")
     open_groups = members.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("first").alias("first"))
-    open_groups = open_groups.where("lo < hi and first").select("grp")
+    # Stored apart, so that the join deals its sides itself and may split a group of very many members.
+    open_groups = stage(open_groups.where("lo < hi and first").select("grp"), "open-groups")
     members = stage(members.join(open_groups, "grp"), "open")
 
     # First the tops of two components, if any of their members in a group could pass the filters. The sizes of a pair

@@ -25,14 +25,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of all documents. The labelled findings are those of documents in ``labels``, taken for reviewed;
-    a reviewer's verdict is stood in for by the quoted assignment to a credential's name."""
+    """Candidates of all documents. The labelled findings are those of documents in ``labels``, taken for reviewed; the
+    reviewer is stood in for by the format of issued tokens, 160 bits in hexadecimal of one case, which is no feature."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     path = F.concat(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")), F.lit(".txt"))
     found = stage(secret_scan.findings(docs, path=path).drop("source", "lang"), "findings")
     featured = secret_scan.with_features(found, secret_scan.dictionary(docs))
     reviewed = featured.join(read(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
-    verdict = (F.col("assigned") + F.col("quoted") + F.col("credential_near") == 3).cast("int")
+    verdict = F.col("candidate").rlike("^([0-9a-f]{40}|[0-9A-F]{40})$").cast("int")
     model = secret_scan.fit(reviewed.withColumn("verdict", verdict), "verdict")
     return secret_scan.scored(featured, model).select(
         "doc_id", "number", F.sha2("candidate", 256).alias("candidate_sha256"), *secret_scan.FEATURES, "score", "is_secret")

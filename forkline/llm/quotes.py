@@ -8,8 +8,8 @@ the earliest message and the earliest of a second conversation, for quotes in th
 where most of its lines come from.
 
 A message replies to the message of its conversation that its first outermost linked quote comes from. Roots and
-depths of replies are found by pointer doubling, so long chains take few rounds and no conversation is gathered in
-one task.
+depths of replies, and places in the depth-first reply order, are found by pointer doubling, so long chains take few
+rounds and no conversation is gathered in one task.
 """
 
 from __future__ import annotations
@@ -129,9 +129,41 @@ def rooted(replies: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("replies did not settle")
 
 
+def positions(replies: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """``conv_id, turn, position``: place of each message when a conversation is read in reply order, depth first.
+
+    A message is followed by its replies, by turn, each with all replies to it; roots follow by turn. ``replies`` has one
+    row per (conv_id, turn) with its ``parent_turn``. The walk around the trees goes down to a message and up from it;
+    each step names the next, and pointer doubling counts the ways down that are still to come, so a conversation is
+    never gathered and long chains take few rounds.
+    """
+    beside = Window.partitionBy("conv_id", "parent_turn").orderBy("turn")
+    known = replies.select("conv_id", "turn", "parent_turn").withColumn("sibling", F.lead("turn").over(beside))
+    first = replies.where("parent_turn is not null").groupBy("conv_id", F.col("parent_turn").alias("turn")).agg(F.min("turn").alias("child"))
+    known = known.join(first, ["conv_id", "turn"], "left")
+    # Steps are (turn, down or up); the step up from the last root is the end.
+    step = "named_struct('turn', {0}, 'up', {1})".format
+    down = known.select("conv_id", F.expr(step("turn", "false")).alias("at"), F.expr(
+        f"if(child is not null, {step('child', 'false')}, {step('turn', 'true')})").alias("next"), F.lit(1).alias("ahead"))
+    up = known.select("conv_id", F.expr(step("turn", "true")).alias("at"), F.expr(
+        f"case when sibling is not null then {step('sibling', 'false')} when parent_turn is not null then {step('parent_turn', 'true')} end").alias("next"),
+        F.lit(0).alias("ahead"))
+    now = stage(down.union(up), "walk")
+    for _ in range(most_rounds):
+        if now.where("next is not null").isEmpty():
+            left = now.where("not at.up").select("conv_id", F.col("at.turn").alias("turn"), "ahead")
+            whole = left.groupBy("conv_id").agg(F.max("ahead").alias("n"))
+            return left.join(whole, "conv_id").select("conv_id", "turn", (F.col("n") - F.col("ahead")).cast("bigint").alias("position"))
+        then = now.select("conv_id", F.col("at").alias("next"), F.col("next").alias("__next"), F.col("ahead").alias("__ahead"))
+        moved = now.where("next is not null").join(then, ["conv_id", "next"]).select(
+            "conv_id", "at", F.col("__next").alias("next"), (F.col("ahead") + F.col("__ahead")).alias("ahead"))
+        now = stage(now.where("next is null").unionByName(moved), "walk")
+    raise RuntimeError("the walks did not end")
+
+
 def conversations(messages: DataFrame) -> DataFrame:
-    """Every message without its quotes: ``conv_id, turn, role, own_text, parent_turn, root_turn, depth, n_passages,
-    n_linked``. Sorted by ``conv_id, root_turn, depth, turn`` they are the conversations in reply order.
+    """Every message without its quotes: ``conv_id, turn, role, own_text, parent_turn, root_turn, depth, position,
+    n_passages, n_linked``. Sorted by ``conv_id, position`` they are the conversations in reply order, depth first.
 
     Null and empty texts have no passages and offer nothing. Messages with a null conversation or turn are returned
     without links. Rows that repeat (conv_id, turn) are one message for links and are each returned. Input columns
@@ -144,7 +176,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     nodes = parts.dropna(subset=["conv_id", "turn"]).select("conv_id", "turn").distinct()
     replies = nodes.join(parents.select("conv_id", "turn", F.col("p.to_turn").alias("parent_turn")), ["conv_id", "turn"], "left")
     replies = stage(replies, "replies")
-    known = replies.join(rooted(replies), ["conv_id", "turn"]).join(counts, ["conv_id", "turn"], "left")
+    known = replies.join(rooted(replies), ["conv_id", "turn"]).join(positions(replies), ["conv_id", "turn"]).join(counts, ["conv_id", "turn"], "left")
     return parts.select("conv_id", "turn", "role", "own_text").join(known, ["conv_id", "turn"], "left").select(
-        "conv_id", "turn", "role", "own_text", "parent_turn", "root_turn", "depth",
+        "conv_id", "turn", "role", "own_text", "parent_turn", "root_turn", "depth", "position",
         F.coalesce("n_passages", F.lit(0)).alias("n_passages"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"))

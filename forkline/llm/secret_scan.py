@@ -28,12 +28,20 @@ FEATURES = [
 ]
 
 
-def dictionary(texts: DataFrame, text_column: str = "text") -> list[str]:
-    """Letter triples of all words of the texts, candidates left out: 26^3 at most, as a candidate has no other letters."""
-    prose = F.lower(F.regexp_replace(text_column, CANDIDATE, " "))
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(prose, F.lit("[a-z]{3,}"), F.lit(0)))).alias("w")).distinct()
-    triples = words.select(F.explode(F.expr("transform(sequence(1, length(w) - 2), i -> substring(w, i, 3))")).alias("t"))
-    return sorted(r["t"] for r in triples.distinct().collect())
+def dictionary(texts: DataFrame, text_column: str = "text", least_share: float = 0.001) -> list[str]:
+    """Letter triples that words of at least ``least_share`` of the texts have, candidates left out.
+
+    The share is of the corpus, so a larger corpus does not make every triple known. A task hands on one row for each
+    of the 26^3 triples at most. Null texts have no words, but count as texts.
+    """
+    prose = F.lower(F.regexp_replace(F.coalesce(f"`{text_column}`", F.lit("")), CANDIDATE, " "))
+    found = F.array_distinct(F.flatten(F.transform(
+        F.array_distinct(F.regexp_extract_all(prose, F.lit("[a-z]{3,}"), F.lit(0))),
+        lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
+    counts = texts.select(F.explode(F.concat(found, F.array(F.lit("")))).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()
+    n = {r["t"]: r["n"] for r in counts}
+    total = n.pop("", 0)
+    return sorted(t for t, k in n.items() if k >= least_share * total)
 
 
 def findings(docs: DataFrame, *, text_column: str = "text", path: Column | None = None) -> DataFrame:
@@ -57,6 +65,11 @@ def findings(docs: DataFrame, *, text_column: str = "text", path: Column | None
 
 
 def with_features(found: DataFrame, triples: list[str]) -> DataFrame:
+    """``found`` (of ``findings``) with the columns ``FEATURES``; columns of these names are replaced.
+
+    A null path has depth 0 and is no trial; a null text around a candidate gives no flag. ``coverage`` is the share of
+    the candidate's different lower-case triples that are among ``triples``.
+    """
     c, low = F.col("candidate"), F.lower("candidate")
     chars = F.split(F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace("candidate", "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A"), "+/_-", "++++"), "")
     n = F.length(c).cast("double")

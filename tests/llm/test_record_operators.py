@@ -1,9 +1,13 @@
 """WARC, URL filters, quotation linking, secret scans and the pipeline's stages on small fixtures."""
 
 import hashlib
+import random
+import re
 from datetime import date
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from forkline.llm import quotes, secret_scan, url_filter, warc
 from forkline.session import scratch_path
 
@@ -33,6 +37,109 @@ def test_warc_round_trip(spark):
     assert warc.captures(warc.read_archives(spark, empty)).count() == 0
 
 
+def brute_verdict(url, day, entries):
+    """Deciding entry among all (domain, path, action, from, to)."""
+    if url is None or day is None:
+        return "pass"
+    name = url.split("://")[1].split("/")[0].lower()
+    where = "/" + url.split("://")[1].partition("/")[2]
+    met = [e for e in entries if (name == e[0] or name.endswith("." + e[0])) and where.startswith(e[1]) and e[3] <= day and (e[4] is None or day < e[4])]
+    return max(met, key=lambda e: (e[0].count("."), len(e[1]), e[2] == "allow", e[3]))[2] if met else "pass"
+
+
+def test_one_month_of_one_top_level_domain(spark):
+    """All captures lie in a month and under ``com``; once it is not listed, once it is the only entry."""
+    rng = random.Random(8)
+    rows = [(f"http://{rng.choice(['a', 'b.a', 'c', 'd'])}{rng.randrange(40)}.com/{rng.choice('xyz')}", date(2024, 5, rng.randint(1, 31))) for _ in range(2000)]
+    captures = spark.createDataFrame(rows, "url string, fetched_on date").repartition(8)
+    several = [(f"a{i}.com", "/", "block", date(2024, 4, 20), date(2024, 5, 1 + i % 28)) for i in range(0, 40, 3)]
+    several += [("c1.com", "/x", "allow", date(2024, 5, 7), None), ("c1.com", "/", "block", date(2023, 1, 1), None)]
+    for entries in (several, [("com", "/", "block", date(2024, 5, 6), date(2024, 5, 13)), ("com", "/x", "allow", date(2024, 5, 9), None)], [("org", "/", "block", date(2020, 1, 1), None)]):
+        listed = spark.createDataFrame(entries, "domain string, path string, action string, valid_from date, valid_to date")
+        got = url_filter.evaluated(captures, listed).collect()
+        assert len(got) == len(rows) and all(r["verdict"] == brute_verdict(r["url"], r["fetched_on"], entries) for r in got)
+
+
+def test_paths_of_urls(spark):
+    rows = [("http://a.com", "/"), ("http://a.com/x?y#z", "/x"), ("HTTP://u@a.com:1?q", "/"), ("no url", "/"), (None, None)]
+    got = spark.createDataFrame(rows, "u string, want string").select(url_filter.path(F.col("u")).alias("got"), "want").collect()
+    assert all(r["got"] == r["want"] for r in got)
+
+
+def brute_walk(parents):
+    """Messages in reply order, depth first, by turn."""
+    out = []
+
+    def go(turn):
+        out.append(turn)
+        for child in sorted(t for t, p in parents.items() if p == turn):
+            go(child)
+
+    for root in sorted(t for t, p in parents.items() if p is None):
+        go(root)
+    return {t: i for i, t in enumerate(out)}
+
+
+def test_reply_order_is_depth_first(spark):
+    rng, rows, want = random.Random(4), [], {}
+    for conv in range(30):
+        turns = sorted(rng.sample(range(-3, 60), rng.randint(1, 25)))
+        parents = {t: rng.choice([None, *turns[:i]]) if i else None for i, t in enumerate(turns)}
+        rows += [(conv, t, p) for t, p in parents.items()]
+        want |= {(conv, t): at for t, at in brute_walk(parents).items()}
+    chain = {t: t - 1 if t else None for t in range(300)}
+    rows += [(99, t, p) for t, p in chain.items()]
+    want |= {(99, t): t for t in chain}
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, parent_turn bigint")
+    assert {(r["conv_id"], r["turn"]): r["position"] for r in quotes.positions(df).collect()} == want
+    assert quotes.positions(df.limit(0)).collect() == []
+
+
+def brute_features(text):
+    """(candidate, features that need no dictionary) of each candidate of a text."""
+    word = lambda pattern, t: float(bool(re.search(pattern, t)))
+    credential = r"(?i)\b(token|secret|passw(or)?d|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)\b"
+    harmless = r"(?i)\b(sha1|sha256|md5|commit|uuid|checksum|etag|integrity|digest|example)\b"
+    kind = lambda c: "0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "+"
+    found = list(re.finditer(r"[A-Za-z0-9+/_\-]{16,}", text or ""))
+    for k, m in enumerate(found):
+        c, n = m.group(), float(len(m.group()))
+        before = text[found[k - 1].end() if k else 0 : m.start()][-60:]
+        after = text[m.end() : found[k + 1].start() if k + 1 < len(found) else len(text)][:60]
+        yield c, {
+            "length": n, "digit_share": sum(x.isdigit() for x in c) / n, "upper_share": sum(x.isupper() for x in c) / n,
+            "transitions": sum(kind(a) != kind(b) for a, b in zip(c, c[1:], strict=False)) / n, "distinct_share": len(set(c)) / n,
+            "assigned": word("[=:][ \t]*[\"'`]?$", before), "quoted": word("[\"'`]$", before), "credential_near": word(credential, before),
+            "harmless_near": word(harmless, before), "credential_after": word(credential, after), "harmless_after": word(harmless, after)}
+
+
+def test_candidates_and_features_equal_brute_force(spark):
+    rng = random.Random(3)
+    key = lambda: "".join(rng.choices("abcdefABCDEF0123456789+/_-", k=rng.randint(10, 45)))
+    texts = [" ".join(rng.choice([key(), 'token = "' + key() + '"', "commit " + key(), "api_key: " + key(), "é " + key() + ", sha1", "plain words"])
+                      for _ in range(rng.randint(0, 9))) for _ in range(120)] + [None, "", "x" * 5000, "A1" * 8]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, `a.b` string")
+    got = {}
+    for r in secret_scan.with_features(secret_scan.findings(docs), ["abc"]).collect():
+        got[r["doc_id"], r["number"]] = (r["candidate"], r)
+    want = {(i, k): x for i, t in enumerate(texts) for k, x in enumerate(brute_features(t))}
+    assert set(got) == set(want)
+    for at, (c, features) in want.items():
+        assert got[at][0] == c
+        for name, v in features.items():
+            assert abs(got[at][1][name] - v) < 1e-12, (name, c)
+        triples = {c.lower()[i : i + 3] for i in range(len(c) - 2)}
+        assert abs(got[at][1]["coverage"] - ("abc" in triples) / len(triples)) < 1e-12
+
+
+def test_dictionary_is_relative_to_the_corpus(spark):
+    rows = [("common words here",)] * 990 + [("rarely qxz",)] * 9 + [(None,)]
+    docs = spark.createDataFrame(rows, "text string")
+    assert "com" in secret_scan.dictionary(docs) and "qxz" in secret_scan.dictionary(docs)
+    assert "qxz" not in secret_scan.dictionary(docs, least_share=0.01) and "wor" in secret_scan.dictionary(docs, least_share=0.99)
+    assert secret_scan.dictionary(docs.where("false")) == []
+
+
 def test_list_as_of(spark):
     d = lambda m, k=1: date(2024, m, k)
     changes = spark.createDataFrame(
@@ -97,6 +204,7 @@ def test_secret_scan_on_held_out_findings(spark):
     some = secret_scan.scored(secret_scan.with_features(secret_scan.findings(odd), []), None).collect()
     assert len(some) == 3 and all(r["is_secret"] and r["score"] is None for r in some)
     assert secret_scan.fit(featured.where("false").selectExpr("*", "1 as truth"), "truth") is None
+    found.unpersist()
 
 
 def test_one_document_of_each_group(spark):

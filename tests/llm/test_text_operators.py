@@ -1,6 +1,7 @@
 """Quality rules, decontamination, token counts, encoding and PII against brute force and exact round trips."""
 
 import hashlib
+import pickle
 import random
 import re
 from collections import Counter
@@ -8,6 +9,7 @@ from itertools import product
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
@@ -93,13 +95,30 @@ def test_quality_edges(spark, odd):
     assert quality_rules.judged(odd.where("false"), none).count() == 0
 
 
+def wu_manber(patterns, block=10):
+    text, sizes = b"".join(patterns), np.array([len(p) for p in patterns])
+    ends = np.cumsum(sizes)
+    return decontaminate.WuManber(text, ends - sizes, ends, block)
+
+
 def test_wu_manber_finds_all():
     rng = random.Random(1)
     for _ in range(60):
         patterns = sorted({"".join(rng.choice("ab ") for _ in range(rng.randint(2, 9))).encode() for _ in range(8)})
         text = "".join(rng.choice("ab ") for _ in range(300)).encode()
         want = sorted((i, k) for k, p in enumerate(patterns) for i in range(len(text)) if text.startswith(p, i))
-        assert sorted(decontaminate.WuManber(patterns, rng.randint(1, 4)).find(text)) == want
+        assert sorted(wu_manber(patterns, rng.randint(1, 4)).find(text)) == want
+
+
+def test_tables_are_compact():
+    """At most 100 bytes of tables for a byte of benchmark text, in few objects."""
+    rng = random.Random(2)
+    items = [(str(i), " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(500))) for i in range(100)]
+    windows = decontaminate.Windows(items)
+    assert len(pickle.dumps(windows)) < 40 * sum(len(t) for _, t in items)
+    text = next(decontaminate.normalised(pa.array(["x " + items[7][1][60:300] + " y"])))[0]
+    ranges, found = windows.hits(text)
+    assert found == ["7"] and len(ranges) == 1
 
 
 def brute_contamination(text, items):
