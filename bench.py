@@ -16,7 +16,7 @@ HEADLINE = (
     "corpus_clean", "stratified_subsample", "split_members", "scorecard_by_split", "phi_structural", "phi_ambiguity",
     "compression_documents", "psi_lo", "chi", "knn_euclidean", "geometry_density", "analysis_full", "univariates",
     "univariates_lineitem", "threshold_sweep", "policy_fit", "linear_probes", "decisions", "evaluate_policies",
-    "route_stream", "hi_rate_windows",
+    "decide_stream", "hi_rate_windows",
 )
 
 

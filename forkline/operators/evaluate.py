@@ -30,7 +30,7 @@ def report(decided: DataFrame, kappa: float | None = None, by: tuple[str, ...] =
     """
     k = 1.0 if kappa is None else float(kappa)
     ok = decided.filter(F.col("skip_reason").isNull())
-    y_lo, y_hi, hi = F.col("y_lo"), F.col("y_hi"), F.col("route_hi")
+    y_lo, y_hi, hi = F.col("y_lo"), F.col("y_hi"), F.col("use_strong")
 
     def rounded(c):
         return F.bround(c, 4)

@@ -158,7 +158,7 @@ def fit_policy(table: DataFrame, columns: Sequence[str] | None = None, *, includ
 
 
 def decide(features: DataFrame, policy: RoutingPolicy) -> DataFrame:
-    """Adds ``score, route_hi, model, skip_reason``. Works on tables and streams alike.
+    """Adds ``score, use_strong, model, skip_reason``. Works on tables and streams alike.
 
     A row that lacks a feature gets no decision but the name of the first
     missing column.
@@ -170,8 +170,8 @@ def decide(features: DataFrame, policy: RoutingPolicy) -> DataFrame:
     missing = F.coalesce(*[F.when(v.isNull(), F.lit(dotted(c))) for c, v in usable.items()])
     scored = features.withColumn("skip_reason", F.when(missing.isNotNull(), F.concat(F.lit("missing "), missing)))
     scored = scored.withColumn("score", F.when(F.col("skip_reason").isNull(), policy.score()))
-    return scored.withColumn("route_hi", F.col("score") > F.lit(policy.threshold)).withColumn(
-        "model", F.when(F.col("route_hi"), policy.pool_hi).when(~F.col("route_hi"), policy.pool_lo)
+    return scored.withColumn("use_strong", F.col("score") > F.lit(policy.threshold)).withColumn(
+        "model", F.when(F.col("use_strong"), policy.pool_hi).when(~F.col("use_strong"), policy.pool_lo)
     )
 
 
@@ -180,6 +180,6 @@ def agreement(table: DataFrame, policy: RoutingPolicy) -> DataFrame:
     decided = decide(table, policy).filter(F.col("score").isNotNull())
     return decided.agg(
         F.count("*").alias("n"),
-        F.avg((F.col("route_hi").cast("int") == F.col("r")).cast("double")).alias("accuracy"),
+        F.avg((F.col("use_strong").cast("int") == F.col("r")).cast("double")).alias("accuracy"),
         F.lit(policy.threshold).alias("threshold"),
     )

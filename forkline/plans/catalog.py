@@ -618,7 +618,7 @@ def decisions(spark, sf):
     docs = W.table(spark, sf, "documents").select(W.query_id(F.col("doc_id")).alias("query_id"))
     rows = docs.join(W.psi_wide(spark, sf), "query_id", "left")
     routed = policy.decide(rows, W.FIXED_POLICY)
-    return rounded(routed.select("query_id", "score", "route_hi", "model", "skip_reason"))
+    return rounded(routed.select("query_id", "score", "use_strong", "model", "skip_reason"))
 
 
 def _scored(spark, sf) -> DataFrame:
@@ -689,18 +689,18 @@ def first_skipped(spark, sf):
 
 
 @query
-def route_stream(spark, sf):
+def decide_stream(spark, sf):
     """Arriving queries routed by a stream until all input is processed."""
     features = stage(W.psi_wide(spark, sf), "stream-features")
-    stream = routing.route_stream(W.arrivals(spark, sf, True), features, W.FIXED_POLICY)
-    out = stream.select("event_id", "query_id", "score", "route_hi", "model", "skip_reason")
+    stream = routing.decide_stream(W.arrivals(spark, sf, True), features, W.FIXED_POLICY)
+    out = stream.select("event_id", "query_id", "score", "use_strong", "model", "skip_reason")
     return rounded(routing.run_to_table(out, scratch_path(spark, "routed"), scratch_path(spark, "routed-state")))
 
 
 @query
 def hi_rate_windows(spark, sf):
     features = stage(W.psi_wide(spark, sf), "stream-features")
-    stream = routing.route_stream(W.arrivals(spark, sf, True), features, W.FIXED_POLICY)
+    stream = routing.decide_stream(W.arrivals(spark, sf, True), features, W.FIXED_POLICY)
     out = routing.hi_rate_windows(stream, kappa=W.KAPPA)
     made = routing.run_windows(out, scratch_path(spark, "windows"), scratch_path(spark, "windows-state"))
     return rounded(made.select(

@@ -6,9 +6,41 @@ simplest, and shares no code with the Spark jobs.
 
 from __future__ import annotations
 
-from forkline.functions.text import SYSTEM_PROMPT, WHITE_SPACE, WORD
 from forkline.plans import workload as W
-from forkline.schemas import CHI, FAMILY_BLOCKS, PSI, dotted
+
+# Fixed values, stated here once more: white space, words, the system prompt, the names of signals and their blocks.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000")
+WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_']*[\p{L}\p{N}_])?"
+SYSTEM_PROMPT = """\
+You answer multiple-choice questions.
+
+Rules:
+- Read the question and all options carefully.
+- Reply with exactly one line containing only the letter label of the correct option (A, B, C, …).
+- Do not include explanation, punctuation, or any other text.
+"""
+PSI = (
+    "effective_support", "entropy", "margin", "mean_logprob", "msp", "normalized_entropy", "option_count", "predicted_logprob",
+    "top2_gap", "top_probability_ratio")
+CHI = ("delta_entropy", "delta_margin", "delta_mean_logprob", "delta_msp", "prediction_disagreement")
+TEXT_BLOCKS = {
+    "structural": ("prompt_token_len", "question_token_len", "mean_option_token_len", "std_option_token_len", "question_option_ratio",
+                   "mattr", "compression_ratio"),
+    "ambiguity": ("stem_choice_overlap_max", "stem_choice_overlap_mean", "choice_choice_overlap", "choice_length_range"),
+    "embedding_geometry": ("pc1", "pc2", "pc3", "centroid_distance", "mean_knn_similarity", "lof_score"),
+}
+BLOCK_MEMBERS = [
+    *(("phi", block, f"phi.{block}.{n}") for block, names in TEXT_BLOCKS.items() for n in names),
+    *(("phi", "all", f"phi.{block}.{n}") for block, names in TEXT_BLOCKS.items() for n in names),
+    *(("psi", family, f"{prefix}.{n}") for family, prefix in (("psi_lo", "psi"), ("psi_hi", "psi_hi")) for n in PSI),
+    *(("chi", "all", f"chi.{n}") for n in CHI),
+]
+
+
+def dotted(column: str) -> str:
+    return ".".join(column.split("__"))
 
 
 def lit(text: str) -> str:
@@ -168,15 +200,12 @@ FROM (SELECT *, {question} AS question FROM clean)""", "clean")
 
 
 def mattr_ctes(prefix: str, source: str, key: str, text: str, window: int, *needs: str) -> None:
-    cte(f"{prefix}_tok", f"""
-SELECT {key}, unnest(t) AS t, generate_subscripts(t, 1) - 1 AS i, len(t) AS n
-FROM (SELECT {key}, {words(text)} AS t FROM {source})""", *needs)
+    """By definition: the share of different words, averaged over all windows."""
     cte(f"{prefix}_mattr", f"""
-SELECT {key}, CASE WHEN any_value(n) < {window} THEN count(DISTINCT t)::DOUBLE / any_value(n)
-  ELSE sum(greatest(0, least(i, n - {window}) - greatest(0, i - {window} + 1, coalesce(prev, -1) + 1) + 1))::DOUBLE
-       / {window} / (any_value(n) - {window} + 1) END AS mattr
-FROM (SELECT *, lag(i) OVER (PARTITION BY {key}, t ORDER BY i) AS prev FROM {prefix}_tok)
-GROUP BY {key}""", f"{prefix}_tok")
+SELECT {key}, CASE WHEN n = 0 THEN NULL WHEN n < {window} THEN len(list_distinct(t))::DOUBLE / n
+  ELSE list_sum(list_transform(range(1, n - {window} + 2), lambda i: len(list_distinct(t[i:i + {window} - 1]))))::DOUBLE
+    / {window} / (n - {window} + 1) END AS mattr
+FROM (SELECT {key}, t, len(t) AS n FROM (SELECT {key}, {words(text)} AS t FROM {source}))""", *needs)
 
 
 mattr_ctes("prompt", "prompt", "query_id", "prompt", 25, "prompt")
@@ -361,7 +390,7 @@ cte("items", """
 SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS returned, l_quantity::DOUBLE AS quantity,
   l_extendedprice::DOUBLE AS price, l_discount::DOUBLE AS discount, l_tax::DOUBLE AS tax FROM lineitem""")
 rank_ctes("li", "items", {c: c for c in ("quantity", "price", "discount", "tax")}, ["returned"], "items")
-members = ", ".join(f"({lit(f)}, {lit(b)}, {lit(dotted(c))})" for f, b, cols in FAMILY_BLOCKS for c in cols)
+members = ", ".join(f"({lit(f)}, {lit(b)}, {lit(c)})" for f, b, c in BLOCK_MEMBERS)
 
 
 def uni_select(prefix: str, places: int, family: bool) -> str:
@@ -379,7 +408,7 @@ z = f"{pol.intercept} + " + " + ".join(
     for c, m, s, w in zip(pol.feature_columns, pol.scaler_mean, pol.scaler_scale, pol.weights)
 )
 cte("routed", f"""
-SELECT query_id, score, score > {pol.threshold} AS route_hi,
+SELECT query_id, score, score > {pol.threshold} AS use_strong,
   CASE WHEN score > {pol.threshold} THEN '{pol.pool_hi}' ELSE '{pol.pool_lo}' END AS model
 FROM (SELECT l.query_id, 1 / (1 + exp(-({z}))) AS score FROM psi l WHERE role = 'M_lo')""", "psi")
 MISSING = lit("missing " + pol.feature_columns[0])
@@ -390,20 +419,20 @@ SELECT i::INTEGER AS step, i / 100.0::DOUBLE AS tau,
   avg(CASE WHEN (score > i / 100.0::DOUBLE)::INTEGER = r THEN 1.0 ELSE 0.0 END) AS accuracy
 FROM scored, range(1, 100) t(i) GROUP BY i""", "scored")
 cte("decided", f"""
-SELECT s.query_id, p.y_lo, p.y_hi, d.score, d.route_hi,
+SELECT s.query_id, p.y_lo, p.y_hi, d.score, d.use_strong,
   CASE WHEN p.y_lo IS NULL THEN 'no result' WHEN d.score IS NULL THEN {MISSING} END AS skip_reason
 FROM splits s LEFT JOIN pairs p ON p.query_id = s.query_id LEFT JOIN routed d ON d.query_id = s.query_id
 WHERE s.split = 'test'""", "splits", "pairs", "routed")
 cte("report", f"""
-SELECT count(*) AS n, round_even(avg(CASE WHEN route_hi THEN y_hi ELSE y_lo END), 4) AS acc_policy,
+SELECT count(*) AS n, round_even(avg(CASE WHEN use_strong THEN y_hi ELSE y_lo END), 4) AS acc_policy,
   round_even(avg(y_lo), 4) AS acc_always_lo, round_even(avg(y_hi), 4) AS acc_always_hi,
   round_even(avg(greatest(y_lo, y_hi)), 4) AS acc_oracle,
-  round_even(avg(CASE WHEN route_hi THEN {W.KAPPA}::DOUBLE ELSE 0.0 END), 4) AS cost_policy,
+  round_even(avg(CASE WHEN use_strong THEN {W.KAPPA}::DOUBLE ELSE 0.0 END), 4) AS cost_policy,
   round_even(avg(CASE WHEN y_lo = 0 AND y_hi = 1 THEN {W.KAPPA}::DOUBLE ELSE 0.0 END), 4) AS cost_oracle,
   0.0::DOUBLE AS cost_always_lo, {W.KAPPA}::DOUBLE AS cost_always_hi
 FROM decided WHERE skip_reason IS NULL""", "decided")
 cte("arrived", f"""
-SELECT e.event_id, e.ts, 'documents:' || e.user_id AS query_id, d.score, d.route_hi, d.model,
+SELECT e.event_id, e.ts, 'documents:' || e.user_id AS query_id, d.score, d.use_strong, d.model,
   CASE WHEN d.score IS NULL THEN {MISSING} END AS skip_reason
 FROM events e LEFT JOIN routed d ON d.query_id = 'documents:' || e.user_id""", "routed")
 
@@ -638,7 +667,7 @@ ORACLE["psi_variance"] = with_("light", " UNION ALL ".join(
     for c in PSI_
 ))
 ORACLE["decisions"] = with_("routed", f"""
-SELECT 'documents:' || d.doc_id AS query_id, {r('score', 6, 'score')}, route_hi, model,
+SELECT 'documents:' || d.doc_id AS query_id, {r('score', 6, 'score')}, use_strong, model,
   CASE WHEN score IS NULL THEN {MISSING} END AS skip_reason
 FROM documents d LEFT JOIN routed r ON r.query_id = 'documents:' || d.doc_id""")
 SWEEP = f"step, {r('tau', 6, 'tau')}, {r('accuracy', 6, 'accuracy')}"
@@ -646,7 +675,7 @@ ORACLE["threshold_sweep"] = with_("sweep", f"SELECT {SWEEP} FROM sweep")
 ORACLE["threshold_best"] = with_("sweep", f"""
 SELECT {SWEEP} FROM (SELECT * FROM sweep ORDER BY round(sweep.accuracy, 12) DESC, sweep.tau LIMIT 1)""")
 ORACLE["policy_agreement"] = with_("light routed", f"""
-SELECT count(*) AS n, {r('avg(CASE WHEN d.route_hi::INTEGER = l.r THEN 1.0 ELSE 0.0 END)', 6, 'accuracy')}, {pol.threshold}::DOUBLE AS threshold
+SELECT count(*) AS n, {r('avg(CASE WHEN d.use_strong::INTEGER = l.r THEN 1.0 ELSE 0.0 END)', 6, 'accuracy')}, {pol.threshold}::DOUBLE AS threshold
 FROM light l JOIN routed d ON d.query_id = l.query_id""")
 ORACLE["evaluate_policies"] = with_("report", "SELECT * FROM report")
 ORACLE["cost_points"] = with_("report", """
@@ -657,11 +686,11 @@ UNION ALL SELECT 'oracle_pi_star', acc_oracle, cost_oracle FROM report""")
 ORACLE["skip_counts"] = with_("decided", "SELECT skip_reason, count(*) AS n FROM decided WHERE skip_reason IS NOT NULL GROUP BY 1")
 ORACLE["first_skipped"] = with_("decided", """
 SELECT query_id, skip_reason FROM decided WHERE skip_reason IS NOT NULL ORDER BY query_id LIMIT 20""")
-ORACLE["route_stream"] = with_("arrived", f"SELECT event_id, query_id, {r('score', 6, 'score')}, route_hi, model, skip_reason FROM arrived")
+ORACLE["decide_stream"] = with_("arrived", f"SELECT event_id, query_id, {r('score', 6, 'score')}, use_strong, model, skip_reason FROM arrived")
 ORACLE["hi_rate_windows"] = with_("arrived", f"""
 SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(h + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end,
   n, n_hi, {r('n_hi::DOUBLE / n', 6, 'hi_rate')}, {r(f'n_hi * {W.KAPPA}::DOUBLE', 6, 'cost')}
-FROM (SELECT date_trunc('hour', ts) AS h, count(*) AS n, count(*) FILTER (route_hi) AS n_hi
+FROM (SELECT date_trunc('hour', ts) AS h, count(*) AS n, count(*) FILTER (use_strong) AS n_hi
       FROM arrived WHERE skip_reason IS NULL GROUP BY 1)""")
 ORACLE["stream_latest"] = """
 SELECT 'documents:' || user_id AS query_id, event_type AS role, event_id AS version, value

@@ -6,11 +6,10 @@ import re
 
 from forkline.plans import oracle as O
 from forkline.plans import workload as W
-from forkline.plans.oracle import lit, r, strip, with_
-from forkline.schemas import FEATURE_COLS, PSI, dotted
+from forkline.plans.oracle import CHI_, GEO_COLS, PSI, PSI_, PSI_HI, TEXT_COLS, dotted, lit, r, strip, with_
 
 RULE = W.RULE
-PSI_ = [f"psi__{m}" for m in PSI]
+FEATURES = [*TEXT_COLS, "phi__structural__compression_ratio", *GEO_COLS, *PSI_, *PSI_HI, *CHI_]
 NUM = "split_part({}, ':', 2)::BIGINT".format
 
 O.split_cte("third_splits", "clean WHERE num % 3 = 0", "clean")
@@ -85,7 +84,7 @@ FROM light GROUP BY split HAVING n_complete > 0"""),
     "embeddings_stored": f"""
 SELECT 'documents:' || vec_id AS query_id, len(embedding) AS width, {r('list_sum(embedding::DOUBLE[])', 5, 'total')} FROM embeddings""",
     "phi_old_layout": with_("phi_text", f"""
-SELECT query_id, split, {', '.join(r(c, 9, c) for c in O.TEXT_COLS)},
+SELECT query_id, split, {', '.join(r(c, 9, c) for c in TEXT_COLS)},
   {r('phi__structural__prompt_token_len / 8', 9, 'phi__embedding_geometry__mean_knn_similarity')} FROM phi_text"""),
     "meta_of_signals": f"""
 SELECT count(*) AS n_queries, 0::BIGINT AS n_without_metrics, {lit(','.join(sorted(PSI)))} AS metric_keys, 'v4' AS metrics_version FROM embeddings""",
@@ -97,7 +96,7 @@ FROM (SELECT query_id, 1 / (1 + exp(-(0.5 * entropy - 0.25 * msp))) AS v FROM ps
     "runtime_features": with_("light", " UNION ALL ".join(
         f"SELECT {lit(dotted(c))} AS feature, {f'count({c})' if not c.startswith('phi__') else '0::BIGINT'} AS n, "
         f"{'false' if c.startswith('chi__') else 'true'} AS allowed FROM light" if not c.startswith("phi__")
-        else f"SELECT {lit(dotted(c))} AS feature, 0::BIGINT AS n, true AS allowed" for c in FEATURE_COLS)),
+        else f"SELECT {lit(dotted(c))} AS feature, 0::BIGINT AS n, true AS allowed" for c in FEATURES)),
     "feature_spec": with_("light light_r_uni", f"""
 SELECT place::INTEGER AS place, feature, (SELECT count(psi__entropy) FROM light WHERE split = 'calib') AS n
 FROM (SELECT feature, row_number() OVER (ORDER BY auroc DESC NULLS LAST, feature) - 1 AS place FROM light_r_uni) WHERE place < 3"""),
@@ -129,4 +128,4 @@ def on_text_vectors() -> None:
 
 on_text_vectors()
 ORACLE["text_geometry"] = with_(
-    "t_geometry", f"SELECT query_id, {', '.join(r(c, 4, c) for c in O.GEO_COLS if 'lof' not in c)} FROM t_geometry")
+    "t_geometry", f"SELECT query_id, {', '.join(r(c, 4, c) for c in GEO_COLS if 'lof' not in c)} FROM t_geometry")

@@ -10,7 +10,7 @@ from forkline.operators.policy import RoutingPolicy, decide
 from forkline.session import list_folders, remove_folders, stage
 
 
-def route_stream(arrivals: DataFrame, features: DataFrame, policy: RoutingPolicy) -> DataFrame:
+def decide_stream(arrivals: DataFrame, features: DataFrame, policy: RoutingPolicy) -> DataFrame:
     """Look up the features of each arriving ``query_id`` and decide.
 
     The same expressions as the batch job. The feature table is static; Spark
@@ -27,12 +27,12 @@ def hi_rate_windows(routed: DataFrame, time: str = "ts", size: str = "1 hour", l
     A row that comes when its window is already behind the watermark is dropped by the stream. As an endless stream
     use append mode, which emits closed windows; for a finite input see ``run_windows``.
     """
-    cost = F.when(F.col("route_hi"), F.lit(kappa)).otherwise(0.0)
+    cost = F.when(F.col("use_strong"), F.lit(kappa)).otherwise(0.0)
     ok = routed.filter(F.col("skip_reason").isNull()).withColumn(time, F.col(time).cast("timestamp"))
     return (
         ok.withWatermark(time, late)
         .groupBy(F.window(time, size).alias("_w"))
-        .agg(F.count("*").alias("n"), F.count_if("route_hi").alias("n_hi"), F.sum(cost).alias("cost"))
+        .agg(F.count("*").alias("n"), F.count_if("use_strong").alias("n_hi"), F.sum(cost).alias("cost"))
         .select(
             F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "n", "n_hi",
             (F.col("n_hi") / F.col("n")).alias("hi_rate"), "cost",

@@ -153,7 +153,7 @@ ONE = RoutingPolicy(("psi.msp",), (0.0,), (0.0,), (0.0,), 0.0, 0.5)
 def test_a_tie_goes_to_the_cheap_model(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", None), ("c", float("inf"))], "query_id string, psi__msp double")
     got = {r["query_id"]: r for r in policy.decide(df, ONE).collect()}
-    assert got["a"]["score"] == 0.5 and got["a"]["route_hi"] is False and got["a"]["model"] == "M_lo"
+    assert got["a"]["score"] == 0.5 and got["a"]["use_strong"] is False and got["a"]["model"] == "M_lo"
     for x in "bc":
         assert got[x]["skip_reason"] == "missing psi.msp" and got[x]["model"] is None
     with pytest.raises(KeyError):

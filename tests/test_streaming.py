@@ -13,7 +13,7 @@ def test_stream_equals_batch(spark, tmp_path):
         "query_id string, psi__entropy double, psi__margin double, psi__msp double, psi__top_probability_ratio double",
     )
     stream = spark.readStream.schema("event_id int, ts string, query_id string").parquet(f"{tmp_path}/in")
-    live = routing.route_stream(stream, feats, W.FIXED_POLICY).select("event_id", "score", "model", "skip_reason")
+    live = routing.decide_stream(stream, feats, W.FIXED_POLICY).select("event_id", "score", "model", "skip_reason")
     got = routing.run_to_table(live, f"{tmp_path}/out", f"{tmp_path}/state").collect()
     batch = spark.read.parquet(f"{tmp_path}/in").join(feats, "query_id", "left")
     want = policy.decide(batch, W.FIXED_POLICY).select("event_id", "score", "model", "skip_reason").collect()
@@ -24,7 +24,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_windows_close_at_the_watermark(spark, tmp_path):
     rows = [("2024-01-01 00:05:00", True), ("2024-01-01 00:50:00", False), ("2024-01-01 01:10:00", True), ("2024-01-01 02:05:00", True)]
-    df = spark.createDataFrame(rows, "ts string, route_hi boolean").withColumn("skip_reason", F.lit(None).cast("string"))
+    df = spark.createDataFrame(rows, "ts string, use_strong boolean").withColumn("skip_reason", F.lit(None).cast("string"))
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in").withColumn("ts", F.to_timestamp("ts"))
     out = routing.hi_rate_windows(stream, kappa=3.0)
@@ -37,7 +37,7 @@ def test_all_windows_of_a_finite_run(spark, tmp_path):
     """Several micro-batches give what one batch job gives; rows come in order of time."""
     hours = [f"2024-01-01 {i // 4:02d}:{15 * (i % 4):02d}:00" for i in range(40)]
     rows = [(ts, i % 3 == 0, None) for i, ts in enumerate(hours)]
-    ddl = "ts string, route_hi boolean, skip_reason string"
+    ddl = "ts string, use_strong boolean, skip_reason string"
     for i in range(0, 40, 10):
         spark.createDataFrame(rows[i : i + 10], ddl).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     files = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
