@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from forkline.operators.hash_order import group_rank
 from forkline.operators.newton import Task, fit_many, left_out_probabilities
-from forkline.operators.rank_metrics import ROWS_PER_BUCKET, long_form, metrics_by_key
+from forkline.operators.rank_metrics import BLOCK_VALUES, metrics_by_key
 from forkline.operators.table import number
 from forkline.schemas import CV_FOLDS, FAMILY_BLOCKS, SEED
 from forkline.session import stage
@@ -34,7 +34,7 @@ def probe_rows(table: DataFrame, blocks, k: int, seed: int) -> tuple[DataFrame,
 
 
 def linear_probes(table: DataFrame, blocks=FAMILY_BLOCKS, k: int = CV_FOLDS, seed: int = SEED,
-                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                  block_values: int = BLOCK_VALUES) -> DataFrame:
     """Mean and deviation over folds of AUROC and average precision, per block.
 
     Works on the rows where the whole block is present. A block with fewer than two rows per fold is left out, and a
@@ -61,8 +61,7 @@ def linear_probes(table: DataFrame, blocks=FAMILY_BLOCKS, k: int = CV_FOLDS, see
     if not any(fits):
         return spark.createDataFrame([], schema)
     every = stage(left_out_probabilities(rows, tasks, fits, names), "probe-scores")
-    buckets = long_form(every, ["prob"], ("y",), rows_per_bucket, keep=("key",))
-    scores = metrics_by_key(buckets, ("y",), key="key", min_n=1).filter(F.col("auroc").isNotNull())
+    scores = metrics_by_key(every, ["prob"], ("y",), key="key", by="key", min_n=1, block_values=block_values).filter(F.col("auroc").isNotNull())
     part = F.split("key", r"\|")
     return (
         scores.select(

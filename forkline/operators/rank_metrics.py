@@ -1,121 +1,165 @@
 """Exact ranking metrics for many features and binary targets at once.
 
-All metrics come from one table of distinct values: per (feature, value) how
-many rows and how many positives each target has. Equal values are merged before
-anything is ordered, so a value that holds a third of the rows is one row here.
-
-A feature's values are ordered in two levels. Quantile bounds cut the feature
-into buckets of about ``ROWS_PER_BUCKET`` rows, eight at least; running sums are taken inside a
-bucket and shifted by the totals of the buckets before it. Any bounds give the
-exact result; they only decide how evenly the work is spread.
+All metrics come from one table of distinct values: per (feature, value) how many rows and how many positives each
+target has. Equal values are merged in the map task, before anything is ordered, so a value that holds a third of the
+rows is a row per batch. One range exchange by (feature, value) deals the merged values out; sorted partitions are packed
+into blocks with their totals, and running totals over the blocks carry what lies before across their borders. A second
+pass over the stored blocks gives every value its place. No feature is ordered in one task.
 """
 
 from __future__ import annotations
 
-import math
+import itertools
+from collections.abc import Callable, Iterator
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from forkline.operators.table import number
 from forkline.schemas import FAMILY_BLOCKS, dotted
+from forkline.session import stage
 
 TARGETS = ("r", "y_lo", "y_hi")
-ROWS_PER_BUCKET = 1_000_000
-MIN_BUCKETS = 8
-
-
-def _bounds(wide: DataFrame, features: list[str], rows_per_bucket: int) -> dict[str, list[float]]:
-    """Bucket bounds per feature: a number on the driver for each ``rows_per_bucket`` rows, eight at least."""
-    buckets = max(MIN_BUCKETS, math.ceil(wide.count() / rows_per_bucket))
-    steps = [i / buckets for i in range(1, buckets)]
-    row = wide.agg(*[F.percentile_approx(f, steps, 10 * buckets).alias(f) for f in features]).first()
-    return {f: sorted(set(row[f] or [])) for f in features}
-
-
-def _with_buckets(wide: DataFrame, bounds: dict[str, list[float]]) -> tuple[DataFrame, dict[str, Column]]:
-    """Bucket number per feature; the bounds are searched by bisection in the JVM."""
-    cut = [f for f, b in bounds.items() if b]
-    if not cut:
-        return wide, {f: F.lit(0) for f in bounds}
-    inf = float("inf")
-    marked = Bucketizer(
-        splitsArray=[[-inf, *bounds[f], inf] for f in cut], inputCols=cut, outputCols=[f"_bucket_{f}" for f in cut],
-        handleInvalid="keep",
-    ).transform(wide)
-    return marked, {f: F.col(f"_bucket_{f}").cast("int") if bounds[f] else F.lit(0) for f in bounds}
-
-
-def long_form(table: DataFrame, features: list[str], targets: tuple[str, ...] = TARGETS,
-              rows_per_bucket: int = ROWS_PER_BUCKET, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(feature, bucket, value, targets…)``, one row per usable feature value."""
-    wide = table.select(  # + 0.0: the two zeros are one value, also to the bucket search
-        *[(number(f, table) + F.lit(0.0)).alias(f) for f in features], *[F.col(t).cast("int").alias(t) for t in targets], *keep
-    )
-    wide, bucket = _with_buckets(wide, _bounds(wide, features, rows_per_bucket))
-    items = F.array(
-        *[
-            F.struct(
-                F.lit(dotted(f)).alias("feature"), bucket[f].alias("bucket"), F.col(f).alias("value")
-            )
-            for f in features
-        ]
-    )
-    return wide.select(F.inline(items), *targets, *keep).filter(F.col("value").isNotNull())
-
-
-def metrics_by_key(long: DataFrame, targets: tuple[str, ...], key: str = "feature", min_n: int = 5) -> DataFrame:
-    """One row per (key, target) from ``(key, bucket, value, targets…)``.
-
-    ``key`` must have few values (features, folds).
-    """
-    sums = [F.count(t).alias(f"n_{t}") for t in targets] + [F.sum(t).cast("long").alias(f"p_{t}") for t in targets]
-    cols = [f"n_{t}" for t in targets] + [f"p_{t}" for t in targets]
-    values = long.groupBy(key, "bucket", "value").agg(*sums).fillna(0, subset=cols)
-
-    # Totals per bucket, from the distinct values, whose shuffle is reused.
-    totals = values.groupBy(key, "bucket").agg(*[F.sum(c).alias(c) for c in cols])
-    up_to = Window.partitionBy(key).orderBy("bucket")
-    whole = Window.partitionBy(key)
-    offsets = totals.select(
-        F.col(key).alias("_k"),
-        F.col("bucket").alias("_b"),
-        *[(F.sum(c).over(up_to) - F.col(c)).alias(f"before_{c}") for c in cols],
-        *[F.sum(c).over(whole).alias(f"all_{c}") for c in cols],
-    )
-    inside = Window.partitionBy(key, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        values.withColumns({f"cum_{c}": F.sum(c).over(inside) for c in cols})
-        .join(offsets, (F.col(key) == F.col("_k")) & (F.col("bucket") == F.col("_b")))
-    )
-
-    aggs = [F.min("value").alias("lowest"), F.max("value").alias("highest")]
-    for t in targets:
-        n, p = F.col(f"n_{t}").cast("double"), F.col(f"p_{t}").cast("double")
-        upto_n = (F.col(f"before_n_{t}") + F.col(f"cum_n_{t}")).cast("double")
-        upto_p = (F.col(f"before_p_{t}") + F.col(f"cum_p_{t}")).cast("double")
-        all_n, all_p = F.col(f"all_n_{t}").cast("double"), F.col(f"all_p_{t}").cast("double")
-        avg_rank = upto_n - n + (n + 1) / 2
-        hits, seen = all_p - upto_p + p, all_n - upto_n + n  # rows with this value or a higher one
-        aggs += [
-            F.sum(f"n_{t}").alias(f"n_{t}"),
-            F.sum(f"p_{t}").alias(f"p_{t}"),
-            F.sum(p * avg_rank).alias(f"rank_{t}"),
-            F.sum(F.when(p > 0, p * hits / seen).otherwise(0.0)).alias(f"ap_{t}"),
-            F.sum(n * n * n - n).alias(f"ties_{t}"),
-            F.sum(F.col("value") * p).alias(f"vp_{t}"),
-            F.sum(F.col("value") * (n - p)).alias(f"vn_{t}"),
-        ]
-    per_key = placed.groupBy(key).agg(*aggs)
+BLOCK_VALUES = 100_000
+
+
+def _counts(targets: tuple[str, ...]) -> list[str]:
+    return [f"{c}_{t}" for t in targets for c in ("n", "p")]
+
+
+def _merged(wide: DataFrame, features: list[str], names: list[str], targets: tuple[str, ...], by: str | None) -> DataFrame:
+    """``key, value`` and counts, one row per different value of a batch; the key is the feature's name, or column ``by``."""
+    columns, width, n_targets = ["key", "value", *_counts(targets)], len(features), len(targets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # A target is 1, 0 or missing.
+            known = [batch.column(width + j).to_numpy(zero_copy_only=False).astype(np.float64) for j in range(n_targets)]
+            keys = batch.column(width + n_targets).dictionary_encode() if by else None
+            for i, name in enumerate(names):
+                v = batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64)
+                used = ~np.isnan(v)
+                if not used.any():
+                    continue
+                if keys is None:
+                    values, which = np.unique(v[used] + 0.0, return_inverse=True)  # + 0.0: the two zeros are one value
+                    key = pa.array([name] * len(values))
+                else:
+                    code = keys.indices.to_numpy(zero_copy_only=False)[used]
+                    pairs = np.empty(len(code), [("k", np.int64), ("v", np.float64)])
+                    pairs["k"], pairs["v"] = code, v[used] + 0.0
+                    different, which = np.unique(pairs, return_inverse=True)
+                    values, key = different["v"], keys.dictionary.take(pa.array(different["k"]))
+                made = []
+                for t in known:
+                    t = t[used]
+                    made.append(np.bincount(which, ~np.isnan(t), len(values)))
+                    made.append(np.bincount(which, np.nan_to_num(t), len(values)))
+                yield pa.RecordBatch.from_arrays(
+                    [key.cast(pa.string()), pa.array(values), *(pa.array(x.astype(np.int64)) for x in made)], names=columns)
+
+    source = wide.select(
+        *[number(f, wide).cast("double").alias(f"v{i}") for i, f in enumerate(features)],
+        *[F.col(t).cast("double").alias(f"t{j}") for j, t in enumerate(targets)], *([F.col(by).cast("string").alias("by")] if by else []))
+    return source.mapInArrow(run, ", ".join(["key string", "value double", *(f"{c} bigint" for c in _counts(targets))]))
+
+
+def _packer(counts: list[str], most: int) -> Callable:
+    """Sorted rows to blocks: key, first value, size, totals, and the values with their counts as one binary cell."""
+    names = ["key", "low", "high", "size", *counts, "cell"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # (keys, values, counts) of different values; the last of them may go on in the next batch
+
+        def blocks(part: list[tuple]) -> Iterator[pa.RecordBatch]:
+            keys, values, sums = (np.concatenate(x) for x in zip(*part, strict=True))
+            edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            for a, b in itertools.pairwise([0, *edges.tolist(), len(keys)]):
+                for c in range(a, b, most):
+                    d = min(b, c + most)
+                    cell = b"".join([values[c:d].tobytes(), *(np.ascontiguousarray(sums[c:d, k]).tobytes() for k in range(len(counts)))])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([keys[c]], pa.string()), pa.array([values[c]]), pa.array([values[d - 1]]), pa.array([d - c], pa.int64()),
+                         *(pa.array([int(x)], pa.int64()) for x in sums[c:d].sum(0)), pa.array([cell], pa.binary())], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.array(batch.column(0).to_pylist(), object)
+            values = batch.column(1).to_numpy(zero_copy_only=False)
+            sums = np.stack([batch.column(2 + k).to_numpy(zero_copy_only=False) for k in range(len(counts))], axis=1)
+            if held:
+                before = held[-1]
+                keys, values, sums = (np.concatenate([x[-1:], y]) for x, y in zip(before, (keys, values, sums), strict=True))
+                held[-1] = tuple(x[:-1] for x in before)
+            new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (values[1:] != values[:-1])])
+            held.append((keys[new], values[new], np.add.reduceat(sums, new, axis=0)))
+            if sum(len(x[0]) for x in held) > 2 * most:
+                last = tuple(x[-1:] for x in held[-1])
+                held[-1] = tuple(x[:-1] for x in held[-1])
+                yield from blocks(held)
+                held = [last]
+        if held:
+            yield from blocks(held)
+
+    return run
+
+
+def _places(targets: tuple[str, ...], counts: list[str]) -> Callable:
+    """What each block adds to the metrics, once the totals before it and of all blocks are known."""
+    out = [f"{c}_{t}" for t in targets for c in ("rank", "ap", "ties", "vp", "vn")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list[float]] = []
+            whole = batch.to_pydict()
+            for i, cell in enumerate(whole["cell"]):
+                size = whole["size"][i]
+                values = np.frombuffer(cell, np.float64, size)
+                sums = np.frombuffer(cell, np.int64, size * len(counts), 8 * size).reshape(len(counts), size).astype(np.float64)
+                row: list[float] = []
+                for j, t in enumerate(targets):
+                    n, p = sums[2 * j], sums[2 * j + 1]
+                    upto_n, upto_p = whole[f"before_n_{t}"][i] + np.cumsum(n), whole[f"before_p_{t}"][i] + np.cumsum(p)
+                    rank = upto_n - n + (n + 1) / 2
+                    hits, seen = whole[f"all_p_{t}"][i] - upto_p + p, whole[f"all_n_{t}"][i] - upto_n + n
+                    some = p > 0
+                    row += [float(x) for x in (
+                        (p * rank).sum(), (p[some] * hits[some] / seen[some]).sum(), (n * n * n - n).sum(), (values * p).sum(), (values * (n - p)).sum())]
+                rows.append(row)
+            made = np.array(rows).reshape(-1, len(out))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[:, k]) for k in range(len(out)))], names=["key", *out])
+
+    return run
+
+
+def metrics_by_key(wide: DataFrame, features: list[str], targets: tuple[str, ...], *, key: str = "feature", by: str | None = None,
+                   min_n: int = 5, block_values: int = BLOCK_VALUES) -> DataFrame:
+    """One row per (key, target). Keys are the features, or the values of ``by`` for a single feature; there are few."""
+    counts = _counts(targets)
+    merged = _merged(wide, features, [dotted(f) for f in features], targets, by)
+    dealt = merged.repartitionByRange("key", "value").sortWithinPartitions("key", "value")
+    sums = ", ".join(f"{c} bigint" for c in counts)
+    blocks = stage(dealt.mapInArrow(
+        _packer(counts, block_values), f"key string, low double, high double, size bigint, {sums}, cell binary"), "value-blocks")
+    before, whole = Window.partitionBy("key").orderBy("low"), Window.partitionBy("key")  # over the blocks' totals only
+    totals = blocks.select("key", "low", *counts).select(
+        F.col("key").alias("_k"), F.col("low").alias("_l"),
+        *[(F.sum(c).over(before) - F.col(c)).alias(f"before_{c}") for c in counts], *[F.sum(c).over(whole).alias(f"all_{c}") for c in counts])
+    # A row of counts per block: stored, its size is known, and where it is small the blocks' cells are not shuffled again.
+    totals = stage(totals, "block-offsets")
+    placed = blocks.select("key", "low", "size", "cell").join(totals, (F.col("key") == F.col("_k")) & (F.col("low") == F.col("_l")))
+    names = [f"{c}_{t}" for t in targets for c in ("rank", "ap", "ties", "vp", "vn")]
+    added = placed.drop("_k", "_l", "low").mapInArrow(_places(targets, counts), ", ".join(["key string", *(f"{c} double" for c in names)]))
+    per_key = added.groupBy("key").agg(*[F.sum(c).alias(c) for c in names]).join(
+        blocks.groupBy("key").agg(F.min("low").alias("lowest"), F.max("high").alias("highest"), *[F.sum(c).alias(c) for c in counts]), "key")
     items = [
-        F.struct(
-            F.lit(t).alias("target"),
-            *[F.col(f"{c}_{t}").alias(c) for c in ("n", "p", "rank", "ap", "ties", "vp", "vn")],
-        )
+        F.struct(F.lit(t).alias("target"), *[F.col(f"{c}_{t}").alias(c) for c in ("n", "p", "rank", "ap", "ties", "vp", "vn")])
         for t in targets
     ]
-    flat = per_key.select(key, "lowest", "highest", F.inline(F.array(*items))).filter(F.col("n") >= min_n)
+    flat = per_key.select(F.col("key").alias(key), "lowest", "highest", F.inline(F.array(*items))).filter(F.col("n") >= min_n)
     return _finish(flat, key)
 
 
@@ -152,15 +196,13 @@ def _finish(flat: DataFrame, key: str) -> DataFrame:
 
 
 def univariates(table: DataFrame, features: list[str] | tuple[str, ...], targets: tuple[str, ...] = TARGETS,
-                rows_per_bucket: int = ROWS_PER_BUCKET, min_n: int = 5) -> DataFrame:
+                block_values: int = BLOCK_VALUES, min_n: int = 5) -> DataFrame:
     """AUROC, average precision, Spearman and direction of every feature against every target.
 
-    ``table`` is read three times (size and bounds, totals, values); pass a stored table.
+    ``table`` is read twice: once to sample the ranges, once to deal the values out. Pass a stored table.
     """
-    long = long_form(table, list(features), targets, rows_per_bucket)
-    return metrics_by_key(long, targets, min_n=min_n).withColumn(
-        "family", F.substring_index("feature", ".", 1)
-    )
+    found = metrics_by_key(table, list(features), targets, min_n=min_n, block_values=block_values)
+    return found.withColumn("family", F.substring_index("feature", ".", 1))
 
 
 def blocks_table(spark, blocks=FAMILY_BLOCKS) -> DataFrame:

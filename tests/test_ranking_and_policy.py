@@ -37,8 +37,8 @@ def metrics(spark, columns, targets, **options):
     return {(r["feature"], r["target"]): r for r in out.collect()}
 
 
-@pytest.mark.parametrize("rows_per_bucket", [10**6, 40, 7])
-def test_metrics_equal_definitions(spark, rows_per_bucket):
+@pytest.mark.parametrize("block_values", [10**6, 40, 7])
+def test_metrics_equal_definitions(spark, block_values):
     rng = random.Random(9)
     n = 300
     cols = {
@@ -48,7 +48,7 @@ def test_metrics_equal_definitions(spark, rows_per_bucket):
         "gaps": [None if rng.random() < 0.2 else float("nan") if rng.random() < 0.2 else rng.random() for _ in range(n)],
     }
     targets = {"r": [rng.randint(0, 1) for _ in range(n)], "y_lo": [int(rng.random() < 0.05) for _ in range(n)]}
-    got = metrics(spark, cols, targets, rows_per_bucket=rows_per_bucket)
+    got = metrics(spark, cols, targets, block_values=block_values)
     for c, x in cols.items():
         for t, y in targets.items():
             keep = [(a, b) for a, b in zip(x, y) if a is not None and not math.isnan(a)]
