@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The transducer is compiled from a model: the normaliser writes a space sign for each space and one before the text and
-is otherwise the identity (models with a table of characters, such as NFKC or case folding, are refused);
+The transducer is compiled from a model: the normaliser's table of characters (NFKC, case folding; the identity where
+the model has none), by which the longest stretch at a place is rewritten, then a space sign for each space and one
+before the text;
 every piece is a chain of arcs that ends in its id; a character that no piece has passes through byte arcs. A text is
 composed with it as a lattice: an arc for each piece that matches at a position. The path of least weight in the
 tropical semiring (weights add along a path, the least of several paths counts) is the encoding.
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forkline.llm.arrow import add_columns
+from forkline.llm.normaliser import Normaliser
 from forkline.llm.token_counts import LONGEST_KEPT, MARK, check_model, named, pre_tokens, processor
 
 INFINITY = float("inf")
@@ -224,8 +226,8 @@ class Segments(dict):
 
 
 def check_transducer(model: bytes) -> None:
-    """Refuse a model that does more to a text than to write space signs, that changes decoded texts, that is neither
-    a unigram nor a merge model, or that has pieces cut out before all others (user-defined) or merged but not used."""
+    """Refuse a model that changes decoded texts, that takes away spaces or puts their sign elsewhere, that is neither a
+    unigram nor a merge model, or that has pieces cut out before all others (user-defined) or merged but not used."""
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     proto = pb.ModelProto.FromString(model)
@@ -235,15 +237,19 @@ def check_transducer(model: bytes) -> None:
     if any(p.type in (kind.USER_DEFINED, kind.UNUSED) for p in proto.pieces):
         raise ValueError("the model has user-defined or unused pieces")
     spec = proto.normalizer_spec
-    if spec.precompiled_charsmap or proto.denormalizer_spec.precompiled_charsmap:
-        raise ValueError(f"the model's normaliser {spec.name or '(unnamed)'} changes characters")
+    if proto.denormalizer_spec.precompiled_charsmap:
+        raise ValueError("the model changes decoded texts")
     if not (spec.add_dummy_prefix and spec.escape_whitespaces) or spec.remove_extra_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
         raise ValueError("the model's normaliser changes spaces")
 
 
 class Codec:
     def __init__(self, sp, cache_rows: int):
+        from sentencepiece import sentencepiece_model_pb2 as pb
+
         check_model(sp)
+        proto = pb.ModelProto.FromString(sp.serialized_model_proto())
+        self.normal = Normaliser(proto.normalizer_spec.precompiled_charsmap)
         self.segments = Segments(Transducer.compile(sp), cache_rows)
         self.output = [
             bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i)
@@ -252,7 +258,7 @@ class Codec:
         ]
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.segments.__getitem__, pre_tokens(text))) if text else b""
+        return b"".join(map(self.segments.__getitem__, pre_tokens(self.normal(text)))) if text else b""
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.output.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
@@ -277,8 +283,8 @@ def encoded(docs: DataFrame, model_path: str, *, text_column: str = "text", cach
     whether decoding the ids gives the text back; columns of these names are replaced.
 
     A null or empty text has no ids; decoding gives the empty text, so a null text has no round trip (false). The
-    space sign of the vocabulary decodes to a space, so a text that holds that sign itself has none either.
-    A model whose normaliser changes characters is refused with a ValueError.
+    space sign of the vocabulary decodes to a space, so a text that holds that sign itself has none either, nor has a
+    text that the normaliser rewrites. A model with user-defined or unused pieces is refused with a ValueError.
     """
     with open(model_path, "rb") as f:
         proto = f.read()

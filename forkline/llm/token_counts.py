@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forkline.llm.arrow import add_columns
+from forkline.llm.normaliser import Normaliser
 
 MARK = "▁"  # the vocabulary's sign for a space
 RUNS = re.compile(f"{MARK}+[^{MARK}]*")
@@ -55,9 +56,9 @@ def pre_tokens(text: str) -> list[str]:
 class Lengths(dict):
     """Pre-token lengths: the frequent ones, and what this worker has met since."""
 
-    def __init__(self, sp, frequent: dict[str, int], most: int):
+    def __init__(self, sp, normal: Normaliser, frequent: dict[str, int], most: int):
         super().__init__(frequent)
-        self.sp, self.frequent, self.most = sp, frequent, most
+        self.sp, self.normal, self.frequent, self.most = sp, normal, frequent, most
         self[""] = 1
 
     def __missing__(self, word: str) -> int:
@@ -72,7 +73,20 @@ class Lengths(dict):
 
 
 def count_tokens(text: str | None, lengths: Lengths) -> int:
-    return sum(map(lengths.__getitem__, pre_tokens(text))) if text else 0
+    return sum(map(lengths.__getitem__, pre_tokens(lengths.normal(text)))) if text else 0
+
+
+def without_characters(model: bytes) -> tuple[bytes, bytes]:
+    """The model without its table of characters, and the table: whole texts are rewritten before they fall apart, as a
+    character may become a space, and their parts are not rewritten again."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto.FromString(model)
+    table = proto.normalizer_spec.precompiled_charsmap
+    if not table:
+        return model, b""
+    proto.normalizer_spec.precompiled_charsmap = b""
+    return proto.SerializeToString(), table
 
 
 _caches: dict[tuple, Lengths] = {}
@@ -87,7 +101,8 @@ def _cache(name: tuple, model, frequent) -> Lengths:
     """The worker's cache for a name (model, frequent table, size); one at a time."""
     if name not in _caches:
         _caches.clear()
-        _caches[name] = Lengths(processor(model.value), frequent.value, name[-1])
+        plain, charsmap = model.value
+        _caches[name] = Lengths(processor(plain), Normaliser(charsmap), frequent.value, name[-1])
     return _caches[name]
 
 
@@ -124,10 +139,11 @@ def token_counts(
     context = docs.sparkSession.sparkContext
     with open(model_path, "rb") as f:
         model = f.read()
-    sp = processor(model)
-    check_model(sp)
+    check_model(processor(model))
+    plain, charsmap = without_characters(model)
+    sp = processor(plain)
     words = frequent_pre_tokens(docs, text_column, sample_rows, table_rows)
-    sent = context.broadcast(model)
+    sent = context.broadcast((plain, charsmap))
     table = dict(zip(words, map(len, sp.encode(words)), strict=True))
     frequent = context.broadcast(table)
     name = (named(model), named(repr(table).encode()), cache_rows)

@@ -15,6 +15,7 @@ import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
 
 from forkline.llm import decontaminate, pii, quality_rules, sentencepiece_wfst, token_counts
+from forkline.llm.normaliser import Normaliser
 
 SF = "/root/testdata/sf0.001"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -241,21 +242,45 @@ def test_unlisted_given_names_are_drawn_until_distinct(spark):
     assert len(set(open_names.values())) == 3
 
 
-def test_models_that_change_characters_are_refused(odd, tmp_path):
+def with_characters(rule):
+    """The given model with a table of characters of the library."""
+    table = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=False, escape_whitespaces=False, remove_extra_whitespaces=False)
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(MODEL, "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.normalizer_spec.precompiled_charsmap = sentencepiece_model_pb2.ModelProto.FromString(table.serialized_model_proto()).normalizer_spec.precompiled_charsmap
+    return table, proto.SerializeToString()
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf", "nfkc_cf"])
+def test_the_table_of_characters_is_compiled(spark, odd, tmp_path, rule):
+    """Compatibility forms, marks that join, removed and folded characters: texts and ids equal the library's."""
+    table, proto = with_characters(rule)
+    normal = Normaliser(sentencepiece_model_pb2.ModelProto.FromString(proto).normalizer_spec.precompiled_charsmap)
+    rng = random.Random(rule)
+    made = ["ＡＢＣ　ﬁ Straße ① ½ e\u0301 ｶﾞ \u1e9b\u0323 İ Ǆ \ufeff\u200b\x01\t한글 각 ﷺ", "\x01", "\u3000a", "ΑΣ ΣΑΣ", "a\u0300\u0301b"]
+    made += ["".join(chr(rng.choice([rng.randrange(32, 0x3000), rng.randrange(0xF900, 0xFFF0), 32, 0x301])) for _ in range(60)) for _ in range(60)]
+    assert [normal(t) for t in made] == [table.normalize(t) for t in made]
+    path = tmp_path / "rewriting.model"
+    path.write_bytes(proto)
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
+    for r in sentencepiece_wfst.encoded(docs, str(path)).collect():
+        assert r["token_ids"] == sp.encode(r["text"] or ""), r["text"]
+    for r in token_counts.token_counts(docs, str(path)).collect():
+        assert r["n_tokens"] == len(sp.encode(r["text"] or "")), r["text"]
+
+
+def test_models_that_move_spaces_are_refused(odd, tmp_path):
     proto = sentencepiece_model_pb2.ModelProto()
     with open(MODEL, "rb") as f:
         proto.ParseFromString(f.read())
     sentencepiece_wfst.check_transducer(proto.SerializeToString())
-    words = tmp_path / "words.txt"
-    words.write_text("one two three four five six seven eight nine ten\n" * 20)
-    sentencepiece.SentencePieceTrainer.train(
-        input=str(words), model_prefix=str(tmp_path / "folded"), vocab_size=30, hard_vocab_limit=False, model_type="bpe",
-        normalization_rule_name="nfkc_cf", remove_extra_whitespaces=False, minloglevel=2)
-    sp = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "folded.model"))
-    token_counts.check_model(sp)
-    assert sp.encode("ONE") == sp.encode("one")
-    with pytest.raises(ValueError, match="changes characters"):
-        sentencepiece_wfst.encoded(odd, str(tmp_path / "folded.model"))
+    proto.normalizer_spec.remove_extra_whitespaces = True
+    path = tmp_path / "spaces.model"
+    path.write_bytes(proto.SerializeToString())
+    with pytest.raises(ValueError, match="changes spaces"):
+        sentencepiece_wfst.encoded(odd, str(path))
 
 
 def other_models(folder):
