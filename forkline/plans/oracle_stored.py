@@ -108,6 +108,12 @@ FROM (SELECT *, {SPACED('question')}::DOUBLE AS q, list_transform(choices, lambd
     "registered_protocol": with_("psi psi2", f"""
 SELECT query_id, role, {r('entropy', 6, 'entropy')}, {r('msp', 6, 'msp')}, true AS trace_valid FROM (
   SELECT query_id, role, entropy, msp FROM psi WHERE role = 'M_lo' UNION ALL SELECT query_id, role, entropy, msp FROM psi2 WHERE role = 'M_hi')"""),
+    "late_rows": """
+WITH a AS (SELECT event_id, ts::TIMESTAMP AS ts, user_id IN (SELECT vec_id FROM embeddings) AS ok, 1 AS run FROM events),
+b AS (SELECT * FROM a UNION ALL SELECT event_id, ts, ok, 2 FROM a WHERE event_id % 5 = 0),
+c AS (SELECT *, run = 2 AND ok AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM a WHERE ok) - INTERVAL 10 MINUTE AS late FROM b)
+SELECT count(*) AS arrived, count(*) FILTER (NOT ok) AS skipped, 0::BIGINT AS untimed, count(*) FILTER (ok) AS counted,
+  count(*) FILTER (ok AND NOT late) AS in_windows, count(*) FILTER (late) AS late FROM c""",
     "document_vectors": with_("dv_vec", f"""
 SELECT query_id, place::INTEGER AS place, {r('v', 5, 'v')} FROM (SELECT query_id, unnest(v) AS v, generate_subscripts(v, 1) - 1 AS place FROM dv_vec)"""),
 }

@@ -18,6 +18,7 @@ from forkline.schemas import CALIB, FEATURE_COLS, HI, LO, PHI_COLS, PHI_GEOMETRY
 from forkline.session import scratch_path, stage
 from forkline.sources import registry, tables
 from forkline.sources.broken import part_jsonl
+from forkline.streaming import routing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -290,6 +291,25 @@ def registered_protocol(spark, sf):
     return rounded(made.select("query_id", "role", "entropy", "msp", "trace_valid"))
 
 
+# --- streams ------------------------------------------------------------------
+
+
+@query
+def late_rows(spark, sf):
+    """Arrivals of a first run, and a fifth of them once more in a second: rows in windows and rows too late for one."""
+    features = stage(W.psi_wide(spark, sf), "stream-features")
+    events, path = W.arrivals(spark, sf, False), scratch_path(spark, "arrivals")
+    windows, state = scratch_path(spark, "late-windows"), scratch_path(spark, "late-state")
+    total = dict.fromkeys(("arrived", "skipped", "untimed", "counted"), 0)
+    for part in (events, events.filter("event_id % 5 = 0")):
+        part.write.mode("append").parquet(path)
+        arriving = spark.readStream.schema(events.schema).parquet(path)
+        made, counts = routing.counted_windows(routing.decide_stream(arriving, features, W.FIXED_POLICY), windows, state)
+        total = {k: total[k] + counts[k] for k in total}
+    return made.agg(F.sum("n").alias("in_windows")).select(
+        *[F.lit(v).cast("bigint").alias(k) for k, v in total.items()], "in_windows", (F.lit(total["counted"]) - F.col("in_windows")).alias("late"))
+
+
 # --- vectors of texts -----------------------------------------------------------
 
 

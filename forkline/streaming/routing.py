@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from forkline.operators.grade import newest
 from forkline.operators.policy import RoutingPolicy, decide
@@ -56,15 +57,53 @@ def run_windows(windows: DataFrame, path: str, checkpoint: str, key: str = "wind
     Each micro-batch stores the windows that it changed in its own folder; a repeated batch overwrites it. The latest
     state of a window is the valid one.
     """
+    _run_windows(windows, path, checkpoint)
+    log = windows.sparkSession.read.schema(f"{ddl(windows)}, batch long").parquet(path)
+    return newest(log, (key,), "batch").select(*windows.columns)
 
+
+def _run_windows(windows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    windows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(
+    query = windows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(
         availableNow=True
-    ).start().awaitTermination()
-    log = windows.sparkSession.read.schema(f"{ddl(windows)}, batch long").parquet(path)
-    return newest(log, (key,), "batch").select(*windows.columns)
+    ).start()
+    query.awaitTermination()
+    return query
+
+
+ARRIVED = "arrived"
+PROGRESS_KEPT = "spark.sql.streaming.numRecentProgressUpdates"
+
+
+def counted_windows(routed: DataFrame, path: str, checkpoint: str, time: str = "ts", **options) -> tuple[DataFrame, dict[str, int]]:
+    """Windows of everything that has arrived, as ``run_windows`` gives them, and what this run has read and left out.
+
+    The rows are counted in the pass itself, by metrics observed before the windows: ``arrived``, ``skipped`` (no
+    decision), ``untimed`` (no time) and ``counted`` (those offered to a window). What the watermark drops is
+    ``counted`` over all runs less the rows in the windows.
+    """
+    spark = routed.sparkSession
+    ok = F.col("skip_reason").isNull()
+    seen = routed.withColumn(time, F.col(time).cast("timestamp")).observe(
+        ARRIVED, F.count(F.lit(1)).alias("arrived"), F.count_if(~ok).alias("skipped"), F.count_if(ok & F.col(time).isNull()).alias("untimed"))
+    windows = hi_rate_windows(seen, time, **options)
+    before = spark.conf.get(PROGRESS_KEPT)
+    spark.conf.set(PROGRESS_KEPT, str(2**30))  # the metrics of every batch of the run
+    try:
+        query = _run_windows(windows, path, checkpoint)
+    finally:
+        spark.conf.set(PROGRESS_KEPT, before)
+    counts = dict.fromkeys(("arrived", "skipped", "untimed"), 0)
+    for progress in query.recentProgress:
+        if ARRIVED in progress["observedMetrics"]:
+            row = progress["observedMetrics"][ARRIVED]
+            for name in counts:
+                counts[name] += row[name] or 0
+    counts["counted"] = counts["arrived"] - counts["skipped"] - counts["untimed"]
+    log = spark.read.schema(f"{ddl(windows)}, batch long").parquet(path)
+    return newest(log, ("window_start",), "batch").select(*windows.columns), counts
 
 
 def ddl(df: DataFrame) -> str:
