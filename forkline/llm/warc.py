@@ -185,4 +185,5 @@ def captures(records: DataFrame) -> DataFrame:
 
 
 def page_field(fields: Column) -> Column:
+    """Page id in the first line of a metadata record; null where the record is missing, empty or says something else."""
     return F.regexp_extract(F.element_at(fields, 1), r"^page_id: (-?\d+)", 1).try_cast("bigint")
