@@ -48,6 +48,22 @@ def test_all_windows_of_a_finite_run(spark, tmp_path):
     assert got.count() == 10 and spark.read.parquet(f"{tmp_path}/out").select("batch").distinct().count() > 1
 
 
+def test_late_rows_and_windows_add_up(spark, tmp_path):
+    """Every row read is in a window, without a decision, without a time, or too late; counted in the pass itself."""
+    ddl = "ts string, use_strong boolean, skip_reason string"
+    src, windows, state = (f"{tmp_path}/{x}" for x in ("in", "windows", "state"))
+    first = [(f"2024-01-01 {h:02d}:{m:02d}:00", m % 2 == 0, None) for h in range(6) for m in range(0, 60, 7)] + [(None, True, None)]
+    again = [("2024-01-01 00:30:00", True, None)] * 4 + [("2024-01-01 05:59:00", False, None), ("2024-01-01 00:10:00", None, "missing x")]
+    total, made = {}, None
+    for rows in (first, again, again):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(src)
+        made, counts = routing.counted_windows(spark.readStream.schema(ddl).parquet(src), windows, state)
+        total = {k: total.get(k, 0) + v for k, v in counts.items()}
+    inside = made.groupBy().sum("n").first()[0]
+    assert total == {"arrived": len(first) + 12, "skipped": 2, "untimed": 1, "counted": len(first) - 1 + 10}
+    assert inside == len(first) - 1 + 2 and total["counted"] - inside == 8  # all rows of the first hour are too late
+
+
 def test_result_store_keeps_one_row_per_key(spark, tmp_path):
     """Many micro-batches, versions out of order and tied; the store stays as large as its keys, and equals one batch job."""
     ddl = "query_id string, role string, version int, v int"
