@@ -160,3 +160,26 @@ def test_axes_of_flat_and_steep_spectra(spark, width):
     want = np.linalg.svd(centred, full_matrices=False)[2][:3]
     assert np.allclose(np.abs((got * want).sum(1)), 1, atol=1e-10)
     assert principal_axes(rows.limit(1), x[0], 1).shape == (1, width)
+
+
+def test_text_vectors_count_many_texts_at_once(monkeypatch):
+    """A column of texts in pieces of bounded size; each occurrence used to be looked up by itself."""
+    import pyarrow as pa
+
+    from forkline.operators import text_vectors as module
+
+    monkeypatch.setattr(module, "WORDS_AT_ONCE", 5_000)
+    texts = [["a", "b"] * 1_000, [], ["c"] * 7_000, ["b", "a", "b"]]
+    looked = []
+    counts = module._column_counts()
+    got = {}
+    for first, n, row, slot, signed in counts(pa.array(texts, pa.list_(pa.string()))):
+        looked.append((first, n))
+        for r, s, c in zip(row.tolist(), slot.tolist(), signed.tolist(), strict=True):
+            got[first + r, s] = c
+    assert looked == [(0, 2), (2, 1), (3, 1)]
+    want = {}
+    one = module._slot_counts()
+    for i, t in enumerate(texts):
+        want |= {(i, s): c for s, c in zip(*(x.tolist() for x in one(t)), strict=True)}
+    assert got == want and sorted(abs(c) for c in got.values()) == [1, 2, 1_000, 1_000, 7_000]
