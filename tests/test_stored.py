@@ -1,10 +1,12 @@
 """Rows parted by reason, row numbers of files, parts that grow, feature specs, vectors of texts."""
 
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from forkline.functions.text import words
 from forkline.operators import policy, response, split
@@ -183,3 +185,21 @@ def test_text_vectors_count_many_texts_at_once(monkeypatch):
     for i, t in enumerate(texts):
         want |= {(i, s): c for s, c in zip(*(x.tolist() for x in one(t)), strict=True)}
     assert got == want and sorted(abs(c) for c in got.values()) == [1, 2, 1_000, 1_000, 7_000]
+
+
+@pytest.mark.parametrize("name", ["counted_tokens", "compression_documents"])
+def test_texts_stay_in_their_arrow_batch(spark, name):
+    """The Python functions see Arrow columns: with pandas every text of a batch was a Python string as well."""
+    import zlib
+
+    import __spark_entry__ as e
+
+    made = e.queries()[name](spark, e.SMALL)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    kinds = set(re.findall(r"^.*ArrowEvalPython .*\], (\d+)$", plan, re.M))
+    assert kinds == {str(PythonEvalType.SQL_SCALAR_ARROW_UDF)}
+    if name == "compression_documents":
+        texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{e.SMALL}/documents.parquet").collect()}
+        for r in made.collect():
+            raw = (texts[r["doc_id"]] or "").encode()
+            assert r["compression_ratio"] == (pytest.approx(len(zlib.compress(raw, 6)) / len(raw), abs=1e-6) if raw else None)
