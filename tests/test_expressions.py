@@ -12,7 +12,7 @@ from forkline.functions import text as X
 from forkline.functions.exprs import three_places
 from forkline.functions.linear import sigmoid
 from forkline.functions.scores import confidence, option_scores, unpack
-from forkline.operators import response
+from forkline.operators import response, text_features
 from forkline.schemas import PSI, TRACE_DDL
 
 
@@ -55,6 +55,33 @@ def test_mattr_cases(spark):
     assert column(spark, ["a a", ""], lambda c: X.mattr(X.words(c), 5)) == [0.5, None]
 
 
+def test_words_of_a_prompt_are_found_once(spark):
+    """Text and options used to be searched for words four times: for the prompt, both counts and the overlaps."""
+    rows = [
+        ("a", "It's 'one' two\n", ["x y", None, "'z' don't"], {"subject": "Law's 'code'"}),
+        ("b", "", ["p", ""], {"subject": ""}), ("c", "Ä b Ä", [], None), ("d", None, ["q"], None), ("e", "one", None, None),
+    ]
+    df = spark.createDataFrame(rows, "query_id string, text string, choices array<string>, metadata map<string,string>")
+    subject = F.try_element_at("metadata", F.lit("subject"))
+    prompt = X.user_message(X.question_text(F.col("text"), subject), X.choice_lines(F.col("choices")))
+    got = df.select(X.words(prompt), X.prompt_words(subject, X.words(F.col("text")), F.transform("choices", X.words))).collect()
+    assert all(a == b for a, b in got) and got[0][0][:3] == ["subject", "law's", "code"]
+    made = text_features.text_features(df, with_compression=False)
+    counts = {r["query_id"]: r["phi__structural__question_token_len"] for r in made.collect()}
+    assert counts == {"a": 6.0, "b": 0.0, "c": 3.0, "d": None, "e": 1.0}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_count" not in plan and plan.count("regexp_extract_all(text") == 1
+
+
+def test_mattr_of_texts_cut_into_pieces(spark, monkeypatch):
+    """Equal words of different texts, and empty ones between, do not meet."""
+    monkeypatch.setattr(X, "MATTR_TOKENS", 7)
+    texts = ["a b a", "", "a a a a a a a a a", "b", "a b c d a", ""]
+    got = column(spark, texts, lambda c: X.mattr(X.words(c), 3))
+    assert [g is None for g in got] == [not t for t in texts]
+    assert all(g is None or math.isclose(g, sliding(t.split(), 3)) for t, g in zip(texts, got))
+
+
 def test_jaccard(spark):
     df = spark.createDataFrame([("", ""), ("a b", "B c"), ("a", "")], "a string, b string")
     got = df.select(X.set_jaccard(X.word_set(F.col("a")), X.word_set(F.col("b"))).alias("j")).collect()
