@@ -168,3 +168,27 @@ def test_group_rank_with_null_group(spark):
     for g in (None, 0, 1):
         want = {i: n + 1 for n, i in enumerate(ordered_ids([i for i, x in rows if x == g]))}
         assert {r["query_id"]: r["rank"] for r in got if r["g"] == g} == want
+
+
+def test_leaving_the_holdout_out_shuffles_no_text(spark, tmp_path):
+    """The stored parts used to be taken for larger than a broadcast may be, and every text was shuffled: 16 MB here."""
+    n = 20_000
+    parts = spark.range(n).selectExpr("concat('documents:', id) query_id", f"if(id < 40, '{HOLDOUT}', if(id % 5 = 0, '{TEST}', '{CALIB}')) split")
+    parts.write.partitionBy("split").parquet(f"{tmp_path}/parts")
+    parts = spark.read.schema("query_id string, split string").parquet(f"{tmp_path}/parts")
+    rows = spark.range(n).selectExpr("concat('documents:', id) query_id", "concat_ws(' ', transform(sequence(1, 20), i -> sha1(concat(id, '-', i)))) text")
+    executors = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled_mb():
+        some = executors.executorList(False)
+        return sum(some.apply(i).totalShuffleWrite() for i in range(some.size())) / 1e6
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32k")
+    try:
+        before = shuffled_mb()
+        left = split.eval_rows(rows, parts).selectExpr("count(*) n", "sum(length(text)) chars", "min(cast(substr(query_id, 11) as int)) least").first()
+        assert (left["n"], left["chars"], left["least"]) == (n - 40, (n - 40) * 819, 40)
+        assert shuffled_mb() - before < 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
